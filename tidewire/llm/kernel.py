@@ -6,9 +6,11 @@ split is done on UTF-8 bytes; no byte of a longer character is a separator.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -143,3 +145,16 @@ def shingle_sets(texts, n: int = 5, lower: bool = True, seed: int = 1) -> tuple[
     first = np.zeros(words.n_docs + 1, dtype=np.int64)
     np.cumsum([len(s) for s in sets], out=first[1:])
     return (np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)), first
+
+
+def slices(texts: pd.Series, chars: int = 2_000_000) -> Iterator[slice]:
+    """Consecutive slices of a batch of about so many characters each."""
+    lengths = texts.str.len().fillna(0).to_numpy() if len(texts) else []
+    start, total = 0, 0
+    for i, length in enumerate(lengths):
+        total += length
+        if total >= chars:
+            yield slice(start, i + 1)
+            start, total = i + 1, 0
+    if start < len(lengths):
+        yield slice(start, len(lengths))

@@ -60,23 +60,10 @@ def band_keys(minima: np.ndarray, bands: int) -> np.ndarray:
     return keys
 
 
-def _slices(size: int, texts: pd.Series, chars: int = 2_000_000) -> Iterator[slice]:
-    """Consecutive slices of a batch of about so many characters each."""
-    lengths = texts.str.len().fillna(0).to_numpy()
-    start, total = 0, 0
-    for i in range(size):
-        total += lengths[i]
-        if total >= chars:
-            yield slice(start, i + 1)
-            start, total = i + 1, 0
-    if start < size:
-        yield slice(start, size)
-
-
 def _profiles(words: int, bins: int, bands: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in _slices(len(batch), batch["text"]):
+            for part in kernel.slices(batch["text"]):
                 some = batch.iloc[part]
                 sets, first = kernel.shingle_sets(some["text"].tolist(), words)
                 sizes = np.diff(first)
@@ -102,7 +89,7 @@ def _profiles(words: int, bins: int, bands: int):
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in _slices(len(batch), batch["text"]):
+            for part in kernel.slices(batch["text"]):
                 some = batch.iloc[part]
                 sets, first = kernel.shingle_sets(some["text"].tolist(), words)
                 yield pd.DataFrame(

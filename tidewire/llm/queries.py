@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and SQL for those that SQL expresses."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
+from . import bpe, minhash, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,25 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+def _joined(spans: str) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    with open(public_tokenizers.path(ranks), "rb") as file:
+        raw = file.read()
+    return bpe.encode(_table(spark, sf_dir, "documents"), raw, public_tokenizers.PATTERN, keep_ids=False)
+
+
 QUERIES = {
+    "op5_secret_scans": op5_secret_scans,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
