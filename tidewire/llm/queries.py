@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, secrets
+from . import bpe, langid, minhash, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def _joined(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(f"not {HELD_OUT}"))
+    return langid.predict(docs, model).selectExpr("doc_id", f"{HELD_OUT} as held_out", "lang_pred", "score")
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     count = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in secrets.KINDS]
@@ -33,6 +42,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op5_secret_scans": op5_secret_scans,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
