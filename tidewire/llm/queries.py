@@ -5,13 +5,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, secrets
+from . import bpe, langid, minhash, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(f"not {HELD_OUT}"))
+    found = toxicity.score(docs, model, spans=False)
+    return found.selectExpr("doc_id", f"{HELD_OUT} as held_out", "score", "if(score >= 0.3, 1, 0) as predicted")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
@@ -45,6 +52,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_secret_scans": op5_secret_scans,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
