@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, secrets, toxicity
+from . import bpe, langid, minhash, secrets, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def _joined(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
+
+
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
 
 
@@ -48,12 +52,32 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_
     return bpe.encode(_table(spark, sf_dir, "documents"), raw, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 QUERIES = {
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_language_id": op3_language_id,
     "op5_secret_scans": op5_secret_scans,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_exact_top_k": """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from usable q join usable c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+)
+select * from ranked where rank <= 5
+""",
+}
