@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, secrets, toxicity, vectors
+from . import bpe, langid, minhash, mixing, secrets, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def _joined(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(_table(spark, sf_dir, "documents"), block=64, weights=(5, 2, 1), share=1.5, most=2.0)
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
 
@@ -57,6 +61,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_language_id": op3_language_id,
     "op5_secret_scans": op5_secret_scans,
