@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, secrets, toxicity, vectors
+from . import bpe, langid, minhash, mixing, passages, secrets, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeats(_table(spark, sf_dir, "documents"), window=13, texts=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def _joined(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,
