@@ -18,6 +18,7 @@ from .kernel import WORD
 from .shared import cut
 
 BUCKET_ROWS = 1000
+FEW_SOURCES = 10_000
 ROUNDS = 24
 
 
@@ -79,7 +80,11 @@ def packed(docs: DataFrame, seed: int = 1, bucket_rows: int = BUCKET_ROWS) -> Da
     counts = docs.groupBy("source").agg(F.count("*").alias("rows"))
     counts = counts.select(F.col("source").alias("its_source"), F.ceil(F.col("rows") / bucket_rows).alias("buckets"))
     # (key: a null source as a value, for equal-key joins)
-    rows = _keyed(docs).join(_keyed(counts, "its_source").drop("its_source"), "key")
+    counts = _keyed(counts, "its_source").drop("its_source")
+    # few sources go to every task, so that rows aren't dealt out by source before they are by bucket
+    if counts.count() <= FEW_SOURCES:
+        counts = F.broadcast(counts)
+    rows = _keyed(docs).join(counts, "key")
     rows = rows.withColumn("h", h).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("buckets"))).drop("buckets")
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     up = Window.partitionBy("key").orderBy("bucket")
