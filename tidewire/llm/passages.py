@@ -60,7 +60,7 @@ class _Block:
     """The distinct windows of a block, its documents in the order of their ids."""
 
     def __init__(self, ids, texts, window: int):
-        ids = np.array([LAST if i is None else i for i in ids], dtype=np.int64)
+        ids = np.asarray(ids, dtype=np.int64)
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
         self.words = kernel.split_words([texts[i] for i in self.order])
@@ -114,7 +114,7 @@ def _pack(window: int, chars: int, bits: int):
         ids, texts, size, number = [], [], 0, 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(i)
+                ids.append(int(LAST) if i is None else i)
                 texts.append(text)
                 size += len(text or "")
                 if size >= chars:
