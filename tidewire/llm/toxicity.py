@@ -83,6 +83,7 @@ def forward_backward(score: np.ndarray, first: np.ndarray, transitions: np.ndarr
     phi[:n, 1] = np.exp(np.clip(score, -30, 30))
     step = transitions[None] * phi[:, None, :]
     step[:n][first] = 0.5 * phi[:n][first][:, None, :]
+    step[n:] = 0.5  # what fills the last block is a chain of its own
     step = step.reshape(blocks, BLOCK, 2, 2)
     whole = np.broadcast_to(np.eye(2), (blocks, 2, 2)).copy()
     for k in range(BLOCK):
