@@ -1,0 +1,344 @@
+"""Operators on texts against brute force."""
+import base64
+import collections
+import gzip
+import hashlib
+import random
+import re
+import urllib.parse
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+from tidewire.llm import bpe, kernel, langid, minhash, mixing, passages, secrets, toxicity
+
+WORD = re.compile(kernel.WORD)
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, component long, key string, bucket int, size long, score double"
+
+
+def corpus(seed=1, n=60):
+    """Documents with copies, near copies, shared passages, nulls, empties and one long text."""
+    draw = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)] + ["é", "漢字", "Ünder"]
+    passage = " ".join(draw.choices(vocabulary, k=30))
+    texts = []
+    for i in range(n):
+        words = draw.choices(vocabulary, k=draw.choice((1, 3, 5, 40, 80)))
+        if i % 7 == 0:
+            words[len(words) // 2 : len(words) // 2] = passage.split()
+        if texts and i % 5 == 0:
+            words = WORD.findall(draw.choice(texts))
+            if words and i % 2:
+                words[draw.randrange(len(words))] = "changed"
+        texts.append(draw.choice((" ", "\n", "  ", "\t")).join(words))
+    texts += [None, "", " \n\t ", "Same Words Here", "same words here", " ".join(draw.choices(vocabulary, k=20000)), passage * 3]
+    return texts
+
+
+def frame(spark, texts, ids=None):
+    ids = ids or range(len(texts))
+    rows = [(i, t, ["en", "fr", None][k % 3], ["a", "b", None, "ç"][k % 4], 0, 1, "k", 2, 3, 0.5) for k, (i, t) in enumerate(zip(ids, texts))]
+    return spark.createDataFrame(rows, WIDE)
+
+
+# ------------------------------------------------------------------ MinHash
+
+
+def shingle_set(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return set()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def components(n, links):
+    label = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_match_all_pairs(spark, percent):
+    texts = corpus()
+    sets = [shingle_set(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    expected = components(len(texts), links)
+    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts), percent=percent, rounds=1).collect()}
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {
+        i: (len(s), expected[i], expected[i] == i) for i, s in enumerate(sets)
+    }
+    assert links
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    text = "one two three four five six"
+    rows = minhash.near_duplicates(frame(spark, [text, text, text, "other"], [7, 7, None, 9]), rounds=0).collect()
+    assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in rows) == [(-1, None, False), (7, 7, True), (7, 7, True), (9, 9, True)]
+    assert minhash.near_duplicates(frame(spark, ["x"]).limit(0), rounds=0).count() == 0
+
+
+# ------------------------------------------------------------------ passages
+
+
+def without_repeats(texts, ids, window=13):
+    words = [WORD.findall(t or "") for t in texts]
+    keys = [float("inf") if i is None else i for i in ids]
+    least = {}
+    for key, own in zip(keys, words):
+        for k in range(len(own) - window + 1):
+            w = tuple(own[k : k + window])
+            least[w] = min(least.get(w, key), key)
+    out = []
+    for i, key, own in zip(ids, keys, words):
+        gone = set()
+        for k in range(len(own) - window + 1):
+            if least[tuple(own[k : k + window])] < key:
+                gone.update(range(k, k + window))
+        kept = " ".join(w for k, w in enumerate(own) if k not in gone)
+        out.append((i, len(own), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(300, 50), (4_000_000, 4_000_000)])
+def test_repeats_match_brute_force(spark, sizes):
+    texts = corpus(2)
+    ids = list(range(len(texts)))
+    random.Random(3).shuffle(ids)
+    ids[3] = ids[9]
+    ids[14] = None
+    got = passages.remove_repeats(frame(spark, texts, ids), block_chars=sizes[0], group_windows=sizes[1]).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in got], key=key) == sorted(without_repeats(texts, ids), key=key)
+    for r in got:
+        assert sum(s.end - s.start for s in r.spans) == r.n_removed
+    assert sum(r.n_removed for r in got) > 100
+
+
+def test_repeats_of_an_empty_table(spark):
+    assert passages.remove_repeats(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ secrets
+
+
+def plain_spans(text):
+    found = []
+    pattern = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for kind, p, least, group in (("assign", pattern, 6, 1), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)):
+        for m in re.finditer(p, text, re.I | re.A if kind == "assign" else 0):
+            if len(m[group]) >= least:
+                found.append((kind, m.start(), m.end()))
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_base_spans_match_the_plain_patterns():
+    draw = random.Random(5)
+    parts = ["password", "Secret", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "AKIA", "ABCDEF0123456789", "deadbeef", "0123456789abcdef", "x", "ſecret", "\n", "é", "a.b-c"]
+    for _ in range(5000):
+        text = "".join(draw.choices(parts, k=draw.randint(0, 12)))
+        assert secrets.base_spans(text) == plain_spans(text), text
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: urllib.parse.quote(s, safe=""),
+        lambda s: "".join(f"%{c:02x}" for c in s.encode()),
+        lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+        lambda s: base64.b64encode(s.encode()).decode(),
+        lambda s: base64.b64encode(gzip.compress(s.encode())).decode(),
+        lambda s: base64.urlsafe_b64encode(base64.b64encode(urllib.parse.quote(s).encode())).decode(),
+        lambda s: "".join(f"%{c:02x}" for c in base64.b64encode(s.encode())),
+    ],
+)
+def test_secrets_in_layers_map_to_the_text(wrap):
+    secret = 'é token: "abcDEF123456"'
+    text = f"vorne ü {wrap(secret)} hinten"
+    spans = secrets.all_spans(text)
+    assert set(plain_spans(text)) <= set(spans)
+    kind, start, end = next(s for s in spans if s[0] == "assign")
+    assert text[:start].startswith("vorne ü ") and text[end:].endswith(" hinten")
+    assert "abcDEF123456" not in "".join(wrap(x) for x in secrets.redacted(text))
+    assert secrets.all_spans(secrets.redacted(text)) == []
+
+
+def test_scan_keeps_rows(spark):
+    texts = [None, "", "password=abcdef", "password=abcdef"]
+    rows = secrets.scan(frame(spark, texts, [1, 2, 3, 3])).collect()
+    assert sorted((r.doc_id, len(r.base), len(r.spans)) for r in rows) == [(1, 0, 0), (2, 0, 0), (3, 1, 1), (3, 1, 1)]
+    clean = secrets.redact(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in clean] == [None, "", "[secret]", "[secret]"]
+
+
+# ------------------------------------------------------------------ BPE
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        raw = file.read()
+    ranks = bpe.read_ranks(raw)
+    return raw, bpe.Encoder(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encoding_is_the_librarys(tokenizers):
+    _, own, library = tokenizers
+    draw = random.Random(6)
+    letters = " \n\t \x0b\x1c\x85abcdefghinorstABC'sd012½é漢字カ🙂👍🏽!?.,-_%<|>"
+    for _ in range(3000):
+        text = "".join(draw.choices(letters, k=draw.randint(0, 40)))
+        ids = own.encode(text)
+        assert ids == library.encode_ordinary(text), text
+        assert own.decode_bytes(ids) == text.encode()
+    text = "\n".join(t for t in corpus() if t)
+    assert own.encode(text) == library.encode_ordinary(text)
+
+
+def test_prefix_tables_append_and_edit(tokenizers):
+    vocabulary = tokenizers[1].vocabulary
+    draw = random.Random(7)
+    for _ in range(300):
+        data = bytes(draw.choices(b"abcdefe th\xc3\xa9in", k=draw.randint(1, 200)))
+        table = bpe.PrefixTable(vocabulary, data[:50])
+        table.append(data[50:])
+        assert table.last == bpe.PrefixTable(vocabulary, data).last
+        i = draw.randint(0, len(data))
+        j = draw.randint(i, min(len(data), i + 5))
+        more = bytes(draw.choices(b"abeht ", k=draw.randint(0, 6)))
+        table.replace(i, j, more)
+        whole = bpe.PrefixTable(vocabulary, data[:i] + more + data[j:])
+        assert (table.data, table.last) == (whole.data, whole.last)
+        assert table.ids(i) == bpe.PrefixTable(vocabulary, data[:i]).ids()
+
+
+def test_encode_tables(spark, tokenizers):
+    raw, _, library = tokenizers
+    texts = corpus()
+    for r in bpe.encode(frame(spark, texts), raw, public_tokenizers.PATTERN).collect():
+        assert r.ids == library.encode_ordinary(texts[r.doc_id] or "")
+        assert r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+# ------------------------------------------------------------------ classifiers
+
+
+def test_language_on_rows_kept_apart(spark):
+    draw = random.Random(8)
+    parts = {"en": ["the", "ing", "tion", "wh", "ed"], "fr": ["eau", "é", "ou", "que", "ment"]}
+    rows = [(i, " ".join("".join(draw.choices(parts[lang], k=3)) for _ in range(20)), lang) for i, lang in enumerate(draw.choices(["en", "fr"], k=200))]
+    docs = spark.createDataFrame(rows + [(900, None, "en"), (901, "12 !", "en"), (902, "", None), (903, "whing", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id % 4 != 2"))
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    assert len(got) == docs.count()
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "en"]
+    nothing = langid.fit(docs.limit(0))
+    assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_toxic_documents_and_words(spark):
+    draw = random.Random(9)
+    rows, labels = [], []
+    for i in range(240):
+        words = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(30)]
+        toxic = i % 4 == 0
+        if toxic:
+            for w in ("vile" + draw.choice("xyz"), "awfulest"):
+                words[draw.randrange(30)] = w
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known.where("doc_id % 5 != 0"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, toxic in labels:
+        assert (got[i].score >= 0.3) == bool(toxic), (i, got[i])
+        if toxic:
+            text = rows[i][1]
+            assert any(text[s.start : s.end] in ("awfulest", "vilex", "viley", "vilez") for s in got[i].spans)
+    assert got[900].score < 0.3 and got[901].score < 0.3
+    assert toxicity.fit(docs, known.where("toxic = 0")) is None
+    assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
+
+
+def test_marginals_match_all_labellings():
+    import itertools
+
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    for n in (1, 2, 7):
+        score, arcs = draw.normal(size=n), np.exp(draw.normal(size=(2, 2)))
+        total, ones = 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=n):
+            p = np.exp(sum(s for s, label in zip(score, y) if label)) * np.prod([arcs[a, b] for a, b in zip(y, y[1:])])
+            total += p
+            ones += p * np.array(y)
+        first = np.zeros(n, bool)
+        first[0] = True
+        # the same chain many times over, across the borders of blocks
+        got = toxicity.marginals(np.tile(score, 100), np.tile(first, 100), arcs)
+        assert np.allclose(got.reshape(100, n), ones / total)
+
+
+# ------------------------------------------------------------------ mixing
+
+
+def test_mix_meets_targets(spark):
+    texts = corpus(4, 200)
+    docs = frame(spark, texts)
+    rows = mixing.mix_sizes(docs, block=4).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    assert all(r["size"] == len(WORD.findall(texts[r.doc_id] or "")) and r.taken <= 2 * r["size"] for r in rows)
+    sizes, taken, target = collections.Counter(), collections.Counter(), {}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    for r in rows:
+        s = source[r.doc_id]
+        sizes[s] += r["size"]
+        taken[s] += r.taken
+        target[s] = r.target
+        assert abs(r.target - target[s]) < 1e-9
+    weights = dict(zip(["a", "b", "ç", None], (5, 2, 1, 5)))
+    left, open_, expected = 1.5 * sum(sizes.values()), set(sizes), {}
+    while True:
+        full = [s for s in open_ if left * weights[s] / sum(weights[x] for x in open_) > 2 * sizes[s]]
+        if not full:
+            break
+        for s in full:
+            expected[s] = 2 * sizes[s]
+            open_.discard(s)
+        left = 1.5 * sum(sizes.values()) - sum(expected.values())
+    expected |= {s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}
+    for s in sizes:
+        assert abs(target[s] - expected[s]) < 1e-6 and abs(taken[s] - expected[s]) <= 8
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix_sizes(docs, block=4).collect()), key=str)
+
+
+def test_mixed_texts_are_pieces(spark):
+    texts = corpus(4, 40)
+    docs = frame(spark, texts)
+    mixed = mixing.mix_texts(docs, block=16).collect()
+    sizes = {r.doc_id: r for r in mixing.mix_sizes(docs, block=16).collect()}
+    words = collections.Counter()
+    for r in mixed:
+        assert r.text in texts[r.doc_id]
+        assert WORD.findall(texts[r.doc_id])[r.first_word :][: len(WORD.findall(r.text))] == WORD.findall(r.text)
+        words[r.doc_id] += len(WORD.findall(r.text))
+    assert all(words[i] == r.taken for i, r in sizes.items())
+    assert mixing.mix_sizes(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_permutations(spark, n):
+    from pyspark.sql import functions as F
+
+    assert sorted(r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5))).collect()) == list(range(n))
