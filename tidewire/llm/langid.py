@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import slices
+from .shared import class_sample
 
 BITS = 15
 SCALE = 100.0
@@ -182,23 +183,16 @@ def fit(labelled: DataFrame, sample: int = 6000) -> Model:
     """Learn from labelled rows (doc_id, text, lang).
 
     Document frequencies are counted over all of them.  The weights are learned from
-    a sample of at most ``sample`` rows in all, as many of each language, chosen by a
-    hash of doc_id; a fifth of it serves the temperature alone.  Rows with a null
+    a sample of at most ``sample`` rows in all, about as many of each language, chosen
+    by a hash of doc_id; a fifth of it serves the temperature alone.  Rows with a null
     text or lang are left out; without any the model knows no language.
     """
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     found, n = document_frequencies(labelled)
     idf = np.log((1.0 + n) / (1.0 + found)) + 1.0
-    languages = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    kinds = languages.count()
+    kinds = labelled.select("lang").distinct().count()
     each = max(1, sample // max(kinds, 1))
-    chosen = (
-        labelled.withColumn("h", F.xxhash64(F.lit(3), "doc_id"))
-        .selectExpr("*", "row_number() over (partition by lang order by h, doc_id, text) as place")
-        .where(F.col("place") <= each)
-        .orderBy("h", "doc_id", "lang")
-        .limit(sample)
-    )
+    chosen = class_sample(labelled, "lang", each, 3).orderBy("h", "doc_id", "lang", "text").limit(sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def class_sample(rows: DataFrame, by: str, each: int, seed: int) -> DataFrame:
+    """About ``each`` rows of every class, or all of a smaller one, chosen by a hash ``h`` of doc_id.
+
+    Each row is judged alone against its class's share, so no class is gathered in one
+    task.  The counts of classes, one row each, go to every task.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("class_rows"))
+    held = rows.join(F.broadcast(counts), by).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    share = F.col("h").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
+    return held.where(share * F.col("class_rows") < each).drop("class_rows")
