@@ -42,15 +42,19 @@ def clusters(articles: DataFrame, hours: int = 48) -> DataFrame:
     """Clusters of equal signatures, each at most ``hours`` long from its first article: (id, head_id).
 
     In the order of time an article joins the open cluster, or begins one if that
-    began too long ago - so the window hangs on the head, not on the gap.  Each
-    signature is folded in one pass over its ordered array of times; an article
-    without a time or a signature stands alone.
+    began too long ago - so the window hangs on the head, not on the gap.  A gap longer
+    than the window always begins a cluster, so a signature is first cut at its gaps
+    and only what lies between two gaps is folded, over an ordered array of times.  An
+    article without a time or a signature stands alone.
     """
     seconds = F.unix_micros(news_time("published_at", "first_seen_at").cast("timestamp"))
     rows = articles.select("id", "title_signature", seconds.alias("at"))
     alone = rows.where("coalesce(title_signature, '') = '' or at is null").select("id", F.col("id").alias("head_id"))
-    items = rows.where("coalesce(title_signature, '') <> '' and at is not null").groupBy("title_signature").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("items"))
     span = hours * 3_600_000_000
+    order = Window.partitionBy("title_signature").orderBy("at", "id")
+    timed = rows.where("coalesce(title_signature, '') <> '' and at is not null").withColumn("gap", (F.col("at") - F.lag("at").over(order) > span).cast("int"))
+    timed = timed.withColumn("run", F.coalesce(F.sum("gap").over(order), F.lit(0)))
+    items = timed.groupBy("title_signature", "run").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("items"))
     fold = f"""aggregate(items, cast(array() as array<struct<id:bigint,head_id:bigint,head_at:bigint>>),
       (done, x) -> case when size(done) = 0 or x.at - element_at(done, -1).head_at > {span}
         then array_append(done, named_struct('id', x.id, 'head_id', x.id, 'head_at', x.at))
