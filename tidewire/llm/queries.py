@@ -106,11 +106,61 @@ with usable as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
 )
 select * from ranked where rank <= 5
+""",
+    "op4_substring_dedup": """
+with split as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents
+), windows as (
+  select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as key from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from split)
+), least as (
+  select key, min(doc_id) as low from windows group by key
+), covered as (
+  select distinct doc_id, i + k as j from windows join least using (key) cross join range(0, 13) r(k) where low < doc_id
+), words as (
+  select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as j from split
+), kept as (
+  select doc_id, string_agg(word, ' ' order by j) as text, count(*) as n from words anti join covered using (doc_id, j) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from split left join kept using (doc_id)
 """,
     # the tables hold no tool calls; for a text with calls these would not be 0
     "op7_chat_formatting": """
 select conv_id, turn, role, cast(0 as bigint) as n_calls, cast(0 as bigint) as n_linked, cast(0 as bigint) as n_valid, cast(0 as integer) as level,
   sha256(cast(to_json({'content': text, 'role': role}) as varchar)) as message_sha256
 from conversations
+""",
+    "op9_minhash_near_dedup": """
+with recursive split as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents
+), sets as (
+  select doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) as s from split where len(w) > 0
+), shingles as (
+  select doc_id, len(s) as n, unnest(s) as shingle from sets
+), links as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id, doc_id as other from split union select r.doc_id, l.b from reach r join links l on l.a = r.other
+), found as (
+  select doc_id, min(other) as component_id from reach group by doc_id
+)
+select p.doc_id, cast(coalesce(len(s), 0) as bigint) as n_shingles, component_id, p.doc_id = component_id as kept
+from split p join found using (doc_id) left join sets using (doc_id)
+""",
+    "op10_embedding_near_dedup": """
+with recursive units as (
+  select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u
+  from (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)
+  where v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from units a join units b on a.vec_id <> b.vec_id
+  where list_sum(list_transform(range(1, len(a.u) + 1), lambda i: a.u[i] * b.u[i])) >= 0.9
+), reach as (
+  select vec_id, vec_id as other from embeddings union select r.vec_id, l.b from reach r join links l on l.a = r.other
+), found as (
+  select vec_id, min(other) as component_id from reach group by vec_id
+)
+select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links, component_id, e.vec_id = component_id as kept from embeddings e join found using (vec_id)
 """,
 }
