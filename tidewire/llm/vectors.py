@@ -95,8 +95,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
     vectors needs vec_id and embedding; other columns are ignored.  Components become
     floor(scale * x).  Queries are the rows whose vec_id is divisible by ``every``;
     candidates are all rows of another vec_id.  Returns query_id, rank (from 1),
-    vec_id and score; equal scores go by smaller vec_id.  Vectors that are null or
-    hold null or non-finite components take no part.  Shorter vectors count as
+    vec_id and score; equal scores go by smaller vec_id.  Vectors that are null, empty
+    or hold null or non-finite components take no part.  Shorter vectors count as
     filled up with zeros.  Of rows that share a vec_id one with the smallest vector
     is used.  Sums are exact as long as they fit 64 bits.
 
@@ -118,8 +118,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
         .groupBy(name)
         .applyInPandas(_packed(name, dims), f"{name} int, ids binary, matrix binary")
     )
-    candidates = pack(rows, "block", blocks).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # a task takes some blocks for one group, so tasks grow with both
+    shares = -(-blocks // 8)
+    candidates = pack(rows, "block", blocks).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("share", F.col("block") % shares)
     queries = pack(rows.where(F.col("vec_id") % every == 0), "group", groups).select("group", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+    queries = queries.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, list[tuple[int, int]]] = {}
@@ -131,7 +134,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
         found = [(own, i, -s) for own, those in best.items() for s, i in those]
         yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    met = candidates.join(queries, "group").select("ids", "matrix", "query_ids", "query_matrix")
+    met = candidates.join(queries, ["group", "share"]).select("ids", "matrix", "query_ids", "query_matrix")
     found = met.mapInPandas(run, "query_id long, vec_id long, score long")
     return found.selectExpr("query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score").where(F.col("rank") <= k)
 
