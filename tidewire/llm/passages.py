@@ -126,6 +126,15 @@ def _pack(window: int, chars: int, bits: int):
     return run
 
 
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Counts by cell of several pairs of rows (cells, counts)."""
+    both = np.concatenate(parts, axis=1)
+    cell, of = np.unique(both[0], return_inverse=True)
+    n = np.zeros(len(cell), dtype=np.int64)
+    np.add.at(n, of, both[1])
+    return np.stack([cell, n])
+
+
 def _bins(counts: dict[int, int], bits: int, levels: int, most: int) -> np.ndarray:
     """The group of each prefix cell of each level; -1 where a longer prefix decides."""
     groups = np.full((levels, 1 << bits), -1, dtype=np.int32)
@@ -283,7 +292,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, block_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()["chars"]
     likely = max(1, size // 5)
-    bits = max(10, math.ceil(math.log2(likely / group_windows + 1)) + 8)
+    bits = max(10, math.ceil(math.log2(likely / group_windows + 1)) + 5)
     name = f"tidewire_blocks_{uuid.uuid4().hex}"
     packed = docs.mapInArrow(_pack(window, block_chars, bits), "block long, ids array<long>, texts array<string>, prefixes binary, windows long")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / block_chars / 8))
@@ -297,10 +306,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, block_
     blocks = spark.table(name)
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums of a task's blocks; the sums are brought together whenever a million entries have gathered."""
+        parts, held = [], 0
         for batch in batches:
             for p in batch["prefixes"]:
-                cell, n = _integers(p).view(np.int64).reshape(2, -1)
-                yield pd.DataFrame({"cell": cell, "n": n})
+                parts.append(_integers(p).view(np.int64).reshape(2, -1))
+                held += parts[-1].shape[1]
+                if held > 1 << 20:
+                    parts = [_summed(parts)]
+                    held = parts[0].shape[1]
+        if parts:
+            cell, n = _summed(parts)
+            yield pd.DataFrame({"cell": cell, "n": n})
 
     cells = blocks.select("prefixes").mapInPandas(added, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     levels = len([s for s in LEVELS if s < window]) + 1
