@@ -180,12 +180,15 @@ def near_duplicates(
     ).where("doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
     links = cut(copies, "links")
     members = leaders.select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"))
+    # a bucket of one document proposes nothing; the others are few, and all rounds start from them
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    members = cut(members.join(shared, "key"), "members")
     pairs = cut(_stars(members.withColumn("component", F.col("doc_id")), None, percent), "pairs")
     links = links.unionByName(cut(confirm_links(docs, pairs, words, percent), "links"))
     components = connected_components(links)
     for k in range(rounds):
-        now = leaders.join(components.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
-        now = now.select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"), F.coalesce("component", "doc_id").alias("component"))
+        now = members.join(components.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
+        now = now.withColumn("component", F.coalesce("component", "doc_id"))
         more = cut(_stars(now, k + 1, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs = pairs.unionByName(more)
         links = links.unionByName(cut(confirm_links(docs, more, words, percent), "links"))
