@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import class_sample
 
 BITS = 18
 PREFIXES = (3, 4, 5)
@@ -211,18 +210,22 @@ def _unlike(words: np.ndarray, at: np.ndarray, marks: int = 8) -> Iterator[int]:
         seen |= least
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, passes: int = 60) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, passes: int = 60) -> Model | None:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic).
 
-    A sample of about ``sample`` rows of each label and at most three times as many in
-    all, chosen by a hash of doc_id, is brought to the driver.  Rows without a text or label are left out.  Where a label
+    A sample of at most ``sample`` rows of each label, chosen by a hash of doc_id, is
+    brought to the driver.  Rows without a text or label are left out.  Where a label
     occurs in no row there is nothing to learn, and the result is None.
     """
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    chosen = class_sample(labels, "toxic", sample, 8).orderBy("h", "doc_id").limit(3 * sample)
+    chosen = (
+        labels.withColumn("h", F.xxhash64(F.lit(8), "doc_id"))
+        .selectExpr("*", "row_number() over (partition by toxic order by h, doc_id) as place")
+        .where(F.col("place") <= sample)
+    )
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "toxic", "text").collect()
     rows.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
     y = np.array([r["toxic"] for r in rows])
