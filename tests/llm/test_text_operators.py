@@ -84,6 +84,35 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert minhash.near_duplicates(frame(spark, ["x"]).limit(0), rounds=0).count() == 0
 
 
+def test_pairs_of_a_large_bucket_that_no_centre_has(spark, monkeypatch):
+    """Families of one boilerplate: members lie below the threshold but for the second of each pair."""
+    draw = random.Random(9)
+    shared = [f"s{i}" for i in range(404)]
+    texts = []
+    for k in range(60):
+        own = [f"d{k}_{i}" for i in range(36)]
+        texts += [" ".join(shared + own), " ".join(shared + own[:4] + [f"e{k}_{i}" for i in range(32)])]
+    draw.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(links) == 60
+    expected = components(len(texts), links)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rows = minhash.near_duplicates(frame(spark, texts), percent=85, rounds=1).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(expected))
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    draw = random.Random(10)
+    sets = [sorted(draw.sample(range(40), draw.randint(1, 30))) for _ in range(200)]
+    flat = kernel.mix64(kernel.np.array([x for s in sets for x in s], dtype=kernel.np.uint64))
+    first = kernel.np.cumsum([0] + [len(s) for s in sets])
+    made = minhash.sketches(flat, first).astype(int)
+    for a in range(200):
+        for b in range(a):
+            assert abs(made[a] - made[b]).sum() <= len(set(sets[a]) ^ set(sets[b]))
+
+
 # ------------------------------------------------------------------ passages
 
 

@@ -6,6 +6,8 @@ filled bin chosen by a hash of (bin, attempt), the same for every document
 (optimal densification).  Runs of bins make bands; documents that share a band
 form a bucket.  In a bucket only stars are proposed - a centre with each other
 member - so that a bucket of m documents gives m - 1 pairs, not m^2.
+Buckets that span several components after that are compared whole, block by block,
+and only pairs that a bound on the difference of their sets cannot rule out go on.
 Every proposed pair is confirmed on the full sets.
 """
 from __future__ import annotations
@@ -22,6 +24,12 @@ from .components import connected_components
 from .shared import cut
 
 PROFILE = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
+#: Members of a bucket that are compared with as many others in one piece of work, about.
+BLOCK = 512
+#: Counters of a sketch.
+CELLS = 256
+#: Pairs whose sketches are subtracted at once.
+AT_ONCE = 16_384
 
 
 def densified_minima(sets: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
@@ -150,6 +158,130 @@ def _stars(members: DataFrame, seed: int | None, percent: int) -> DataFrame:
     )
 
 
+def sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Counts of each set's members by a hash, 255 at most.
+
+    The counts of two sets differ, added up over all cells, by no more than the number of
+    members that only one of the sets has.
+    """
+    n = len(first) - 1
+    cell = (kernel.mix64(sets ^ np.uint64(0xA4093822299F31D0)) % np.uint64(CELLS)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(n), np.diff(first)) * CELLS + cell, minlength=n * CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(n, CELLS)
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in kernel.slices(batch["text"]):
+                some = batch.iloc[part]
+                sets, first = kernel.shingle_sets(some["text"].tolist(), words)
+                yield pd.DataFrame({"doc_id": some["doc_id"].array, "n": np.diff(first), "sketch": [c.tobytes() for c in sketches(sets, first)]})
+
+    return run
+
+
+def _possible(doc, n, component, sketch, far, percent: int, closest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one piece of work that may be similar enough.
+
+    far: None where all members meet, or which of two blocks each is in, where only the
+    blocks meet.
+    """
+    left = right = np.arange(len(doc))
+    if far is not None:
+        left, right = np.flatnonzero(~far), np.flatnonzero(far)
+    some = component[left][:, None] != component[right][None, :]
+    some &= 100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])
+    if far is None:
+        some = np.triu(some, 1)
+    i, j = np.nonzero(some)
+    i, j = left[i], right[j]
+    apart = np.zeros(len(i), dtype=np.int64)
+    for k in range(0, len(i), AT_ONCE):
+        apart[k : k + AT_ONCE] = np.abs(sketch[i[k : k + AT_ONCE]] - sketch[j[k : k + AT_ONCE]]).sum(axis=1, dtype=np.int64)
+    both = n[i] + n[j]
+    keep = apart * (100 + percent) <= both * (100 - percent)
+    i, j, apart, both = i[keep], j[keep], apart[keep], both[keep]
+    if closest and len(i) > 1:
+        low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+        order = np.lexsort((apart / both, high, low))
+        lead = np.ones(len(order), dtype=bool)
+        lead[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        i, j = i[order[lead]], j[order[lead]]
+    return i, j
+
+
+def _compared(percent: int, closest: bool):
+    """Rows in order of (key, x, y) to possible pairs; a piece of work may go on in the next batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            at = _borders(batch)
+            rest = batch.iloc[at[-2] :]
+            yield from _pieces(batch, at[:-1], percent, closest)
+        if rest is not None and len(rest):
+            yield from _pieces(rest, _borders(rest), percent, closest)
+
+    return run
+
+
+def _borders(batch: pd.DataFrame) -> np.ndarray:
+    marks = [batch[c].to_numpy() for c in ("key", "x", "y")]
+    new = np.ones(len(batch), dtype=bool)
+    new[1:] = np.any([m[1:] != m[:-1] for m in marks], axis=0)
+    return np.append(np.flatnonzero(new), len(batch))
+
+
+def _pieces(batch: pd.DataFrame, at: np.ndarray, percent: int, closest: bool) -> Iterator[pd.DataFrame]:
+    doc, n, component, x, y, block = (batch[c].to_numpy() for c in ("doc_id", "n", "component", "x", "y", "block"))
+    raw = batch["sketch"].tolist()
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for start, end in zip(at[:-1], at[1:]):
+        own = component[start:end]
+        if end - start < 2 or (own == own[0]).all():
+            continue
+        sketch = np.frombuffer(b"".join(raw[start:end]), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16)
+        far = None if x[start] == y[start] else block[start:end] == y[start]
+        i, j = _possible(doc[start:end], n[start:end], own, sketch, far, percent, closest)
+        out.append((doc[start:end][i], doc[start:end][j]))
+    if out:
+        a, b = (np.concatenate(side) for side in zip(*out))
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _rest(docs: DataFrame, now: DataFrame, words: int, percent: int, closest: bool) -> DataFrame:
+    """Pairs of members of other components in every bucket that spans several, but for those whose sketches rule them out.
+
+    now: (key, doc_id, n, component).  A bucket of m documents is cut into blocks of about
+    BLOCK, and each two blocks are one piece of work.  Buckets with the same members are
+    compared once; a bucket of two was compared by its star.  closest: only the pair with
+    the nearest sketches of each two components in a piece of work.
+    """
+    buckets = now.groupBy("key").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.count("*").alias("m"),
+        F.bit_xor(F.xxhash64(F.lit(11), "doc_id", "n")).alias("hi"),
+        F.bit_xor(F.xxhash64(F.lit(12), "doc_id", "n")).alias("lo"),
+    )
+    open_ = buckets.where("low != high and m > 2").groupBy("m", "hi", "lo").agg(F.min("key").alias("key")).select("key", "m")
+    members = cut(now.join(open_, "key"), "open")
+    named = members.select("doc_id").distinct()
+    made = docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInPandas(_sketches(words), "doc_id long, n long, sketch binary").distinct()
+    pieces = F.ceil(F.col("m") / BLOCK)
+    work = (
+        members.join(made, ["doc_id", "n"])
+        .withColumn("pieces", pieces.cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.col("pieces")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        .select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "n", "component", "sketch")
+    )
+    work = work.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return work.mapInPandas(_compared(percent, closest), "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, bins: int = 128, bands: int = 32, rounds: int = 3
 ) -> DataFrame:
@@ -169,7 +301,9 @@ def near_duplicates(
     doc_id as its centre.  In each of ``rounds`` further rounds every bucket that
     still spans several components proposes a star around another member with the
     members of other components.  That centre is chosen by a hash of bucket and
-    document, so the buckets of one group try different centres.
+    document, so the buckets of one group try different centres.  What still spans
+    several components then is finished: first the nearest pair of each two
+    components, then every pair that is still of two components and may be similar.
     """
     profile = cut(docs.select("doc_id", "text").mapInPandas(_profiles(words, bins, bands), PROFILE), "profiles")
     some = profile.where("n_shingles > 0 and doc_id is not null")
@@ -186,10 +320,11 @@ def near_duplicates(
     pairs = cut(_stars(members.withColumn("component", F.col("doc_id")), None, percent), "pairs")
     links = links.unionByName(cut(confirm_links(docs, pairs, words, percent), "links"))
     components = connected_components(links)
-    for k in range(rounds):
+    for k in range(rounds + 2):
         now = members.join(components.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
         now = now.withColumn("component", F.coalesce("component", "doc_id"))
-        more = cut(_stars(now, k + 1, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = _stars(now, k + 1, percent) if k < rounds else _rest(docs, now, words, percent, closest=k == rounds)
+        more = cut(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs = pairs.unionByName(more)
         links = links.unionByName(cut(confirm_links(docs, more, words, percent), "links"))
         components = connected_components(links)
