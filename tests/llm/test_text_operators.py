@@ -1,8 +1,10 @@
 """Operators on texts against brute force."""
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -198,6 +200,42 @@ def test_secrets_in_layers_map_to_the_text(wrap):
     assert secrets.all_spans(secrets.redacted(text)) == []
 
 
+SECRET = 'é token: "abcDEF123456"'
+
+
+@pytest.mark.parametrize(
+    "held",
+    [
+        base64.b64encode(SECRET.encode("utf-16")).decode(),
+        base64.b64encode(SECRET.encode("utf-16-be")).decode(),
+        base64.b64encode(SECRET.encode("latin-1")).decode(),
+        base64.b64encode(b"\x1b[0m" + SECRET.encode()).decode(),
+        base64.encodebytes(("filler " * 7 + SECRET + " filler" * 9).encode()).decode().strip(),
+        base64.encodebytes(gzip.compress(random.Random(1).randbytes(90) + SECRET.encode())).decode().strip().replace("\n", "\r\n"),
+        "cfg/" + base64.b64encode(SECRET.encode()).decode(),
+        "config-" + base64.b64encode(SECRET.encode()).decode(),
+        "my_" + base64.b64encode(gzip.compress(SECRET.encode())).decode(),
+        base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET.encode())).decode(),
+        base64.b64encode(gzip.compress(bz2.compress(lzma.compress(SECRET.encode())))).decode(),
+        base64.b64encode(SECRET.encode()).decode().rstrip("=") + "A" * (1 + -len(SECRET.encode()) % 3),
+    ],
+)
+def test_secrets_in_bytes_that_are_not_plain_text(held):
+    text = f"vorne {held} hinten"
+    kind, start, end = next(s for s in secrets.all_spans(text) if s[0] == "assign")
+    assert text[:start] == "vorne " and text[end:] == " hinten"
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_secrets_in_long_streams(monkeypatch, pack):
+    monkeypatch.setattr(secrets, "MOST_INFLATED", 1 << 12)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+    for before in (0, 4090, 9000, 30000):
+        plain = b"x " * (before // 2) + b"password=abcDEF123456 " + b"y " * 20000
+        text = f"vorne {base64.b64encode(pack(plain)).decode()} hinten"
+        assert secrets.all_spans(text) == [("assign", 6, len(text) - 7)]
+
+
 def test_scan_keeps_rows(spark):
     texts = [None, "", "password=abcdef", "password=abcdef"]
     rows = secrets.scan(frame(spark, texts, [1, 2, 3, 3])).collect()

@@ -1,8 +1,10 @@
 """Secrets in texts and in what is encoded inside them.
 
 A worklist holds layers of text.  Each layer is scanned, then unwrapped: URL
-escapes and Unicode escapes are replaced in place, base64 runs are decoded and,
-where they hold a compressed stream, inflated.  What comes out is a new layer.
+escapes and Unicode escapes are replaced in place, base64 runs are decoded from each
+of four places, also across line ends, and the compressed streams in them inflated.
+Bytes that are no UTF-8 are replaced, and NUL bytes are also read as UTF-16.  What
+comes out is a new layer.
 A layer seen before is not taken again, so the list ends.  Each layer knows where
 its characters came from, and every finding is told as a span of the first text.
 """
@@ -17,6 +19,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,8 +27,10 @@ from pyspark.sql import DataFrame
 from .kernel import slices
 
 KINDS = ("assign", "access", "hex")
-#: Bytes that one compressed stream may inflate to; a stream beyond it is a bomb and stays packed.
+#: Bytes of an inflated stream that are held and scanned at once; a longer one makes several layers.
 MOST_INFLATED = 64 << 20
+#: Bytes of the end of such a layer that the next one begins with, at most.
+OVERLAP = 1 << 20
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -36,7 +41,9 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,})*(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)?={0,2}")
+_LINE_END = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 
 Span = tuple[str, int, int]
 
@@ -108,10 +115,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
 
 def _percent(run: str) -> str | None:
-    try:
-        return binascii.unhexlify(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+    return binascii.unhexlify(run.replace("%", "")).decode("utf-8", "replace")
 
 
 def _escapes(run: str) -> str | None:
@@ -128,58 +132,131 @@ def _escapes(run: str) -> str | None:
         return None
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """The bytes of a gzip, zlib, bzip2 or xz stream; None if it is none of these."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
-            tool = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor()
-        else:
-            return None
-        plain = tool.decompress(data, MOST_INFLATED)
-        return plain if tool.eof else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return None
-
-
-def _text(data: bytes) -> str | None:
-    """The bytes as text, compressed streams unwrapped; None if they are no text."""
+def _tool(data: bytes):
+    """What inflates the gzip, zlib, bzip2 or xz stream that data begins with; None if it is none of these."""
+    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _inflated(packed: Iterator[bytes]) -> Iterator[bytes]:
+    """What a stream and all members that follow it inflate to, in pieces of 1 MiB at most, as far as it is whole."""
+    data, tool = b"", None
+    for more in packed:
+        data += more
+        while data or tool is not None:
+            if tool is None:
+                data = data.lstrip(b"\0")  # padding between members
+                tool = _tool(data)
+                if tool is None:
+                    return
+            try:
+                plain = tool.decompress(data, OVERLAP)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError):
+                return
+            if plain:
+                yield plain
+            if tool.eof:
+                data, tool = tool.unused_data, None
+                if not data:
+                    break
+            elif isinstance(tool, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                data = b""
+                if tool.needs_input:
+                    break
+            else:
+                data = tool.unconsumed_tail
+                if not data and not plain:
+                    break
+
+
+def _noted(lead: bytes, rest: Iterator[bytes], taken: list[bytes]) -> Iterator[bytes]:
+    """lead and rest; taken gets the pieces of rest as long as it is not emptied."""
+    yield lead
+    for piece in rest:
+        if taken:
+            taken.append(piece)
+        yield piece
+
+
+def _unwrapped(data: bytes) -> Iterator[bytes]:
+    """What the stream at the start of data holds, in pieces; streams inside a stream are unwrapped, too."""
+    pieces = iter([data])
     for _ in range(64):
-        plain = _inflated(data)
-        if plain is None:
+        lead = next(pieces, None)
+        if lead is None:
+            return
+        if _tool(lead) is None:
+            yield lead
             break
-        data = plain
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if _CONTROL.search(text) else text
+        taken = [lead]
+        inner = _inflated(_noted(lead, pieces, taken))
+        plain = next(inner, None)
+        if plain is None:  # only looks like a stream, as text that begins with "x " does
+            yield from taken
+            break
+        taken[:] = []
+        pieces = chain([plain], inner)
+    yield from pieces
+
+
+def _views(data: bytes) -> Iterator[str]:
+    """The bytes as text; those with NUL bytes as UTF-16, too."""
+    yield data.decode("utf-8", "replace")
+    if b"\0" in data:
+        yield data.decode("utf-16-le", "replace")
+        yield data.decode("utf-16-be", "replace")
+        yield data.replace(b"\0", b"").decode("utf-8", "replace")
+
+
+def _texts(data: bytes) -> Iterator[str]:
+    """The bytes and every compressed stream in them as texts, long streams in parts that overlap."""
+    yield from _views(data)
+    at = 0
+    while m := _STREAM.search(data, at):
+        held, fresh = bytearray(), 0
+        for piece in _unwrapped(data[m.start() :]):
+            held += piece
+            fresh += len(piece)
+            if len(held) >= MOST_INFLATED:
+                yield from _views(bytes(held))
+                del held[: max(len(held) - min(OVERLAP, MOST_INFLATED // 2), 0)]
+                fresh = 0
+        if fresh:
+            yield from _views(bytes(held))
+        at = m.start() + 1
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode((run + "=" * (-len(run) % 4)).replace("-", "+").replace("_", "/"))
-        except binascii.Error:
-            continue
-        text = _text(data)
-        if text:
-            yield Layer(text, layer, (m.start(), m.end()))
+    places = [(m.start(), m.end(), m[0]) for m in _BASE64.finditer(layer.text)]
+    if "\n" in layer.text:
+        places += [(m.start(), m.end(), _LINE_END.sub("", m[0])) for m in _WRAPPED.finditer(layer.text) if "\n" in m[0]]
+    for start, end, run in places:
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
+        # a run may be glued to the word before it, so it is read from each place of a group of four
+        for skip in range(4):
+            some = run[skip:]
+            some = some[: len(some) - (len(some) % 4 == 1)]
+            for text in _texts(base64.b64decode(some + "=" * (-len(some) % 4))):
+                if text:
+                    yield Layer(text, layer, (start, end))
 
 
 def all_spans(text: str) -> list[Span]:
     """Findings in a text and in all its layers, as spans of the text, by start, then kind."""
     found: set[Span] = set()
     seen: set[bytes] = set()
-    work = [Layer(text)]
+    work: list[Layer | Iterator[Layer]] = [Layer(text)]
     while work:
         layer = work.pop()
+        if not isinstance(layer, Layer):  # layers still to be made, one at a time
+            more = next(layer, None)
+            work += [layer, more] if more else []
+            continue
         # the same text at another place is another layer: its findings are other spans
         mark = hashlib.blake2b(repr(layer.lift(0, len(layer.text))).encode() + layer.text.encode("utf-8", "surrogatepass")).digest()
         if mark in seen:
@@ -190,7 +267,7 @@ def all_spans(text: str) -> list[Span]:
             work += filter(None, [_replaced(layer, _PERCENT, _percent)])
         if "\\" in layer.text or "&#" in layer.text:
             work += filter(None, [_replaced(layer, _ESCAPE, _escapes)])
-        work += _base64_layers(layer)
+        work.append(_base64_layers(layer))
     return sorted(found, key=_order)
 
 
