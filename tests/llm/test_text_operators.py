@@ -337,6 +337,32 @@ def test_toxic_documents_and_words(spark):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_clean_words_far_from_the_start_are_learned(spark):
+    """Late clean words that share a beginning and an end with a toxic word stay clean."""
+    draw = random.Random(12)
+    words = [f"{draw.randrange(10**9)}" for _ in range(100_000)]
+    texts, labels = [], []
+    for i in range(200):
+        text = draw.choices(words, k=80)
+        text[60] = "grumblefest" if i % 2 else "grumbleharvest"
+        texts.append(" ".join(text))
+        labels.append((i, i % 2))
+    model = toxicity.fit(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found, p = model.tag([" ".join(words[:60]) + " grumbleharvest", " ".join(words[:60]) + " grumblefest"])
+    last = [p[found.doc == k][-1] for k in (0, 1)]
+    assert last[0] < 0.1 and last[1] > 0.9
+
+
+def test_batches_add_up_to_the_whole_gradient(monkeypatch):
+    draw = kernel.np.random.default_rng(13)
+    features, labels, first = draw.integers(0, 500, (3000, toxicity.FEATURES)), draw.integers(0, 2, 3000), draw.random(3000) < 0.02
+    first[0] = True
+    whole = toxicity._fit_chain(features, first, labels, 5)
+    monkeypatch.setattr(toxicity, "BATCH", 100)
+    for x, y in zip(whole, toxicity._fit_chain(features, first, labels, 5)):
+        assert kernel.np.allclose(x, y, atol=1e-4)
+
+
 def test_marginals_match_all_labellings():
     import itertools
 

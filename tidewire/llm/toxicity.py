@@ -26,6 +26,8 @@ PREFIXES = (3, 4, 5)
 SUFFIX = 4
 FEATURES = 2 + len(PREFIXES)
 BLOCK = 64
+#: Tokens of a batch in training, about; a text is never cut.
+BATCH = 100_000
 
 _TOKEN = np.zeros(256, dtype=bool)
 for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
@@ -166,16 +168,22 @@ def _aggregates(doc: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
 
 
 def _fit_chain(features, first, labels, passes: int, rate: float = 0.5, l2: float = 1e-3):
-    """Maximum likelihood by AdaGrad over all tokens at once."""
+    """Maximum likelihood by AdaGrad over all tokens; gradients are added up over batches of whole chains."""
     weights, seen = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-3)
     arcs, arcs_seen = np.zeros((2, 2)), np.full((2, 2), 1e-3)
     weights[-1] = -2.0
-    flat = features.ravel()
+    chains = np.flatnonzero(first)
+    at = np.unique(chains[np.searchsorted(chains, np.arange(0, len(first), BATCH), side="right") - 1]) if len(chains) else chains
+    batches = [slice(x, y) for x, y in zip(at, np.append(at[1:], len(first)))]
     for _ in range(passes):
-        score = weights[features].sum(axis=1) + weights[-1]
-        by_token, by_arc = _log_likelihood_gradient(score, first, labels, np.exp(arcs))
-        g = np.bincount(flat, weights=np.repeat(by_token, FEATURES), minlength=(1 << BITS) + 1)
-        g[-1] = by_token.sum()
+        g, by_arc = np.zeros((1 << BITS) + 1), np.zeros((2, 2))
+        for part in batches:
+            own = features[part]
+            score = weights[own].sum(axis=1) + weights[-1]
+            by_token, arc = _log_likelihood_gradient(score, first[part], labels[part], np.exp(arcs))
+            g += np.bincount(own.ravel(), weights=np.repeat(by_token, FEATURES), minlength=(1 << BITS) + 1)
+            g[-1] += by_token.sum()
+            by_arc += arc
         g -= l2 * weights
         seen += g * g
         weights += rate * g / np.sqrt(seen)
@@ -214,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, passes: int = 60
     """Learn from docs (doc_id, text) and labels (doc_id, toxic).
 
     A sample of at most ``sample`` rows of each label, chosen by a hash of doc_id, is
-    brought to the driver.  Rows without a text or label are left out.  Where a label
-    occurs in no row there is nothing to learn, and the result is None.
+    brought to the driver.  Rows without a text or label are left out.  The
+    chain is trained on all tokens of their texts.  Where a label occurs in no row there
+    is nothing to learn, and the result is None.
     """
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -245,17 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, passes: int = 60
     marked = {w for w, c in toxic_docs.items() if c >= often and c / max(n[1], 1) > 20 * (clean_docs[w] + 0.05) / max(n[0], 1)}
     marks = np.array(sorted(marked), dtype=np.int64)
     label = np.any([np.isin(w, marks) for w in stems], axis=0).astype(np.int64) * y[found.doc]
-    # a window of up to 24 tokens to either side of each toxic token, and the beginning of every text
-    near = np.zeros(len(label) + 1, dtype=np.int64)
-    place = np.arange(len(label)) - at[found.doc]
-    want = (label > 0) | (place == 0)
-    centre = np.flatnonzero(want)
-    np.add.at(near, np.maximum(centre - 24, at[found.doc[centre]]), 1)
-    np.add.at(near, np.minimum(centre + 25, at[found.doc[centre] + 1]), -1)
-    use = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-    first = np.ones(len(use), dtype=bool)
-    first[1:] = (np.diff(use) > 1) | (found.doc[use[1:]] != found.doc[use[:-1]])
-    weights, transitions = _fit_chain(found.features[use], first, label[use], passes)
+    del wide, words, stems
+    first = np.zeros(len(label), dtype=bool)
+    first[at[:-1][np.diff(at) > 0]] = True
+    weights, transitions = _fit_chain(found.features, first, label, passes)
     model = Model(weights, transitions, np.zeros(3))
     _, p = model.tag([r["text"] for r in rows])
     share = counts[1] / (counts[0] + counts[1])
