@@ -72,7 +72,7 @@ def test_near_duplicates_match_all_pairs(spark, percent):
     sets = [shingle_set(t) for t in texts]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     expected = components(len(texts), links)
-    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts), percent=percent, rounds=1).collect()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts), percent=percent).collect()}
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {
         i: (len(s), expected[i], expected[i] == i) for i, s in enumerate(sets)
     }
@@ -86,7 +86,8 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert minhash.near_duplicates(frame(spark, ["x"]).limit(0), rounds=0).count() == 0
 
 
-def test_pairs_of_a_large_bucket_that_no_centre_has(spark, monkeypatch):
+@pytest.mark.parametrize("whole", [8, 4096])
+def test_pairs_of_a_large_bucket_that_no_centre_has(spark, monkeypatch, whole):
     """Families of one boilerplate: members lie below the threshold but for the second of each pair."""
     draw = random.Random(9)
     shared = [f"s{i}" for i in range(404)]
@@ -100,6 +101,7 @@ def test_pairs_of_a_large_bucket_that_no_centre_has(spark, monkeypatch):
     assert len(links) == 60
     expected = components(len(texts), links)
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "WHOLE", whole)
     rows = minhash.near_duplicates(frame(spark, texts), percent=85, rounds=1).collect()
     assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(expected))
 

@@ -7,11 +7,16 @@ filled bin chosen by a hash of (bin, attempt), the same for every document
 form a bucket.  In a bucket only stars are proposed - a centre with each other
 member - so that a bucket of m documents gives m - 1 pairs, not m^2.
 Buckets that span several components after that are compared whole, block by block,
-and only pairs that a bound on the difference of their sets cannot rule out go on.
+and only pairs that a bound on the difference of their sets cannot rule out go on;
+members of very large ones are first dealt to buckets of longer, finer bands.
 Every proposed pair is confirmed on the full sets.
+
+Texts move once: the sets of the documents that share a bucket are made then and
+written, and every later step starts from those and from the labels found so far.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .components import connected_components
-from .shared import cut
+from .components import merged_labels
+from .shared import cut, forget
 
 PROFILE = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 #: Members of a bucket that are compared with as many others in one piece of work, about.
 BLOCK = 512
+#: Members of the largest bucket that is compared whole without finer bands.
+WHOLE = 4096
+#: Rows of a finer band, and the chance that a pair at the threshold shares none.
+FINER, MISSED = 8, 1e-6
+SETS = "doc_id long, n long, sketch binary, shingles binary"
 #: Counters of a sketch.
 CELLS = 256
 #: Pairs whose sketches are subtracted at once.
@@ -101,7 +111,12 @@ def _sets(words: int):
                 some = batch.iloc[part]
                 sets, first = kernel.shingle_sets(some["text"].tolist(), words)
                 yield pd.DataFrame(
-                    {"doc_id": some["doc_id"].array, "shingles": [sets[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]}
+                    {
+                        "doc_id": some["doc_id"].array,
+                        "n": np.diff(first),
+                        "sketch": [c.tobytes() for c in sketches(sets, first)],
+                        "shingles": [sets[a:b].tobytes() for a, b in zip(first[:-1], first[1:])],
+                    }
                 )
 
     return run
@@ -124,35 +139,42 @@ def _confirm(percent: int):
     return run
 
 
-def confirm_links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the proposed pairs (a, b) of doc_id, those whose full sets are similar enough.
+def confirm_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the proposed pairs (a, b) of doc_id, those whose full sets are similar enough; a written table.
 
-    Only documents named in a pair have their sets made.  Where a doc_id has
-    several rows, any of its sets may confirm a pair.
+    sets: (doc_id, n, sketch, shingles).  Where a doc_id has several sets, any of them
+    may confirm a pair.  Pairs whose sizes alone rule them out move no set.
     """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(named, "doc_id", "left_semi")
-    sets = sets.mapInPandas(_sets(words), "doc_id long, shingles binary")
+    size = sets.groupBy("doc_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    end = lambda x: size.select(F.col("doc_id").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"))
+    near = pairs.join(end("a").hint("merge"), "a").join(end("b").hint("merge"), "b")
+    for x, y in (("a", "b"), ("b", "a")):
+        near = near.where(F.lit(100) * F.col(f"{x}_high") >= F.lit(percent) * F.col(f"{y}_low"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(_confirm(percent), "a long, b long").distinct()
+    both = near.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return cut(both.select("a", "b", "left", "right").mapInPandas(_confirm(percent), "a long, b long").distinct(), "links")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.select("key", "doc_id").join(labels.hint("merge"), "doc_id")
 
 
-def _stars(members: DataFrame, seed: int | None, percent: int) -> DataFrame:
-    """Pairs of each bucket's centre with its other members; by component, only those of others.
+def _stars(members: DataFrame, seed: int) -> DataFrame:
+    """Pairs of each bucket's centre with its members of other components.
 
-    members: (key, doc_id, n, component).  seed None: the smallest doc_id is the centre.
+    members: (key, doc_id, component).  The centre is the smallest doc_id with seed 0, so
+    that the buckets of a group agree on it, else one chosen by a hash.
     """
-    rank = F.col("doc_id") if seed is None else F.xxhash64(F.lit(seed), "key", "doc_id")
+    rank = F.xxhash64(F.lit(seed), "key", "doc_id") if seed else F.col("doc_id")
     centres = members.groupBy("key").agg(
-        F.min(F.struct(rank.alias("rank"), "doc_id", "n", "component")).alias("c"),
+        F.min(F.struct(rank.alias("rank"), "doc_id", "component")).alias("c"),
         F.min("component").alias("low"),
         F.max("component").alias("high"),
-    ).where("low != high").select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.component").alias("centre_component"))
+    ).where("low != high").select("key", F.col("c.doc_id").alias("centre"), F.col("c.component").alias("centre_component"))
     return (
-        members.join(centres, "key")
+        members.join(centres.hint("merge"), "key")
         .where("component != centre_component")
-        .where(F.lit(100) * F.least("n", "centre_n") >= F.lit(percent) * F.greatest("n", "centre_n"))
         .select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
         .distinct()
     )
@@ -170,17 +192,6 @@ def sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8).reshape(n, CELLS)
 
 
-def _sketches(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in kernel.slices(batch["text"]):
-                some = batch.iloc[part]
-                sets, first = kernel.shingle_sets(some["text"].tolist(), words)
-                yield pd.DataFrame({"doc_id": some["doc_id"].array, "n": np.diff(first), "sketch": [c.tobytes() for c in sketches(sets, first)]})
-
-    return run
-
-
 def _possible(doc, n, component, sketch, far, percent: int, closest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of one piece of work that may be similar enough.
 
@@ -251,39 +262,94 @@ def _pieces(batch: pd.DataFrame, at: np.ndarray, percent: int, closest: bool) ->
         yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _rest(docs: DataFrame, now: DataFrame, words: int, percent: int, closest: bool) -> DataFrame:
-    """Pairs of members of other components in every bucket that spans several, but for those whose sketches rule them out.
-
-    now: (key, doc_id, n, component).  A bucket of m documents is cut into blocks of about
-    BLOCK, and each two blocks are one piece of work.  Buckets with the same members are
-    compared once; a bucket of two was compared by its star.  closest: only the pair with
-    the nearest sketches of each two components in a piece of work.
-    """
-    buckets = now.groupBy("key").agg(
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """Buckets that span several components: (key, m, hi, lo); hi and lo tell the members.  A bucket of two was compared by its star."""
+    buckets = members.groupBy("key").agg(
         F.min("component").alias("low"),
         F.max("component").alias("high"),
         F.count("*").alias("m"),
-        F.bit_xor(F.xxhash64(F.lit(11), "doc_id", "n")).alias("hi"),
-        F.bit_xor(F.xxhash64(F.lit(12), "doc_id", "n")).alias("lo"),
+        F.bit_xor(F.xxhash64(F.lit(11), "doc_id")).alias("hi"),
+        F.bit_xor(F.xxhash64(F.lit(12), "doc_id")).alias("lo"),
+    )
+    return buckets.where("low != high and m > 2").select("key", "m", "hi", "lo")
+
+
+def _whole(members: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs of members of other components in every bucket that spans several, but for those whose sketches rule them out.
+
+    members: (key, doc_id, component).  In each bucket the component with the most members
+    is set apart from the odd rest: its members are among themselves connected already and
+    meet only odd ones.  Both are cut into blocks of about BLOCK, and each two blocks of which
+    one is odd are one piece of work.  Buckets with the same members are compared once.
+    closest: only the pair with the nearest sketches of each two components in a piece of work.
+    """
+    once = _open_buckets(members).groupBy("m", "hi", "lo").agg(F.min("key").alias("key")).select("key")
+    own = members.join(once.hint("merge"), "key")
+    parts = own.groupBy("key", "component").agg(F.count("*").alias("held"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("held", "component")).alias("most"), F.sum("held").alias("m"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    parts = parts.select(
+        "key", F.col("most.component").alias("main"), blocks(F.col("m") - F.col("most.held")).alias("odd_blocks"), blocks(F.col("most.held")).alias("main_blocks")
+    )
+    h = F.xxhash64(F.lit(13), "doc_id")
+    is_main = F.col("component") == F.col("main")
+    placed = (
+        own.join(parts.hint("merge"), "key")
+        .withColumn("block", F.when(is_main, F.col("odd_blocks") + F.pmod(h, F.col("main_blocks"))).otherwise(F.pmod(h, F.col("odd_blocks"))).cast("int"))
+        .withColumn("last", F.when(is_main, F.col("odd_blocks")).otherwise(F.col("odd_blocks") + F.col("main_blocks")) - 1)
     )
-    open_ = buckets.where("low != high and m > 2").groupBy("m", "hi", "lo").agg(F.min("key").alias("key")).select("key", "m")
-    members = cut(now.join(open_, "key"), "open")
-    named = members.select("doc_id").distinct()
-    made = docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInPandas(_sketches(words), "doc_id long, n long, sketch binary").distinct()
-    pieces = F.ceil(F.col("m") / BLOCK)
     work = (
-        members.join(made, ["doc_id", "n"])
-        .withColumn("pieces", pieces.cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.col("pieces")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        placed.join(sets.select("doc_id", "n", "sketch").hint("merge"), "doc_id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
         .select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "n", "component", "sketch")
     )
     work = work.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     return work.mapInPandas(_compared(percent, closest), "a long, b long").distinct()
 
 
+def finer_tables(percent: int) -> int:
+    """How many bands of FINER rows leave a pair at the threshold without a common one with a chance of MISSED at most; a power of two."""
+    same = (percent / 100) ** FINER
+    return 1 << math.ceil(math.log2(math.log(MISSED) / math.log1p(-same)))
+
+
+def _finer(tables: int):
+    """Sets to the keys of their finer bands."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                some = batch.iloc[start : start + 512]
+                sets = np.frombuffer(b"".join(some["shingles"]), dtype=np.uint64)
+                first = np.concatenate([[0], np.cumsum(some["n"].to_numpy())])
+                # another hash of the shingles, so that these bands say more than those before
+                own = np.concatenate([np.sort(kernel.mix64(sets[a:b] ^ np.uint64(0x452821E638D01377))) for a, b in zip(first[:-1], first[1:])])
+                keys = band_keys(densified_minima(own, first, FINER * tables), tables).view(np.int64)
+                yield pd.DataFrame({"doc_id": some["doc_id"].array, "bands": list(keys)})
+
+    return run
+
+
+def _finished(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, stars: int, whole: int | None) -> DataFrame:
+    """Labels after ``stars`` rounds of stars and comparing whole the buckets of ``whole`` members at most (None: all)."""
+    for k in range(stars + 2):
+        now = _labelled(members, labels)
+        if k < stars:
+            pairs = _stars(now, k)
+        else:
+            if whole is not None:
+                fit = now.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") <= whole).select("key")
+                now = now.join(fit.hint("merge"), "key")
+            pairs = _whole(now, sets, percent, closest=k == stars)
+        pairs = cut(pairs, "pairs")
+        links = confirm_links(pairs, sets, percent)
+        labels = merged_labels(labels, links)
+        forget(pairs, links)
+    return labels
+
+
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, bins: int = 128, bands: int = 32, rounds: int = 3
+    docs: DataFrame, words: int = 5, percent: int = 80, bins: int = 128, bands: int = 32, rounds: int = 2
 ) -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of ``percent`` or more.
 
@@ -297,38 +363,48 @@ def near_duplicates(
     with a null doc_id is returned with component_id null and kept false.
 
     Equal sets are merged first, through their size and a 128-bit digest of the set,
-    so copies cost one row each.  The first star of each bucket has the smallest
-    doc_id as its centre.  In each of ``rounds`` further rounds every bucket that
-    still spans several components proposes a star around another member with the
-    members of other components.  That centre is chosen by a hash of bucket and
-    document, so the buckets of one group try different centres.  What still spans
-    several components then is finished: first the nearest pair of each two
-    components, then every pair that is still of two components and may be similar.
+    so copies cost one row each.  Of the rest, those that share a bucket have their sets
+    written once.  In each of ``rounds`` rounds every bucket that spans several components
+    proposes a star around one member with the members of other components.  The centre
+    is the smallest doc_id first and then chosen by a hash of bucket and document, so the
+    buckets of one group try different centres.  What still spans several components then is finished: first the
+    nearest pair of each two components, then every pair that is still of two
+    components and may be similar.  Members of buckets of more than WHOLE members go through
+    finer bands before that, of which a similar pair shares one but with a chance of MISSED.
     """
     profile = cut(docs.select("doc_id", "text").mapInPandas(_profiles(words, bins, bands), PROFILE), "profiles")
     some = profile.where("n_shingles > 0 and doc_id is not null")
-    sets = some.groupBy("set_hi", "set_lo", "n_shingles")
-    leaders = cut(sets.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "leaders")
-    copies = some.join(
-        leaders.where("copies > 1").select("set_hi", "set_lo", "n_shingles", F.col("doc_id").alias("leader")), ["set_hi", "set_lo", "n_shingles"]
-    ).where("doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-    links = cut(copies, "links")
-    members = leaders.select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"))
+    by_set = ["set_hi", "set_lo", "n_shingles"]
+    groups = some.groupBy(*by_set).agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader != last").drop("last")
+    copies = cut(some.select("doc_id", *by_set).join(groups.hint("merge"), by_set).where("doc_id != leader").select("doc_id", "leader", *by_set), "copies")
+    leaders = some.join(copies.select("doc_id", *by_set).hint("merge"), ["doc_id", *by_set], "left_anti")
     # a bucket of one document proposes nothing; the others are few, and all rounds start from them
-    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    members = cut(members.join(shared, "key"), "members")
-    pairs = cut(_stars(members.withColumn("component", F.col("doc_id")), None, percent), "pairs")
-    links = links.unionByName(cut(confirm_links(docs, pairs, words, percent), "links"))
-    components = connected_components(links)
-    for k in range(rounds + 2):
-        now = members.join(components.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
-        now = now.withColumn("component", F.coalesce("component", "doc_id"))
-        more = _stars(now, k + 1, percent) if k < rounds else _rest(docs, now, words, percent, closest=k == rounds)
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(more)
-        links = links.unionByName(cut(confirm_links(docs, more, words, percent), "links"))
-        components = connected_components(links)
-    found = profile.select("doc_id", "n_shingles").join(components.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
+    every = leaders.select(F.explode("bands").alias("key"), "doc_id")
+    shared = every.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").select("key")
+    members = cut(every.join(shared.hint("merge"), "key").select("key", "doc_id").distinct(), "members")
+    named = members.select("doc_id").distinct()
+    sets = docs.select("doc_id", "text").join(named.hint("merge"), "doc_id", "left_semi").mapInPandas(_sets(words), SETS)
+    sets = cut(sets.where("n > 0"), "sets")
+    labels = cut(named.withColumn("component", F.col("doc_id")), "labels")
+    labels = _finished(members, sets, labels, percent, rounds, WHOLE)
+    left = _labelled(members, labels)
+    large = _open_buckets(left).where(F.col("m") > WHOLE).select("key")
+    large = cut(left.join(large.hint("merge"), "key").select("doc_id").distinct(), "large")
+    if not large.isEmpty():
+        finer = sets.join(large.hint("merge"), "doc_id").mapInPandas(_finer(finer_tables(percent)), "doc_id long, bands array<long>")
+        finer = finer.select(F.explode("bands").alias("key"), "doc_id").distinct()
+        shared = finer.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").select("key")
+        finer = cut(finer.join(shared.hint("merge"), "key").select("key", "doc_id"), "members")
+        labels = _finished(finer, sets, labels, percent, rounds, None)
+        forget(finer)
+    # the copies follow their leaders; a document with several sets may join several groups
+    stars = copies.select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+    ends = stars.select(F.col("a").alias("vertex")).unionByName(stars.select(F.col("b").alias("vertex"))).distinct()
+    alone = ends.join(labels.hint("merge"), ends["vertex"] == labels["doc_id"], "left_anti").select(F.col("vertex").alias("doc_id"), F.col("vertex").alias("component"))
+    labels_all = cut(labels.unionByName(alone), "labels")
+    forget(labels, members, sets, large)
+    labels = merged_labels(labels_all, stars)
+    found = profile.select("doc_id", "n_shingles").join(labels.hint("merge"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return found.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")

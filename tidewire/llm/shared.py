@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of this machine is made and set, but only in local mode:
+    on a cluster each executor would write to its own disk, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidewire-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -21,12 +28,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     What follows is planned from the files: a lost executor costs a re-read, not
-    a recomputation of everything before.
+    a recomputation of everything before.  ``forget`` deletes the files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidewire_path = path.rsplit("/", 1)[0]
+    return out
+
+
+def forget(*written: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` made and that no plan reads any more."""
+    for df in written:
+        remove(df.sparkSession, df._tidewire_path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def class_sample(rows: DataFrame, by: str, each: int, seed: int) -> DataFrame:
