@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 
 #: Entities decoded in feeds, in this order, and in titles.
 HTML_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#x27;", "'"))
-TITLE_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
-#: Words that say nothing about a title.
-STOPWORDS = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "has", "have", "will", "its", "into", "over", "after", "not", "but", "who", "how", "why", "new", "says")
+TITLE_ENTITIES = ("amp", "lt", "gt", "quot", "#39")
+#: Words that say nothing about a title.
+STOPWORDS = (
+    "the", "a", "an", "of", "to", "in", "on", "for", "and", "or", "as", "at",
+    "by", "is", "are", "was", "were", "be", "been", "with", "from", "after",
+    "over", "under", "amid", "says", "say", "said", "report", "reports",
+    "news", "update", "live", "breaking", "its", "his", "her", "their",
+    "this", "that", "these", "those", "it", "he", "she", "they", "we", "you",
+    "not", "no", "new", "us", "into", "than", "but", "will", "has", "have",
+    "had",
+)
+#: White space of every kind, inside a class of characters.
+SPACES = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 
 
 def _c(x) -> Column:
@@ -41,8 +51,12 @@ def extract_attr(xml, tag: str, attr: str) -> Column:
 
 
 def normalize_title(title) -> Column:
-    out = F.regexp_replace(_replaced(F.lower(_c(title)), TITLE_ENTITIES), "[^a-z0-9 \\t\\n\\r]", "")
-    return F.trim(F.regexp_replace(out, "[ \\t\\n\\r]+", " "))
+    """Lower-cased title without signs other than a-z, 0-9 and single spaces.
+
+    Entities go whole, as all they stand for are other signs.
+    """
+    out = F.regexp_replace(F.regexp_replace(F.lower(_c(title)), f"&(?:{'|'.join(TITLE_ENTITIES)});", ""), f"[^a-z0-9{SPACES}]", "")
+    return F.trim(F.regexp_replace(out, f"[{SPACES}]+", " "))
 
 
 def title_signature(title) -> Column:
@@ -82,30 +96,74 @@ def trim_punctuation(text) -> Column:
 
 
 #: Corporate endings of which one is dropped from the end of a name.
-CORPORATE_ENDINGS = ("inc", "corp", "ltd", "llc", "plc", "co", "gmbh")
+CORPORATE_ENDINGS = ("inc", "ltd", "llc", "corp", "plc", "ag", "gmbh")
 
 
 def normalize_name(name) -> Column:
-    """Lower-cased name, accents of Latin letters and one corporate ending dropped, white space collapsed."""
-    accents = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = F.translate(F.lower(_c(name)), accents, "aaaaaaceeeeiiiinooooouuuuyy")
-    plain = F.trim(F.regexp_replace(plain, "[ \\t\\n\\r]+", " "))
-    return F.regexp_replace(plain, f"(?<=[^ ]) (?:{'|'.join(CORPORATE_ENDINGS)})\\.?$", "")
+    """Lower-cased name in compatibility form, without combining marks and one corporate ending, white space collapsed."""
+    held = F.coalesce(_c(name), F.lit(""))
+    plain = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), held, F.lit(True))
+    plain = F.lower(F.regexp_replace(plain, "[\\u0300-\\u036f]", ""))
+    plain = F.trim(F.regexp_replace(plain, f"[{SPACES}]+", " "))
+    plain = F.regexp_replace(plain, f"(?<=[^ ]) (?:{'|'.join(CORPORATE_ENDINGS)})\\.?\\z", "")
+    return F.when(_c(name).isNotNull(), plain)
+
+
+def name_or_itself(name) -> Column:
+    """A normalised name, or the name itself where nothing is left of it."""
+    return F.coalesce(F.nullif(normalize_name(name), F.lit("")), _c(name))
+
+
+def name_key(name) -> Column:
+    """A normalised name without punctuation, as similar names are compared."""
+    return F.trim(F.regexp_replace(strip_punctuation(normalize_name(name)), f"[{SPACES}]+", " "))
 
 
 def image_url(html) -> Column:
-    """An item's picture: the first of several places that may hold one; empty if none does."""
+    """An item's picture: the first of ten places that holds one; empty if none does."""
+    html = F.coalesce(_c(html), F.lit(""))
+    text = F.coalesce(*[F.nullif(extract_tag(html, t), F.lit("")) for t in ("description", "content:encoded", "content", "summary")], F.lit(""))
+    decoded = _replaced(text, (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&amp;", "&")))
+    first = lambda source, pattern: F.regexp_extract(source, "(?i)" + pattern, 1)
+    linked = lambda place: F.when(F.startswith(place, F.lit("http")), place)
+    picture = "<img[^>]+src=[\"']([^\"']+)[\"']"
     places = [
-        extract_attr(html, "media:content", "url"),
-        extract_attr(html, "media:thumbnail", "url"),
-        F.regexp_extract(_c(html), '(?is)<enclosure[^>]*type="image[^"]*"[^>]*url="([^"]*)"', 1),
-        F.regexp_extract(_c(html), '(?is)<enclosure[^>]*url="([^"]*)"[^>]*type="image', 1),
-        F.regexp_extract(_c(html), "(?is)<image>.*?<url>(.*?)</url>", 1),
-        extract_attr(html, "img", "src"),
+        first(html, '<media:content[^>]+url="([^"]+\\.(?:jpg|jpeg|png|webp|gif)[^"]*)"'),
+        first(html, '<media:content[^>]+medium="image"[^>]+url="([^"]+)"'),
+        first(html, '<media:content[^>]+url="([^"]+)"[^>]+medium="image"'),
+        first(html, '<media:content[^>]+url="(https?://[^"]+)"'),
+        first(html, "<media:thumbnail[^>]+url=[\"']([^\"']+)[\"']"),
+        first(html, '<enclosure[^>]+url="([^"]+)"[^>]+type="image/[^"]+"'),
+        first(html, '<enclosure[^>]+type="image/[^"]+"[^>]+url="([^"]+)"'),
+        linked(extract_tag(extract_tag(html, "image"), "url")),
+        linked(first(text, picture)),
+        linked(first(decoded, picture)),
     ]
     return F.coalesce(*[F.nullif(p, F.lit("")) for p in places], F.lit(""))
 
 
+def source_image_url(link, source_url) -> Column:
+    """The address of the icon of a link's host, or else of its source's; empty without a host."""
+    own = F.coalesce(F.nullif(domain(link), F.lit("")), F.nullif(domain(source_url), F.lit("")))
+    return F.coalesce(F.concat(F.lit("https://www.google.com/s2/favicons?domain="), F.url_encode(own), F.lit("&sz=128")), F.lit(""))
+
+
+def plural(count, noun: str) -> Column:
+    """A count with its noun."""
+    return F.concat(_c(count).cast("string"), F.lit(f" {noun}"), F.when(_c(count) == 1, "").otherwise("s"))
+
+
+def match_title(title) -> Column:
+    """A wiki title as it is compared: underscores are spaces, whatever the case."""
+    return F.lower(F.trim(F.replace(_c(title), F.lit("_"), F.lit(" "))))
+
+
+def exception_text(name, message) -> Column:
+    """An exception as a sample: its name of 40 signs at most, and 160 signs of its message without addresses."""
+    plain = F.substring(F.regexp_replace(F.coalesce(_c(name), F.lit("Error")), "[^A-Za-z0-9_.]", ""), 1, 40)
+    return F.concat(plain, F.lit(": "), F.substring(redact_urls(F.coalesce(_c(message), F.lit(""))), 1, 160))
+
+
 def redact_urls(text) -> Column:
     return F.regexp_replace(_c(text), "[A-Za-z][A-Za-z0-9+.-]*://[^ \\t\\n\\r]+", "[url]")
 

@@ -64,11 +64,11 @@ def baseline_panel(entities: DataFrame, hourly: DataFrame, as_of: str) -> DataFr
 
 
 def thresholds(panel: DataFrame, days: float = 14.0) -> DataFrame:
-    """One row: daily rates above which an entity is an anchor (p90, 3 at least) or famous (p75; none without entities)."""
+    """One row: daily rates above which an entity is an anchor (p90) or famous (p75), 3 at least; famous is infinite without entities."""
     rate = F.col("baseline") / days
     return panel.where("total > 0").agg(
         F.round(F.greatest(F.lit(3.0), F.coalesce(F.percentile(rate, F.lit(0.9)), F.lit(3.0))), 6).alias("anchor"),
-        F.round(F.coalesce(F.percentile(rate, F.lit(0.75)), F.lit(float("inf"))), 6).alias("famous"),
+        F.round(F.coalesce(F.greatest(F.lit(3.0), F.percentile(rate, F.lit(0.75))), F.lit(float("inf"))), 6).alias("famous"),
         F.round(F.percentile(rate, F.lit(0.9)), 6).alias("p90"),
         F.count("*").alias("population"),
     )

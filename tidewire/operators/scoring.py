@@ -56,14 +56,14 @@ def lift(observed, rate) -> Column:
 
 
 #: Strength of a stated relation by kind, and of the other kinds of evidence.
-STRONG_RELATIONS = ("acquired", "invested_in", "partnered_with", "sanctioned", "sued")
-MODERATE_RELATIONS = ("appointed", "launched", "supplies", "regulates")
+STRONG_RELATIONS = ("sanction", "supply", "acquisition", "investment", "regulation", "legal_action")
+WEAK_RELATIONS = ("statement_about", "other")
 KIND_STRENGTH = {"N": 0.6, "C": 0.5, "E": 0.35}
 
 
 def relation_strength(kind, relation) -> Column:
     kind, relation = _c(kind), _c(relation)
-    stated = F.when(relation.isin(*STRONG_RELATIONS), 1.0).when(relation.isin(*MODERATE_RELATIONS), 0.8).otherwise(0.5)
+    stated = F.when(relation.isin(*STRONG_RELATIONS), 1.0).when(relation.isin(*WEAK_RELATIONS), 0.5).otherwise(0.8)
     out = F.when(kind == "R", stated)
     for name, strength in KIND_STRENGTH.items():
         out = out.when(kind == name, strength)
@@ -71,8 +71,11 @@ def relation_strength(kind, relation) -> Column:
 
 
 def development(strength, age_days, sources, days, anchors, stale, baseline, anchor_threshold) -> Column:
-    """Rank of a development card: relation, novelty, corroboration, persistence and context, less penalties."""
-    known = F.when(_c(baseline) >= _c(anchor_threshold) / 2, 1.0).otherwise(0.0)
+    """Rank of a development card: relation, novelty, corroboration, persistence and context, less penalties.
+
+    baseline: the subject's daily rate, null for one that isn't tracked.
+    """
+    known = F.when(F.coalesce(_c(baseline) >= _c(anchor_threshold) / 2, F.lit(False)), 1.0).otherwise(0.0)
     return (
         3 * _c(strength)
         + 2 * F.exp(-_c(age_days) / 7.0)
@@ -84,17 +87,51 @@ def development(strength, age_days, sources, days, anchors, stale, baseline, anc
     )
 
 
+#: Sources that make famous, and the least daily rate that does.
+FAMOUS_SOURCES, FAMOUS_RATE = 12, 3.0
+
+
+def is_famous(stored, in_dictionary, sources, rate, threshold) -> Column:
+    """Whether a stored verdict, a dictionary, the number of sources that ever named it or the daily rate make something famous."""
+    known = (F.coalesce(_c(stored), F.lit("unknown")) == "famous") | F.coalesce(_c(in_dictionary), F.lit(False))
+    rate = F.coalesce(_c(rate), F.lit(0.0))
+    return known | (F.coalesce(_c(sources), F.lit(0)) >= FAMOUS_SOURCES) | ((rate > 0) & (rate >= _c(threshold)))
+
+
+def map_radius(mentions, most) -> Column:
+    """Radius of a place on a map, 6 to 28 by the root of its share of the most mentions."""
+    return F.when(_c(most) <= 1, 6.0).otherwise(6 + F.sqrt(_c(mentions).cast("double")) / F.sqrt(_c(most).cast("double")) * 22)
+
+
+def node_size(mentions) -> Column:
+    return F.sqrt(_c(mentions).cast("double")) * 2
+
+
 def wiki_fame(matched, views, links) -> Column:
     """Whether a matched name is famous by page views, or by links with some views."""
     famous = (_c(views) >= 20000) | ((_c(links) >= 25) & (_c(views) >= 3000))
     return F.when(F.coalesce(_c(matched) & famous, F.lit(False)), "famous").otherwise("not_famous")
 
 
+#: Prices of a million tokens of a month's ledger.
+TOKEN_RATES = {"input_tokens": 1.0, "output_tokens": 5.0, "batch_input_tokens": 0.5, "batch_output_tokens": 2.5}
+
+
 def cost_usd(tokens: dict[str, tuple[Column, float]]) -> Column:
     """Cost of a month's tokens: each counter with its rate for a million."""
     return sum((F.coalesce(n, F.lit(0)) / 1e6 * rate for n, rate in tokens.values()), F.lit(0.0))
 
 
+def month_cost() -> Column:
+    """Cost of a ledger row with the four counters of TOKEN_RATES."""
+    return cost_usd({name: (F.col(name), rate) for name, rate in TOKEN_RATES.items()})
+
+
+def within_budget(cost, budget) -> Column:
+    """Whether another batch may be asked for: the month's cost is below the budget."""
+    return _c(cost) < _c(budget)
+
+
 def effective_days(days_since_epoch) -> Column:
     """Days of history that a baseline rests on: those before today, from 1 to 14."""
     return F.greatest(F.lit(1), F.least(F.lit(14), F.floor(_c(days_since_epoch)) - 1))

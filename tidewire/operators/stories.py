@@ -7,8 +7,11 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.dates import news_time
+from ..storage import cut, forget
 from . import scoring
 
+HOUR = 3_600_000_000  # microseconds
+
 
 def identified(articles: DataFrame) -> DataFrame:
     """Articles with content_hash and title_signature."""
@@ -22,45 +25,117 @@ def insert_new(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return once.join(stored.select("content_hash"), "content_hash", "left_anti")
 
 
-def duplicate_groups(articles: DataFrame, hours: int = 48) -> DataFrame:
-    """For each article the earliest other one with its signature within ``hours`` before it: (id, dup_group_id).
+def insert_counts(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """One row: how many rows of a batch are new and how many are duplicates, stored or in the batch."""
+    fresh = insert_new(stored, batch).agg(F.count("*").alias("inserted"))
+    return batch.agg(F.count("*").alias("n")).join(F.broadcast(fresh)).select("inserted", (F.col("n") - F.col("inserted")).alias("duplicates"))
+
+
+def honest_time(published: str, estimated: str) -> F.Column:
+    """A publication time as it is stored: null where it was only estimated."""
+    return F.when(~F.coalesce(F.col(estimated), F.lit(False)), F.col(published))
+
 
-    A range join would meet all pairs of a signature; a running frame over arrival
-    times finds the earliest in one ordered pass.  The frame is the window itself, so
-    a signature that many articles share stays linear.  Articles without a telling
-    signature have none.
+def _first_after(points: DataFrame, asked: DataFrame, strict: bool) -> DataFrame:
+    """For each question (key, bucket, at, asker) the first point (key, bucket, at, id) of its bucket that is not earlier.
+
+    strict: that is later.  One ordered pass backwards in time carries the last point
+    met, so no pairs are made.  Returns (asker, first: struct(at, id)), null where
+    there is none.
+    """
+    rows = points.select("key", "bucket", "at", F.col("id"), F.lit(None).cast("long").alias("asker")).unionByName(
+        asked.select("key", "bucket", "at", F.lit(None).cast("long").alias("id"), "asker")
+    )
+    question_first = F.col("asker").isNull() if strict else F.col("asker").isNotNull()
+    order = Window.partitionBy("key", "bucket").orderBy(F.col("at").desc(), question_first, F.col("id").desc())
+    point = F.when(F.col("id").isNotNull(), F.struct("at", "id"))
+    met = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("first", met).where("asker is not null").select("asker", "first")
+
+
+def duplicate_groups(articles: DataFrame, as_of: str | None = None, hours: int = 48) -> DataFrame:
+    """For each ungrouped article the earliest head with its signature within ``hours`` before it: (id, dup_group_id).
+
+    Heads are the articles without a dup_group_id when the run begins, so a member of
+    today's run may itself have become a head's member (articles without that column
+    are all heads).  With as_of only articles that arrived in the ``hours`` before it are
+    grouped.  An article that is its own earliest head has no row.  Blank signatures
+    are a signature like any other.
+
+    Time is cut into buckets as long as the window, so the earliest head lies in an
+    article's own bucket or the one before, and a headline that recurs for ever is
+    spread over many tasks.
     """
-    seconds = F.unix_micros(F.col("first_seen_at").cast("timestamp"))
-    span = hours * 3_600_000_000
-    frame = Window.partitionBy("title_signature").orderBy("at").rangeBetween(-span, 0)
-    rows = articles.where("title_signature <> ''").select("id", "title_signature", seconds.alias("at"))
-    rows = rows.withColumn("head", F.min(F.struct("at", "id")).over(frame)["id"])
-    return rows.select("id", F.nullif("head", "id").alias("dup_group_id")).where("dup_group_id is not null")
+    span = hours * HOUR
+    held = articles if "dup_group_id" in articles.columns else articles.withColumn("dup_group_id", F.lit(None).cast("long"))
+    rows = held.where("dup_group_id is null").select(
+        "id", F.col("title_signature").alias("key"), F.unix_micros(F.col("first_seen_at").cast("timestamp")).alias("at"), "first_seen_at"
+    )
+    rows = rows.where("key is not null and at is not null").withColumn("bucket", F.floor(F.col("at") / span))
+    asked = rows if as_of is None else rows.where(f"first_seen_at >= {as_of} - interval {hours} hours")
+    before = _first_after(rows, asked.select("key", (F.col("bucket") - 1).alias("bucket"), (F.col("at") - span).alias("at"), F.col("id").alias("asker")), strict=False)
+    own = rows.groupBy("key", "bucket").agg(F.min(F.struct("at", "id")).alias("own"))
+    found = asked.join(before.withColumnRenamed("asker", "id"), "id").join(own, ["key", "bucket"])
+    head = F.coalesce("first", "own")["id"]
+    return found.select("id", head.alias("dup_group_id")).where("id <> dup_group_id")
+
+
+def grouped(articles: DataFrame, groups: DataFrame) -> DataFrame:
+    """Articles with the groups found for them."""
+    found = groups.select("id", F.col("dup_group_id").alias("found"))
+    return articles.join(found, "id", "left").withColumn("dup_group_id", F.coalesce("dup_group_id", "found")).drop("found").select(articles.columns)
 
 
 def clusters(articles: DataFrame, hours: int = 48) -> DataFrame:
     """Clusters of equal signatures, each at most ``hours`` long from its first article: (id, head_id).
 
     In the order of time an article joins the open cluster, or begins one if that
-    began too long ago - so the window hangs on the head, not on the gap.  A gap longer
-    than the window always begins a cluster, so a signature is first cut at its gaps
-    and only what lies between two gaps is folded, over an ordered array of times.  An
-    article without a time or a signature stands alone.
+    began too long ago - so the window hangs on the head, not on the gap.  An article
+    without a time or a signature stands alone.
+
+    An article after a gap is a head.  From each article the next head would be the
+    first one beyond its window; following that from the heads after gaps, twice as far in
+    every round, gives all heads in a number of rounds that grows with the logarithm
+    of the longest run.  Time is cut into buckets as long as the window, so each
+    search looks into one or two buckets and no signature is gathered in one task.
     """
+    span = hours * HOUR
     seconds = F.unix_micros(news_time("published_at", "first_seen_at").cast("timestamp"))
-    rows = articles.select("id", "title_signature", seconds.alias("at"))
-    alone = rows.where("coalesce(title_signature, '') = '' or at is null").select("id", F.col("id").alias("head_id"))
-    span = hours * 3_600_000_000
-    order = Window.partitionBy("title_signature").orderBy("at", "id")
-    timed = rows.where("coalesce(title_signature, '') <> '' and at is not null").withColumn("gap", (F.col("at") - F.lag("at").over(order) > span).cast("int"))
-    timed = timed.withColumn("run", F.coalesce(F.sum("gap").over(order), F.lit(0)))
-    items = timed.groupBy("title_signature", "run").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("items"))
-    fold = f"""aggregate(items, cast(array() as array<struct<id:bigint,head_id:bigint,head_at:bigint>>),
-      (done, x) -> case when size(done) = 0 or x.at - element_at(done, -1).head_at > {span}
-        then array_append(done, named_struct('id', x.id, 'head_id', x.id, 'head_at', x.at))
-        else array_append(done, named_struct('id', x.id, 'head_id', element_at(done, -1).head_id, 'head_at', element_at(done, -1).head_at)) end)"""
-    folded = items.select(F.explode(F.expr(fold)).alias("c")).select("c.id", "c.head_id")
-    return folded.unionByName(alone)
+    rows = articles.select("id", F.col("title_signature").alias("key"), seconds.alias("at"))
+    alone = rows.where("coalesce(key, '') = '' or at is null").select("id", F.col("id").alias("head_id"))
+    rows = cut(rows.where("coalesce(key, '') <> '' and at is not null").withColumn("bucket", F.floor(F.col("at") / span)), "timed")
+    held = rows.groupBy("key", "bucket").agg(F.min(F.struct("at", "id")).alias("first"), F.max("at").alias("last"))
+    shifted = lambda by, *names: held.select("key", (F.col("bucket") + by).alias("bucket"), *[F.col(n).alias(f"{n}_there") for n in names])
+    starts = held.join(shifted(1, "last"), ["key", "bucket"], "left").where(f"last_there is null or first.at - last_there > {span}").select("first.id")
+    asked = rows.select("key", (F.col("bucket") + 1).alias("bucket"), (F.col("at") + span).alias("at"), F.col("id").alias("asker"))
+    later = _first_after(rows, asked, strict=True)
+    beyond = rows.join(shifted(-2, "first"), ["key", "bucket"], "left").select(F.col("id").alias("asker"), "first_there")
+    jump = later.join(beyond, "asker").select(F.col("asker").alias("id"), F.coalesce("first", "first_there")["id"].alias("next")).where("next is not null")
+    # a head after a gap is known as one and is not jumped to
+    jump = cut(jump.join(starts.withColumnRenamed("id", "next"), "next", "left_anti").select("id", "next"), "jumps")
+    heads = cut(starts, "heads")
+    while True:
+        more = cut(jump.join(heads, "id").select(F.col("next").alias("id")).join(heads, "id", "left_anti").distinct(), "heads")
+        if more.isEmpty():
+            break
+        both = cut(heads.unionByName(more), "heads")
+        far = cut(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("then")), "next").select("id", F.col("then").alias("next")), "jumps")
+        forget(heads, more, jump)
+        heads, jump = both, far
+    forget(more, jump)
+    marked = rows.join(heads.withColumn("is_head", F.lit(True)), "id", "left")
+    order = Window.partitionBy("key", "bucket").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("own", F.last(F.when(F.col("is_head"), F.col("id")), ignorenulls=True).over(order))
+    latest = marked.where("is_head").groupBy("key", (F.col("bucket") + 1).alias("bucket")).agg(F.max(F.struct("at", "id"))["id"].alias("before"))
+    found = marked.join(latest, ["key", "bucket"], "left").select("id", F.coalesce("own", "before").alias("head_id"))
+    return found.unionByName(alone)
+
+
+def cluster_heads(articles: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row for each cluster: head_id, members, sources, latest and its members' ids, the latest first."""
+    at = news_time("published_at", "first_seen_at")
+    held = articles.select("id", "source_name", at.alias("at")).join(heads, "id")
+    return held.groupBy("head_id").agg(F.count("*").alias("members"), F.countDistinct("source_name").alias("sources"), F.max("at").alias("latest"))
 
 
 def cluster_feed(articles: DataFrame, heads: DataFrame, as_of: str, days: int = 30, top: int = 500) -> DataFrame:
@@ -71,24 +146,89 @@ def cluster_feed(articles: DataFrame, heads: DataFrame, as_of: str, days: int =
     return rows.orderBy(F.col("updated_at").desc(), "head_id").limit(top)
 
 
+def group_feed(articles: DataFrame, as_of: str, days: float | None = 7, category: str | None = None, top: int = 500) -> DataFrame:
+    """Heads that arrived in the last days with the size and the latest arrival of their stored group, the latest first.
+
+    A member's arrival counts for its head whenever it came, though members are never served.
+    """
+    days = clamped_days(days)
+    group = F.coalesce("dup_group_id", "id")
+    sums = articles.groupBy(group.alias("id")).agg(F.max("first_seen_at").alias("updated_at"), F.count("*").alias("cluster_size"))
+    rows = articles.where(f"dup_group_id is null and first_seen_at >= {as_of} - interval {days} days and first_seen_at < {as_of}")
+    if category is not None:
+        rows = rows.where(F.col("source_category") == category)
+    published = news_time("published_at", "first_seen_at")
+    rows = rows.join(sums, "id").select("id", "title", published.alias("published"), "updated_at", "cluster_size", "source_category")
+    return rows.orderBy(F.col("updated_at").desc(), "id").limit(top)
+
+
+def clamped_days(days: float | None, usual: int = 7, most: int = 30) -> int:
+    """Days asked for: whole, at most ``most``; the usual ones for none, a number that isn't finite, or none above 0."""
+    if days is None or days != days or days in (float("inf"), float("-inf")) or days <= 0:
+        return usual
+    return min(int(days), most)
+
+
+def titled(articles: DataFrame, titles: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """For each title (title) the link of its latest article of the last days, of equals the smallest id."""
+    rows = articles.where(f"first_seen_at >= {as_of} - interval {days} days and first_seen_at < {as_of}").join(titles.select("title").distinct(), "title", "left_semi")
+    latest = rows.groupBy("title").agg(F.max(F.struct("first_seen_at", (-F.col("id")).alias("id"), "link")).alias("last"))
+    return latest.select("title", "last.link")
+
+
 def top_stories(articles: DataFrame, heads: DataFrame, as_of: str, hours: int = 48, top: int = 15) -> DataFrame:
     """The most interesting clusters whose head is recent."""
     feed = cluster_feed(articles, heads, as_of, top=2**31 - 1)
     at = articles.select(F.col("id").alias("head_id"), news_time("published_at", "first_seen_at").alias("at"))
-    rows = feed.join(at, "head_id").where(f"at >= {as_of} - interval {hours} hours and at < {as_of}")
-    age = F.expr(f"(unix_seconds(cast({as_of} as timestamp)) - unix_seconds(cast(at as timestamp))) / 3600.0").cast("double")
+    return _ranked(feed.join(at, "head_id"), as_of, hours, top)
+
+
+def top_groups(articles: DataFrame, as_of: str, hours: int = 48, top: int = 15) -> DataFrame:
+    """The most interesting stored groups whose head is recent: a head, its members, and the sources of both."""
+    at = news_time("published_at", "first_seen_at")
+    sums = articles.groupBy(F.coalesce("dup_group_id", "id").alias("head_id")).agg(F.count("*").alias("cluster_size"), F.countDistinct("source_name").alias("sources"))
+    heads = articles.where("dup_group_id is null").select(F.col("id").alias("head_id"), "title", at.alias("at"))
+    return _ranked(heads.join(sums, "head_id"), as_of, hours, top)
+
+
+def _ranked(rows: DataFrame, as_of: str, hours: int, top: int) -> DataFrame:
+    age = F.expr(f"(unix_micros(cast({as_of} as timestamp)) - unix_micros(cast(at as timestamp))) / {float(HOUR)}").cast("double")
+    rows = rows.where(f"at >= {as_of} - interval {hours} hours and at < {as_of}")
     rows = rows.select("head_id", "title", "cluster_size", "sources", F.round(scoring.story("cluster_size", age), 6).alias("score"))
     return rows.orderBy(F.col("score").desc(), "head_id").limit(top)
 
 
-def search(articles: DataFrame, query: str, category: str = "all") -> DataFrame:
-    """Articles with a text in their title, source, summary or category, whatever its case; blank means all."""
-    wanted = query.strip().lower()
+def search(articles: DataFrame, query: str, category: str = "all", entity: str | None = None) -> DataFrame:
+    """Articles with a text in their title, source, summary or category, whatever its case; blank means all.
+
+    entity: a name that must stand in the title or the summary, whatever its case.
+    """
     rows = articles if category == "all" else articles.where(F.col("source_category") == category)
-    if not wanted:
-        return rows
-    return rows.where(" or ".join(f"contains(lower(coalesce({c}, '')), {_literal(wanted)})" for c in ("title", "source_name", "summary", "source_category")))
+    if entity:
+        rows = rows.where(_holds(entity.lower(), ("title", "summary")))
+    wanted = query.strip().lower()
+    return rows.where(_holds(wanted, ("title", "source_name", "summary", "source_category"))) if wanted else rows
+
+
+def _holds(wanted: str, columns: tuple[str, ...]) -> F.Column:
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(wanted))
+    return out
+
+
+def sorted_by(articles: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Articles in the order of a column; published means the update where there was one.  Texts go by letters, not by case."""
+    if column == "published":
+        key = F.coalesce("updated_at", "published")
+    else:
+        key = F.collate(F.col(column), "UNICODE") if dict(articles.dtypes)[column] == "string" else F.col(column)
+    return articles.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "id")
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def categories(articles: DataFrame) -> DataFrame:
+    """Distinct categories in the order of letters, after ``all``: (place, category)."""
+    found = articles.select(F.col("source_category").alias("category")).where("category is not null").distinct()
+    whole = articles.agg(F.count("*").alias("n")).select(F.lit("all").alias("category"), F.lit(0).alias("rank"))
+    ranked = found.withColumn("rank", F.lit(1)).unionByName(whole)
+    return ranked.select((F.row_number().over(Window.orderBy("rank", "category")) - 1).alias("place"), "category")

@@ -10,6 +10,7 @@ from ..functions import dates as D
 from ..functions import language as L
 from ..functions import text as T
 from ..operators import detectors, developments, graph, panels, rollups, scoring, state, stories
+from . import expected as X
 from . import views as V
 
 #: Time of the queries over events, and of those over orders.
@@ -124,7 +125,7 @@ def baseline_panel(spark, d):
 @query(
     V.with_views("mentions", "hourly")
     + f""", {USERS_SQL}, {ROSTER_SQL} select round(greatest(3.0, coalesce(quantile_cont(baseline / 14.0, 0.9), 3.0)), 6) as anchor,
-  round(coalesce(quantile_cont(baseline / 14.0, 0.75), 'infinity'::double), 6) as famous, round(quantile_cont(baseline / 14.0, 0.9), 6) as p90, count(*) as population
+  round(coalesce(greatest(3.0, quantile_cont(baseline / 14.0, 0.75)), 'infinity'::double), 6) as famous, round(quantile_cont(baseline / 14.0, 0.9), 6) as p90, count(*) as population
 from roster where total > 0"""
 )
 def baseline_thresholds(spark, d):
@@ -213,16 +214,6 @@ def first_seen_novelty(spark, d):
     return detectors.first_seen(_customers(spark, d), YEAR_NOW)
 
 
-@query(
-    V.with_views("mentions", "hourly")
-    + f""", {PANEL_SQL}, {EPOCH_SQL}, {SURGE_SQL}, {SHIFT_SQL}, {CATEGORY_SQL}, {SPREAD_SQL}, {FIRSTS_SQL}
-select * from ({_surges(2.0)} union all {FIRST_SEEN_SQL} union all {SPREADS_SQL} union all {SHIFTS_SQL})
-where (select epoch({D_NOW}) - epoch(min(arrival_at)) >= 7 * 86400 from mentions) and entity_id % 17 <> 0"""
-)
-def all_signals(spark, d):
-    return detectors.without_famous(detectors.run(V.mentions(spark, d), NOW, k=2.0), _users(spark, d))
-
-
 @query(
     V.with_views("article_entities", "edges", "entities")
     + f""", both_ends as (select e.*, a.fame as fame_a, b.fame as fame_b from edges e join entities a on a.id = entity_a and a.status = 'tracked' join entities b on b.id = entity_b and b.status = 'tracked')
@@ -298,9 +289,9 @@ def last_seen(spark, d):
 
 # ------------------------------------------------------------------ stories
 
-NORMAL_SQL = """trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(lower(title), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '[^a-z0-9 \\t\\n\\r]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'), ' ')"""
-STOP_SQL = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-SIGNED_SQL = f"""signed as (select *, coalesce(nullif(array_to_string(list_slice(list_sort(list_distinct(list_filter(string_split(plain, ' '), lambda w: length(w) >= 3 and w not in ({STOP_SQL})))), 1, 6), '|'), ''), plain) as title_signature
+SPACES_SQL = "\\s\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}"
+NORMAL_SQL = f"""trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '&(amp|lt|gt|quot|#39);', '', 'g'), '[^a-z0-9{SPACES_SQL}]', '', 'g'), '[{SPACES_SQL}]+', ' ', 'g'), ' ')"""
+SIGNED_SQL = f"""signed as (select *, coalesce(nullif(array_to_string(list_slice(list_sort(list_distinct(list_filter(string_split(plain, ' '), lambda w: length(w) >= 3 and w not in ({X.STOPWORDS})))), 1, 6), '|'), ''), plain) as title_signature
   from (select *, {NORMAL_SQL} as plain from articles))"""
 HASH_SQL = """sha256(concat_ws('|', trim(regexp_replace(lower(title), '[ \\t\\n\\r]+', ' ', 'g'), ' '), regexp_extract(link, '^https?://([^/]+)', 1)))"""
 
@@ -330,7 +321,7 @@ def insert_new_articles(spark, d):
 
 
 GROUPS_SQL = """grouped as (select a.id, arg_min(h.id, {'t': h.first_seen_at, 'i': h.id}) as dup_group_id from signed a join signed h on h.title_signature = a.title_signature and h.id <> a.id
-  and h.first_seen_at <= a.first_seen_at and h.first_seen_at >= a.first_seen_at - interval 48 hours and (h.first_seen_at < a.first_seen_at or h.id < a.id) where a.title_signature <> '' group by a.id)"""
+  and h.first_seen_at <= a.first_seen_at and h.first_seen_at >= a.first_seen_at - interval 48 hours and (h.first_seen_at < a.first_seen_at or h.id < a.id) group by a.id)"""
 
 
 @query(V.with_views("articles") + f", {SIGNED_SQL}, {GROUPS_SQL} select * from grouped")
@@ -407,71 +398,81 @@ def page_hosts(spark, d):
     return V.table(spark, d, "pages").select("page_id", T.domain("url").alias("domain"), T.sanitize_url("url").alias("link"))
 
 
-def _hits(words) -> str:
-    listed = ", ".join(f"'{w}'" for w in words)
-    begins = "|".join(w for w in words if len(w) >= 6)
-    return f"len(list_filter(w, lambda x: x in ({listed}) or regexp_matches(x, '^(?:{begins})')))"
+SENTIMENT_SQL = f"""greatest(-1.0, least(1.0, list_sum(list_transform(string_split_regex(lower(coalesce(t, '')), '[^a-zA-Z0-9_]+'),
+  lambda w: case when w in ({X.listed(X.NEGATIVE)}) then -1 when w in ({X.listed(X.POSITIVE)}) then 1
+  else cast(regexp_matches(w, '^({X.stems(X.POSITIVE)})') as integer) - cast(regexp_matches(w, '^({X.stems(X.NEGATIVE)})') as integer) end))
+  / greatest(1.0, sqrt(len(string_split_regex(lower(coalesce(t, '')), '[^a-zA-Z0-9_]+'))))))"""
+TEXT_SQL = "(select id, concat_ws(' ', title, summary) as t from headlines)"
 
 
-@query(
-    f"""select doc_id, round(greatest(-1.0, least(1.0, ({_hits(L.POSITIVE)} - {_hits(L.NEGATIVE)}) / greatest(1.0, sqrt(len(w))))), 6) as sentiment
-from (select doc_id, string_split_regex(lower(text), '[^a-z0-9_]+') as w from documents)"""
-)
+def _texts(spark, d) -> DataFrame:
+    return V.headlines(spark, d).select("id", F.concat_ws(" ", "title", "summary").alias("text"))
+
+
+@query(V.with_views("headlines") + f" select id, round({SENTIMENT_SQL}, 6) as sentiment from {TEXT_SQL}")
 def sentiment_score(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", F.round(L.sentiment("text"), 6).alias("sentiment"))
+    return _texts(spark, d).select("id", F.round(L.sentiment("text"), 6).alias("sentiment"))
 
 
 @query(
-    f"""select doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{{1,4}})\\b', 1), lambda w: w not in ({', '.join(f"'{w}'" for w in L.ACRONYM_STOPLIST)})))), '|') as acronyms
-from (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') as text from documents)"""
+    V.with_views("headlines", "terms")
+    + f""", found as (select id, unnest(regexp_extract_all(t, '\\b([A-Z][A-Z0-9]{{1,4}})\\b', 1)) as w from {TEXT_SQL}),
+kept as (select id, string_agg(distinct w, '|' order by w) as acronyms from found where w not in ({X.ACRONYM_STOPLIST}) and lower(w) not in (select lower(term) from terms) group by id)
+select id, coalesce(acronyms, '') as acronyms from headlines left join kept using (id)"""
 )
 def acronyms(spark, d):
-    plain = F.regexp_replace("text", "[^\\x00-\\x7F]", "_")
-    return V.table(spark, d, "documents").select("doc_id", F.array_join(L.acronyms(plain), "|").alias("acronyms"))
+    known = V.terms(spark).agg(F.collect_set(F.lower("term")).alias("known"))
+    return _texts(spark, d).join(F.broadcast(known)).select("id", F.array_join(L.acronyms("text", "known"), "|").alias("acronyms"))
 
 
 @query(
-    """select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})\\b', 1))), '|') as names
-from (select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') as text from documents)"""
+    V.with_views("headlines")
+    + f""" select id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(t, '\\b([A-Z][a-z]+(?:[{SPACES_SQL}]+[A-Z][a-z]+){{1,2}})\\b', 1), lambda w: lower(w) not in ({X.PERSON_STOPLIST})))), '|') as names from {TEXT_SQL}"""
 )
 def person_names(spark, d):
-    plain = F.regexp_replace("text", "[^\\x00-\\x7F]", "_")
-    return V.table(spark, d, "documents").select("doc_id", F.array_join(L.person_names(plain), "|").alias("names"))
+    return _texts(spark, d).select("id", F.array_join(L.person_names("text"), "|").alias("names"))
 
 
-TERMS = (("apache license", "Apache", "organization"), ("mit license", "MIT", "organization"), ("rights reserved", "Rights", "event"), ("thing", "Thing", "product"))
+@query(
+    V.with_views("headlines")
+    + f""" select id, array_to_string(list_sort(list_distinct(list_filter(list_concat(list_filter(regexp_extract_all(t, '\\b([A-Z][a-zA-Z0-9-]*[0-9][a-zA-Z0-9-]*)\\b', 1), lambda w: length(w) >= 3),
+  regexp_extract_all(t, '\\b([A-Z][a-z]+[A-Z][a-zA-Z]*)\\b', 1)), lambda w: lower(w) not in ('covid-19', 'covid19', '24/7', '9/11', '401k', 'y2k')))), '|') as products from {TEXT_SQL}"""
+)
+def product_names(spark, d):
+    return _texts(spark, d).select("id", F.array_join(L.products("text"), "|").alias("products"))
 
 
 @query(
-    "select distinct doc_id as id, canonical, type from documents join (values "
-    + ", ".join(str(t) for t in TERMS)
-    + ") t(term, canonical, type) on regexp_matches(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), '(^| )' || term || '($| )')"
+    V.with_views("headlines", "terms")
+    + f""", lasts as (select lower(term) as key, arg_max(canonical, place) as canonical, arg_max(type, place) as type, bool_or(length(term) between 2 and 5 and term = upper(term) and term <> lower(term)) as acronym from terms group by all),
+usable as (select *, regexp_replace(key, '([.+*?()])', '\\\\\\1', 'g') as pattern from lasts where length(key) >= 3 or acronym)
+select distinct id, canonical, type from {TEXT_SQL} join usable on case when acronym then regexp_matches(t, '(^|[^A-Za-z])' || upper(pattern) || '($|[^A-Za-z])') else regexp_matches(lower(t), '(^|[^a-z])' || pattern || '($|[^a-z])') end"""
 )
 def dictionary_match(spark, d):
-    terms = spark.createDataFrame(TERMS, "term string, canonical string, type string")
-    return L.dictionary_matches(V.table(spark, d, "documents").selectExpr("doc_id as id", "text"), terms)
+    return L.dictionary_matches(_texts(spark, d), V.terms(spark))
 
 
 @query(
-    V.with_views("articles")
-    + f""" select id, list_bool_or([contains(lower(link), s) for s in [{', '.join(f"'{s}'" for s in L.AD_LINKS)}]]) or regexp_matches(title, '(?i){'|'.join(L.AD_TITLES)}')
-  or regexp_matches(t, '(?i)paid (content|partner|post|promotion)') or (regexp_matches(t, '(?i)\\baffiliate\\b') and regexp_matches(t, '(?i)\\b(link|commission|earn)\\b')) as ad
-from (select *, concat_ws(' ', title, summary) as t from articles)"""
+    V.with_views("headlines")
+    + f""" select id, list_bool_or([contains(lower(link), s) for s in [{X.AD_LINKS}]]) or regexp_matches(title, '(?i){X.AD_TITLES}')
+  or regexp_matches(t, '(?i)paid (content|partner|post|promotion)') or (regexp_matches(t, '(?i)\\baffiliate\\b') and regexp_matches(t, '(?i)\\b(link|commission|earn)\\b')) as ad,
+  regexp_matches(title, '(?i){X.FINANCIAL_AD_TITLES}') as financial from (select *, concat_ws(' ', title, coalesce(summary, '')) as t from headlines)"""
 )
 def ad_filter(spark, d):
-    return V.articles(spark, d).select("id", L.is_ad("title", "summary", "link").alias("ad"))
+    return V.headlines(spark, d).select("id", L.is_ad("title", "summary", "link").alias("ad"), L.is_financial_ad("title").alias("financial"))
 
 
-@query(
-    "select event_id, case when starts_with(c, 'conflict') then 'critical' when starts_with(c, 'security') then 'critical' when starts_with(c, 'disaster') then 'high' when starts_with(c, 'politics') then 'elevated' when starts_with(c, 'econom') then 'moderate' when starts_with(c, 'tech') then 'low' else 'routine' end as urgency from (select event_id, concat(case event_id % 4 when 0 then 'Politics / ' when 1 then 'Economy ' when 2 then 'TECH ' else '' end, event_type) as category, lower(category) as c from events)"
-)
+CATEGORIES = ("Conflict/Humanitarian", "cyber threats", "Space weather", "Natural Disaster", "Health", "Government Advisory", "AVIATION", "Economic/Energy", "Supply Chain", "Trade/Maritime", "AI/ML", "Visual", "Think Tank", "")
+
+
+@query(f"select event_id, {X.URGENCY} as urgency from (select event_id, lower([{', '.join(repr(c) for c in CATEGORIES)}][event_id % {len(CATEGORIES)} + 1]) as c from events)")
 def urgency_level(spark, d):
-    category = F.expr("concat(case event_id % 4 when 0 then 'Politics / ' when 1 then 'Economy ' when 2 then 'TECH ' else '' end, event_type)")
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("event_id") % len(CATEGORIES) + 1).cast("int"))
     return V.table(spark, d, "events").select("event_id", L.urgency(category).alias("urgency"))
 
 
 @query(
-    f"select event_id, strftime(ts, '%Y-%m') as month, case when s < 60 then 'just now' when s < 3600 then concat(s // 60, 'm ago') when s < 86400 then concat(s // 3600, 'h ago') else concat(s // 86400, 'd ago') end as age from (select event_id, ts, cast(floor(epoch({D_NOW})) - floor(epoch(ts)) as bigint) as s from events where ts < {D_NOW})"
+    f"select event_id, strftime(ts, '%Y-%m') as month, case when s < 5 then 'NOW' when s < 60 then concat(s, 's') when s < 3600 then concat(s // 60, 'm') when s < 86400 then concat(s // 3600, 'h') else concat(s // 86400, 'd') end as age from (select event_id, ts, cast(floor((epoch_ms({D_NOW}) - epoch_ms(ts)) / 1000) as bigint) as s from events where ts < {D_NOW})"
 )
 def event_ages(spark, d):
     rows = V.table(spark, d, "events").where(f"ts < {NOW}")
@@ -535,13 +536,13 @@ def _stored_signals(spark, d):
         f"{NOW} - interval 5 days as first_detected_at",
         f"{NOW} - interval 4 days as last_evidence_at",
         f"if(c_custkey % 4 = 2, {NOW} - make_dt_interval(0, cast(c_custkey % 150 as int)), cast(null as timestamp_ntz)) as state_changed_at",
-    ).where("cast(substr(dedupe_key, 2) as int) < 700")
+    )
 
 
 SIGNALS_SQL = f"""stored as (select concat('k', c_custkey) as dedupe_key, ['new', 'seen', 'dismissed', 'promoted'][cast(c_custkey % 4 as int) + 1] as state, cast(0.25 as double) as confidence,
-  {D_NOW} - interval 5 days as first_detected_at, {D_NOW} - interval 4 days as last_evidence_at, case when c_custkey % 4 = 2 then {D_NOW} - to_hours(c_custkey % 150) end as state_changed_at from customer where c_custkey < 700),
-fresh as (select concat('k', s_suppkey) as dedupe_key, cast(0.75 as double) as confidence from supplier
-  where concat('k', s_suppkey) not in (select dedupe_key from stored where state = 'dismissed' and state_changed_at >= {D_NOW} - interval 72 hours))"""
+  {D_NOW} - interval 5 days as first_detected_at, {D_NOW} - interval 4 days as last_evidence_at, case when c_custkey % 4 = 2 then {D_NOW} - to_hours(c_custkey % 150) end as state_changed_at from customer),
+found as (select concat(case when s_suppkey % 3 = 0 then 'n' else 'k' end, s_suppkey) as dedupe_key, cast(0.75 as double) as confidence from supplier),
+fresh as (select * from found where dedupe_key not in (select dedupe_key from stored where state = 'dismissed' and state_changed_at >= {D_NOW} - interval 72 hours))"""
 
 
 @query(
@@ -551,7 +552,7 @@ union all select dedupe_key, 'new', confidence, {D_NOW}, {D_NOW}, null from fres
 )
 def signal_upsert(spark, d):
     stored = _stored_signals(spark, d)
-    fresh = V.table(spark, d, "supplier").selectExpr("concat('k', s_suppkey) as dedupe_key", "cast(0.75 as double) as confidence")
+    fresh = V.table(spark, d, "supplier").selectExpr("concat(if(s_suppkey % 3 = 0, 'n', 'k'), s_suppkey) as dedupe_key", "cast(0.75 as double) as confidence")
     return state.persist_signals(stored, fresh, NOW)
 
 
@@ -566,29 +567,6 @@ def retention(spark, d):
     return state.kept_articles(V.articles(spark, d), NOW, days=20).select("id")
 
 
-ROLES_SQL = """roles as (select id as entity_id, canonical_name, cast(id % 7 as double) as rate, case when type in ('country', 'region') or id % 7 >= 3 then 'anchor' when fame = 'famous' then 'famous' else 'satellite' end as role from entities where status = 'tracked'),
-cards as (select case when a.role = 'satellite' then a.entity_id else b.entity_id end as subject_id, case when a.role = 'satellite' then a.canonical_name else b.canonical_name end as subject,
-  case when a.role = 'satellite' then b.canonical_name else a.canonical_name end as anchor, case when a.role = 'satellite' then a.rate else b.rate end as rate, e.first_seen_at, entity_a, entity_b
-  from edges e join roles a on a.entity_id = entity_a join roles b on b.entity_id = entity_b where ((a.role = 'satellite' and b.role = 'anchor') or (a.role = 'anchor' and b.role = 'satellite')) and article_count >= 2"""
-
-
-@query(
-    V.with_views("article_entities", "edges", "entities")
-    + f""", {ROLES_SQL} and first_seen_at >= {D_ORDERS_NOW} - interval 30 days and first_seen_at < {D_ORDERS_NOW}),
-evidence as (select c.subject_id, c.subject, c.anchor, c.rate, c.first_seen_at, count(distinct x.article_id) as articles, count(distinct x.source_name) as sources, count(distinct cast(x.arrival_at as date)) as days
-  from cards c join article_entities x on x.entity_id = c.entity_a join article_entities y on y.article_id = x.article_id and y.entity_id = c.entity_b group by all),
-scored as (select *, round(3 * 0.35 + 2 * exp(-((epoch({D_ORDERS_NOW}) - epoch(first_seen_at)) / 86400.0) / 7.0) + least(sources, 5) / 5.0 + least(days, 5) / 5.0 + 1 / 3.0 * 0.5 - case when rate >= 1.5 then 1.0 else 0.0 end, 6) as score from evidence where sources >= 2),
-best as (select *, row_number() over (partition by subject_id order by score desc, anchor) as n from scored)
-select subject_id, subject, anchor, articles, sources, days, score from best where n = 1 order by score desc, first_seen_at desc, subject_id limit 8"""
-)
-def developments_edges(spark, d):
-    entities = V.entities(spark, d)
-    panel = entities.where("status = 'tracked'").selectExpr("id as entity_id", "canonical_name", "cast(id % 7 as double) * 14 as baseline")
-    roles = developments.anchors(panel, entities, 3.0)
-    cards = developments.edge_cards(_edges(spark, d), roles, V.article_entities(spark, d), ORDERS_NOW, days=30)
-    return developments.ranked(cards, ORDERS_NOW, 3.0)
-
-
 @query(
     """select s_suppkey as id, case when coalesce(s_suppkey % 3 > 0 and (views >= 20000 or (links >= 25 and views >= 3000)), false) then 'famous' else 'not_famous' end as fame
 from (select s_suppkey, cast(round(s_acctbal * 10) as bigint) as views, s_suppkey % 60 as links from supplier)"""
@@ -599,8 +577,10 @@ def wiki_fame(spark, d):
 
 
 @query(
-    "select strftime(o_orderdate, '%Y-%m') as month, round(sum(cast(o_orderkey % 9000 as double)) / 1e6 * 3.0 + sum(cast(o_custkey % 700 as double)) / 1e6 * 15.0, 6) as cost from orders group by all"
+    """select strftime(o_orderdate, '%Y-%m') as month, round(sum(o_orderkey % 9000) / 1e6 * 1.0 + sum(o_custkey % 700) / 1e6 * 5.0 + sum(o_orderkey % 77 * 2) / 1e6 * 0.5 + sum(o_custkey % 31 * 2) / 1e6 * 2.5, 6) as cost,
+  sum(o_orderkey % 9000) / 1e6 * 1.0 + sum(o_custkey % 700) / 1e6 * 5.0 + sum(o_orderkey % 77 * 2) / 1e6 * 0.5 + sum(o_custkey % 31 * 2) / 1e6 * 2.5 < 5.0 as open from orders group by all"""
 )
 def month_cost(spark, d):
-    rows = V.table(spark, d, "orders").groupBy(D.month("o_orderdate").alias("month")).agg(F.sum(F.expr("cast(o_orderkey % 9000 as double)")).alias("input"), F.sum(F.expr("cast(o_custkey % 700 as double)")).alias("output"))
-    return rows.select("month", F.round(scoring.cost_usd({"input": (F.col("input"), 3.0), "output": (F.col("output"), 15.0)}), 6).alias("cost"))
+    counters = {"input_tokens": "o_orderkey % 9000", "output_tokens": "o_custkey % 700", "batch_input_tokens": "o_orderkey % 77 * 2", "batch_output_tokens": "o_custkey % 31 * 2"}
+    rows = V.table(spark, d, "orders").groupBy(D.month("o_orderdate").alias("month")).agg(*[F.sum(F.expr(e).cast("double")).alias(n) for n, e in counters.items()])
+    return rows.select("month", F.round(scoring.month_cost(), 6).alias("cost"), scoring.within_budget(scoring.month_cost(), F.lit(5.0)).alias("open"))

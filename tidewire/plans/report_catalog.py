@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, reports, rollups
+from ..operators import graph, reports, rollups, stories
 from . import catalog as C
 from . import views as V
 from .catalog import D_NOW, NOW, query
@@ -70,27 +70,31 @@ def ring_baseline(spark, d):
 
 @query(
     V.with_views("mentions")
-    + """, p as (select entity_id, count(distinct category) as categories, count(distinct source_name) as sources, entity_id % 5 as new_edges, count(*) as observed, case when entity_id % 3 > 0 then entity_id % 40 + 1 end as usual, entity_id % 7 = 0 as quiet from mentions group by entity_id)
-select entity_id, round(least(100.0, least(30.0, greatest(0, categories - 1) * 10.0) + least(15.0, greatest(0, sources - 1) * 5.0) + least(25.0, new_edges * 8.0)
-  + case when usual is null then case when observed >= 2 then 10.0 else 0.0 end when observed / usual > 2 then least(20.0, observed / usual * 4) else 0.0 end + case when quiet then 10.0 else 0.0 end), 6) as novelty from p"""
+    + """, p as (select entity_id, count(distinct category) as categories, count(distinct source_name) as sources, entity_id % 5 as new_edges, case when entity_id % 4 = 0 then entity_id % 8 else count(*) end as mentions, case when entity_id % 3 > 0 then (entity_id % 40 + 1) / 2.0 end as usual from mentions group by entity_id),
+q as (select entity_id, mentions, categories, least(30.0, categories * 6.0) as category, case when mentions > 0 then least(15.0, floor(sources / mentions * 20 + 0.5)) else 0.0 end as diversity, least(25.0, new_edges * 8.0) as edges,
+  case when mentions / usual > 2 then least(20.0, floor((mentions / usual - 1) * 5 + 0.5)) else 0.0 end as surprise, case when usual is null and mentions >= 2 then 10.0 else 0.0 end as emergence from p),
+r as (select *, case when mentions <= 5 and (categories >= 3 or edges > 0 or surprise > 0 or emergence > 0) then least(10.0, floor((6 - mentions) * 2.0 + 0.5)) else 0.0 end as quiet from q),
+told as (select entity_id, unnest([{'s': case when categories >= 3 then category end, 'k': 0, 'n': 'category_crossover'}, {'s': nullif(edges, 0), 'k': 1, 'n': 'novel_edge'}, {'s': nullif(surprise, 0), 'k': 2, 'n': 'baseline_surprise'}, {'s': nullif(emergence, 0), 'k': 3, 'n': 'entity_emergence'}, {'s': nullif(quiet, 0), 'k': 4, 'n': 'quiet_mover'}]) as x from r)
+select entity_id, least(100.0, category + diversity + edges + surprise + emergence + quiet) as novelty, coalesce((select string_agg(x.n, '|' order by x.s desc, x.k) from told t where t.entity_id = r.entity_id and x.s is not null), '') as reasons from r"""
 )
 def novelty_score(spark, d):
-    parts = V.mentions(spark, d).groupBy("entity_id").agg(F.countDistinct("category").alias("categories"), F.countDistinct("source_name").alias("sources"), F.count("*").alias("observed"))
-    parts = parts.withColumns({"new_edges": F.expr("entity_id % 5"), "usual": F.expr("case when entity_id % 3 > 0 then entity_id % 40 + 1 end"), "quiet": F.expr("entity_id % 7 = 0")})
+    parts = V.mentions(spark, d).groupBy("entity_id").agg(F.countDistinct("category").alias("categories"), F.countDistinct("source_name").alias("sources"), F.count("*").alias("n"))
+    parts = parts.withColumns({"new_edges": F.expr("entity_id % 5"), "usual": F.expr("case when entity_id % 3 > 0 then cast(entity_id % 40 + 1 as double) / 2 end"), "mentions": F.expr("if(entity_id % 4 = 0, entity_id % 8, n)")})
     return reports.novelty(parts)
 
 
 @query(
     V.with_views("article_entities", "edges")
-    + f""", h as (select concat_ws('|', entity_a, entity_b) as pair, article_count as count, {D_NOW} - to_days(cast(entity_a % 50 as integer)) as last_seen from edges where entity_b % 2 = 0),
-n as (select concat_ws('|', entity_a, entity_b) as pair, article_count as count from edges where entity_b % 3 = 0)
+    + f""", h as (select concat_ws('|', entity_a, entity_b) as pair, article_count as count, {D_NOW} - to_days(cast(entity_a % 50 as integer)) as last_seen from edges where first_seen_at < timestamp '1998-01-01'),
+n as (select concat_ws('|', entity_a, entity_b) as pair, article_count as count from edges where last_seen_at >= timestamp '1998-01-01')
 select * from (select coalesce(h.pair, n.pair) as pair, coalesce(h.count, 0) + coalesce(n.count, 0) as count, case when n.count is not null then {D_NOW} else last_seen end as last_seen from h full join n on h.pair = n.pair)
 where last_seen >= {D_NOW} - interval 30 days"""
 )
 def edge_history(spark, d):
     edges = C._edges(spark, d).withColumn("pair", F.concat_ws("|", "entity_a", "entity_b"))
-    history = edges.where("entity_b % 2 = 0").selectExpr("pair", "article_count as count", f"{NOW} - make_dt_interval(cast(entity_a % 50 as int)) as last_seen")
-    return reports.merged_history(history, edges.where("entity_b % 3 = 0").selectExpr("pair", "article_count as count"), NOW)
+    border = "timestamp_ntz'1998-01-01'"
+    history = edges.where(f"first_seen_at < {border}").selectExpr("pair", "article_count as count", f"{NOW} - make_dt_interval(cast(entity_a % 50 as int)) as last_seen")
+    return reports.merged_history(history, edges.where(f"last_seen_at >= {border}").selectExpr("pair", "article_count as count"), NOW)
 
 
 @query(
@@ -131,23 +135,63 @@ def failure_tally(spark, d):
 
 
 @query(
-    """select cast(s_suppkey as varchar) as custom_id, s_name as name, case when s_suppkey % 3 = 0 then 'person' else 'other' end as type, case when s_suppkey % 2 = 0 then 'famous' else 'known' end as prominence from supplier"""
+    """select cast(s_suppkey as varchar) as custom_id, cast(s_suppkey % 9 as bigint) as index, 0 as place, s_name as name, case s_suppkey % 4 when 0 then 'person' when 1 then 'region' else 'other' end as type, case when s_suppkey % 5 = 0 then 'chair' end as role,
+  case when s_suppkey % 2 = 0 then 'famous' else 'known' end as prominence from supplier where s_suppkey % 10 <> 9 union all select cast(s_suppkey as varchar), s_suppkey % 9, 2, 'Acme', 'company', null, 'known' from supplier where s_suppkey % 10 <> 9"""
 )
 def model_extractions(spark, d):
-    answer = """concat('Here: [{"name": " ', s_name, '", "type": "', case when s_suppkey % 3 = 0 then 'person' else 'gadget' end, '"', case when s_suppkey % 2 = 0 then ', "prominence": "famous"' else '' end, '}, {"name": " "}] done')"""
-    return reports.parsed_extractions(V.table(spark, d, "supplier").selectExpr("cast(s_suppkey as string) as custom_id", f"{answer} as result"))
+    return reports.parsed_extractions(_answers(spark, d))
 
 
-@query("select distinct event_type as category from events union all select 'all'")
+def _answers(spark, d):
+    """A model's answer for each supplier; every tenth is cut off and can't be read."""
+    answer = """concat('Here: [{"index": ', s_suppkey % 9, ', "entities": [{"name": " ', s_name, '", "type": "', element_at(array('person', 'place', 'gadget', 'other'), cast(s_suppkey % 4 as int) + 1), '"', if(s_suppkey % 5 = 0, ', "role": " chair "', ''),
+      if(s_suppkey % 2 = 0, ', "prominence": "famous"', ', "prominence": "huge"'), '}, {"name": " "}, {"name": "Acme", "type": "company"}], "relations": [{"source": "Acme", "target": "', s_name, '", "relation": "', if(s_suppkey % 3 = 0, 'supply', 'likes'), '"},
+      {"source": "Acme", "target": "Nobody", "relation": "supply"}]}, {"index": "x", "entities": []}', if(s_suppkey % 10 = 9, '', ']'), ' done')"""
+    return V.table(spark, d, "supplier").selectExpr("cast(s_suppkey as string) as custom_id", f"{answer} as result")
+
+
+@query(
+    """select cast(s_suppkey as varchar) as custom_id, cast(s_suppkey % 9 as bigint) as index, 0 as place, 'Acme' as source, case when s_suppkey % 3 = 0 then 'supply' else 'likes' end as relation, s_name as target, s_suppkey % 3 = 0 as known from supplier where s_suppkey % 10 <> 9"""
+)
+def model_relations(spark, d):
+    return reports.parsed_relations(_answers(spark, d))
+
+
+@query("select cast(row_number() over (order by category <> 'all', category) - 1 as integer) as place, category from (select distinct event_type as category from events union all select 'all')")
 def category_list(spark, d):
-    return V.table(spark, d, "events").selectExpr("event_type as category").distinct().union(spark.sql("select 'all' as category"))
+    return stories.categories(V.table(spark, d, "events").selectExpr("event_type as source_category"))
+
+
+PLACES = (
+    '<media:content medium="image" url="http://m/{0}.png?x"/>',
+    '<media:content url="https://m/{0}"/><media:thumbnail url=\'http://t/{0}\'/>',
+    "<media:thumbnail url='t/{0}'/>",
+    '<enclosure url="http://e/{0}" length="3" type="image/jpeg"/>',
+    '<enclosure type="image/gif" url="http://f/{0}"/>',
+    "<image><url> http://i/{0} </url></image>",
+    "<description>text <img class='a' src='http://d/{0}'> more</description>",
+    "<description>&lt;img src=&quot;x&quot;&gt; <img src=&quot;http://q/{0}&quot;></description>",
+    "<description><img src='/relative/{0}'></description>",
+)
+FOUND = ("http://m/{0}.png?x", "https://m/{0}", "t/{0}", "http://e/{0}", "http://f/{0}", "http://i/{0}", "http://d/{0}", "http://q/{0}", "")
+
+
+def _filled(parts, key: str, join: str = "concat") -> list[str]:
+    return [f"{join}({', '.join(x for x in (_quoted(a), key, _quoted(b)))})" if "{0}" in p else _quoted(p) for p in parts for a, _, b in [p.partition("{0}")]]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 @query(
-    "select page_id, coalesce(nullif(regexp_extract(html, '(?is)<img[^>]*[ \\t\\n\\r]src=\"([^\"]*)\"', 1), ''), '') as image, regexp_replace(url, '[A-Za-z][A-Za-z0-9+.-]*://[^ \\t\\n\\r]+', '[url]', 'g') as redacted from pages"
+    f"select page_id, [{', '.join(_filled(FOUND, 'page_id'))}][page_id % {len(FOUND)} + 1] as image, concat('https://www.google.com/s2/favicons?domain=', lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '&sz=128') as icon, regexp_replace(url, '[A-Za-z][A-Za-z0-9+.-]*://[^ \\t\\n\\r]+', '[url]', 'g') as redacted from pages"
 )
 def page_images(spark, d):
-    return V.table(spark, d, "pages").select("page_id", T.image_url("html").alias("image"), T.redact_urls("url").alias("redacted"))
+    rows = V.table(spark, d, "pages")
+    items = F.array(*[F.concat(F.lit(a), F.col("page_id").cast("string"), F.lit(b.replace("{0}", "9"))) if "{0}" in p else F.lit(p) for p in PLACES for a, _, b in [p.partition("{0}")]])
+    item = F.concat(F.lit("<item>"), F.element_at(items, (F.col("page_id") % len(PLACES) + 1).cast("int")), F.lit("</item>"))
+    return rows.select("page_id", T.image_url(item).alias("image"), T.source_image_url("url", F.lit("")).alias("icon"), T.redact_urls("url").alias("redacted"))
 
 
 @query(

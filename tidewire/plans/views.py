@@ -64,6 +64,57 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, "article_id").where("source_id <> target_id")
 
 
+#: Lines that stand before the texts of ``headlines``, in turn.
+PHRASES = (
+    "Ceasefire agreement reached after deadly bombing, NATO says",
+    "Save $50: best TV deals to buy today",
+    "President Emmanuel Macron meets Angela Merkel in New York",
+    "Bank of New York and the G7 summit on debt relief",
+    "Al-Shabaab attack: U.S. condemns killings, MIT studies it",
+    "OpenAI and iPhone15 makers sign COVID-19 pact with Apache License",
+    "École 2MIT ABC protests; GDP and AI up in Q1",
+    "Your home equity, turn your credit card into cash",
+    "paid partner post: affiliate link to earn commission",
+    "us and them: the it crowd, Usa, NATOs and mits",
+    "White House",
+    "Breaking News from Georgia: Donatella Versace, Vice President Kamala Harris",
+)
+#: Terms of a dictionary (term, canonical, type, place); a later place wins.
+TERMS = (
+    ("apache license", "Apache", "organization", 1),
+    ("mit license", "MIT", "organization", 2),
+    ("rights reserved", "Rights", "event", 3),
+    ("Bank of New York", "Bank of New York", "organization", 4),
+    ("g7 summit", "G7", "organization", 5),
+    ("al-shabaab", "Al-Shabaab", "organization", 6),
+    ("MIT", "MIT", "organization", 7),
+    ("US", "United States", "country", 8),
+    ("U.S.", "United States", "country", 9),
+    ("NATO", "NATO", "organization", 10),
+    ("IT", "Italy", "country", 11),
+    ("ai", "Anguilla", "region", 12),
+    ("Georgia", "Georgia (country)", "country", 13),
+    ("georgia", "Georgia", "region", 14),
+    ("École", "École", "organization", 15),
+)
+
+
+def terms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TERMS, "term string, canonical string, type string, place int")
+
+
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with one of PHRASES as their title, in turn, and their text as the summary."""
+    array = F.array(*map(F.lit, PHRASES))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.element_at(array, (F.col("doc_id") % len(PHRASES) + 1).cast("int")).alias("title"),
+        F.expr("concat('https://', source, '.example.com/', element_at(array('a', 'deals', 'shop', 'news'), cast(doc_id % 4 + 1 as int)), '/', doc_id)").alias("link"),
+        F.col("source").alias("source_name"),
+        F.col("text").alias("summary"),
+    )
+
+
 #: The same views for DuckDB, as common table expressions.
 SQL = {
     "mentions": f"""mentions as (select event_id as article_id, user_id as entity_id, ts as effective_at, ts + to_hours(event_id % 3) as arrival_at,
@@ -81,6 +132,9 @@ SQL = {
   [concat('sup ', s_suppkey), lower(s_name)] as aliases from supplier)""",
     "relations": """relations as (select l_orderkey as article_id, l_linenumber as seq, l_suppkey as source_id, o_custkey as target_id, l_returnflag as relation, o_orderdate as arrival_at
   from lineitem join orders on o_orderkey = l_orderkey where l_suppkey <> o_custkey)""",
+    "headlines": "headlines as (select doc_id as id, [" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + f"][doc_id % {len(PHRASES)} + 1] as title, "
+    "concat('https://', source, '.example.com/', ['a', 'deals', 'shop', 'news'][doc_id % 4 + 1], '/', doc_id) as link, source as source_name, text as summary from documents)",
+    "terms": "terms as (select * from (values " + ", ".join(str(t) for t in TERMS) + ") t(term, canonical, type, place))",
     "hourly": """hourly as (select entity_id, date_trunc('hour', effective_at) as bucket, count(*) as mentions, count(distinct source_name) as source_count,
   sum(sentiment) as sentiment_sum from mentions group by all)""",
     "edges": """edges as (select a.entity_id as entity_a, b.entity_id as entity_b, min(a.arrival_at) as first_seen_at, max(a.arrival_at) as last_seen_at, count(*) as article_count

@@ -57,17 +57,43 @@ def items(feeds: DataFrame, as_of) -> DataFrame:
     return rows.select("source_name", "place", "title", "link", F.when(good, F.col("date")).otherwise(as_of).alias("published"), (~good).alias("estimated"), "summary", "image")
 
 
-def error_kind(status, message) -> F.Column:
-    """Kind of a fetch's failure, by HTTP status and message; ok without one."""
-    status, message = F.col(status), F.lower(F.coalesce(F.col(message), F.lit("")))
+def error_kind(status, name, message) -> F.Column:
+    """Kind of a fetch's failure, by HTTP status, else by the exception's name and message; ok without one."""
+    status, name, message = F.col(status), F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(message), F.lit(""))
+    by_status = (
+        F.when(status == 403, "http_403").when(status == 404, "http_404").when(status == 429, "http_429").when(status >= 500, "http_5xx").otherwise("http_other")
+    )
     return (
-        F.when(message.rlike("timeout|timed out|abort"), "timeout")
-        .when(status.isin(401, 403), "forbidden")
-        .when(status == 404, "not_found")
-        .when(status == 429, "rate_limited")
-        .when(status >= 500, "server_error")
-        .when(status >= 400, "http_error")
-        .when(message.rlike("dns|enotfound"), "dns")
-        .when(message != "", "network")
+        F.when(status.isNotNull() & ~status.between(200, 299), by_status)
+        .when(name == "AbortError", "timeout")
+        .when(F.contains(message, F.lit("ENOTFOUND")) | F.contains(message, F.lit("getaddrinfo")), "dns")
+        .when(F.contains(message, F.lit("ECONNREFUSED")), "connection_refused")
+        .when((name != "") | (message != ""), "unknown")
         .otherwise("ok")
     )
+
+
+def collectable(catalog: DataFrame) -> DataFrame:
+    """Sources of a catalogue (type, url) that are feeds with a web address."""
+    kind = F.coalesce(F.col("type"), F.lit(""))
+    return catalog.where((F.contains(kind, F.lit("RSS")) | F.contains(kind, F.lit("Atom"))) & F.startswith(F.coalesce(F.col("url"), F.lit("")), F.lit("http")))
+
+
+def first_phase(fetches: DataFrame) -> DataFrame:
+    """For each source its first fetch with an item, in the order direct, relay, alt; without one, its last failure.
+
+    fetches: (source_name, phase, items, ...).
+    """
+    order = F.array_position(F.array(*map(F.lit, ("direct", "relay", "alt"))), F.col("phase"))
+    best = Window.partitionBy("source_name").orderBy((F.col("items") > 0).desc(), F.when(F.col("items") > 0, order).otherwise(-order))
+    return fetches.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+
+
+def counts(fetches: DataFrame) -> DataFrame:
+    """One row: how many sources were attempted, how many gave an item, and the items."""
+    return fetches.agg(F.count("*").alias("attempted"), F.count_if(F.col("items") > 0).alias("succeeded"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"))
+
+
+def diagnostics(fetches: DataFrame) -> DataFrame:
+    """Sources by outcome (kind), with the names of each."""
+    return fetches.groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("source_name")), "|").alias("sources"))
