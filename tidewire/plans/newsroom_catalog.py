@@ -37,7 +37,7 @@ def _tables(spark, d) -> Newsroom:
         "event_id as id",
         "case when event_id % 11 = 0 then 'Wire report' else concat('Story ', event_id - if(event_id % 6 = 5, 1, 0)) end as title",
         "concat('https://u', user_id % 20, '.example.com/', event_id) as link",
-        "concat('u', user_id % 7 + event_id % 3) as source_name",
+        "concat('u', user_id % 7 + event_id % 4) as source_name",
         "event_type as source_category",
         "if(event_id % 7 = 0, null, ts) as published_at",
         "arrival as first_seen_at",
@@ -84,7 +84,7 @@ _NAME = "concat('Name ', {0}, case when {0} % 3 = 0 then ' Inc.' else '' end)"
 #: The newsroom's tables for DuckDB.
 ROOM = f"""with held as (select *, ts + to_hours(event_id % 3) as arrival, case when event_id % 40 = 0 then 100000 + 2 * day(ts) + event_id // 40 % 2 else user_id + 1 + event_id % 3 + 7 * (day(ts) // 10) end as second_id from events where ts + to_hours(event_id % 3) < {D_NOW}),
 articles as (select event_id as id, case when event_id % 11 = 0 then 'Wire report' else concat('Story ', event_id - case when event_id % 6 = 5 then 1 else 0 end) end as title,
-  concat('https://u', user_id % 20, '.example.com/', event_id) as link, concat('u', user_id % 7 + event_id % 3) as source_name, event_type as source_category, case when event_id % 7 <> 0 then ts end as published_at,
+  concat('https://u', user_id % 20, '.example.com/', event_id) as link, concat('u', user_id % 7 + event_id % 4) as source_name, event_type as source_category, case when event_id % 7 <> 0 then ts end as published_at,
   arrival as first_seen_at, case when event_id % 6 = 5 then event_id - 1 end as dup_group_id from held),
 heads as (select * from articles where dup_group_id is null),
 article_entities as (select event_id as article_id, user_id as entity_id from held union all select event_id, second_id from held),
