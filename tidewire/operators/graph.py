@@ -117,10 +117,10 @@ def name_groups(entities: DataFrame) -> DataFrame:
 
 
 def similar_names(entities: DataFrame) -> DataFrame:
-    """Groups of likely names of one entity: (group, place, id, canonical_name), groups and members by smallest id."""
+    """Groups of likely names of one entity: (component, place, id, canonical_name), groups and members by smallest id."""
     found = name_groups(entities).join(entities.select("id", "canonical_name"), "id")
     place = F.row_number().over(Window.partitionBy("component").orderBy("id"))
-    return found.select(F.col("component").alias("group"), place.alias("place"), "id", "canonical_name")
+    return found.select("component", place.alias("place"), "id", "canonical_name")
 
 
 #: What follows from trouble in a domain, in this order.

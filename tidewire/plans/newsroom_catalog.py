@@ -357,7 +357,7 @@ def similar_names(spark, d):
         "s_suppkey as id",
         "concat_ws(' ', element_at(array('Alpha', 'Beta', 'Gamma', 'Delta'), cast(s_suppkey % 4 as int) + 1), concat('N', s_suppkey % 60), if(s_suppkey % 7 = 0, 'Group', null), if(s_suppkey % 5 = 0, 'Inc.', null)) as canonical_name",
     )
-    return graph.similar_names(rows)
+    return graph.similar_names(rows).withColumnRenamed("component", "group")
 
 
 VIEWS = """answers as (select s_suppkey as k, concat('Name ', s_suppkey) as name, s_suppkey % 50 as links, s_suppkey * 997 % 40000 as views from supplier)"""
