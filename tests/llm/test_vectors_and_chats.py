@@ -1,6 +1,7 @@
 """Vector operators and chat formatting against brute force."""
 import json
 import math
+import random
 
 import numpy as np
 
@@ -70,6 +71,26 @@ def test_near_vectors(spark):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, i is not None)
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (100, [0.5])]
+    got = vectors.top_k(table(spark, rows), k=9).collect()
+    vector = lambda v: np.floor(256 * np.array(v + [0.0] * (2 - len(v)))).astype(int)
+    expected = []
+    for a, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            scores = sorted((-int(vector(v) @ vector(w)), j) for b, (j, w) in enumerate(rows) if a != b)
+            expected += [(i, rank, j, -s) for rank, (s, j) in enumerate(scores, 1)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert vectors.top_k(table(spark, rows).limit(0)).count() == 0
+
+
+def test_near_vectors_that_share_an_id(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (3, [1.0, 0.01]), (7, [0.0, 2.0]), (7, [0.0, 2.0]), (9, [-1.0, 0.0]), (9, None)]
+    got = sorted(map(tuple, vectors.near_duplicates(table(spark, rows)).collect()))
+    assert got == sorted([(5, 1, 3, False), (5, 2, 5, True), (3, 1, 3, True), (7, 2, 5, False), (7, 2, 5, False), (9, 0, 9, True), (9, 0, 9, True)])
+    assert vectors.near_duplicates(table(spark, rows).limit(0)).count() == 0
+
+
 def test_large_buckets_are_cut_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(vectors, "GROUP", 16)
     base = np.random.default_rng(3).normal(size=8)
@@ -109,6 +130,79 @@ def test_chats(spark):
     assert tuple(by[2, 1])[3:7] == (0, 0, 0, 0)
     assert by[1, 0].message == '{"content":"hi ü","role":"user"}'
     told = json.loads(by[1, 1].message)["tool_calls"]
-    assert [(c["id"], c["level"], c["linked"], c["valid"]) for c in told] == [("a", 0, True, True), ("b", 1, False, False), ("c", 2, False, False), ("d", 0, False, False)]
+    assert [(c["id"], c["level"], c["linked"], c["valid"]) for c in told] == [("a", 0, True, True), ("d", 0, False, False), ("b", 1, False, False), ("c", 2, False, False)]
     assert json.loads(by[2, 0].message)["tool_calls"][0]["arguments"] == '{"headers":{"a":2,"b":1},"url":"u"}'
+    assert by[3, 0].message == '{"content":null,"role":"assistant"}' and by[None, None].message == '{"content":null,"role":null}'
     assert chat.format_chats(messages.limit(0), schemas).count() == 0
+
+
+def fits(value, schema, top=True):
+    """A plain reading of the keywords that are validated."""
+    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+    types = [schema["type"]] if isinstance(schema.get("type"), str) else schema.get("type")
+    if types is not None and not any(isinstance(value, kinds[t]) and not (isinstance(value, bool) and t in ("integer", "number")) for t in types):
+        return False
+    if "enum" in schema and value not in schema["enum"]:
+        return False
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        closed = not schema["additionalProperties"] if "additionalProperties" in schema else top
+        if set(schema.get("required", [])) - set(value) or (closed and set(value) - set(known)):
+            return False
+        return all(fits(v, known[k], False) for k, v in value.items() if k in known)
+    if isinstance(value, list) and "items" in schema:
+        return all(fits(v, schema["items"], False) for v in value)
+    return True
+
+
+DEEP = {
+    "type": "object",
+    "required": ["mode"],
+    "properties": {
+        "mode": {"enum": ["fast", "slow", 3]},
+        "size": {"type": ["integer", "string"]},
+        "where": {"type": "object", "required": ["lat"], "additionalProperties": False, "properties": {"lat": {"type": "number"}, "tags": {"type": "array", "items": {"type": "string"}}}},
+        "any": {},
+    },
+}
+
+
+def test_schemas_at_every_depth(spark):
+    draw = random.Random(5)
+    pick = lambda *c: draw.choice(c)
+    rows, expected = [], {}
+    for i in range(500):
+        where = {"lat": pick(1, 2.5, "x"), **pick({}, {"tags": []}, {"tags": ["a", "b"]}, {"tags": ["a", 1]}, {"tags": 3}, {"other": 1})}
+        if draw.random() < 0.2:
+            where.pop("lat")
+        args = {"mode": pick("fast", "slow", 3, "other"), **pick({}, {"size": 1}, {"size": "1"}, {"size": 1.5}, {"size": True}), **pick({}, {"where": where}, {"where": 1}), **pick({}, {"any": [1, {"z": 2}]}, {"extra": 0})}
+        if draw.random() < 0.1:
+            args.pop("mode")
+        expected[i] = fits(args, DEEP)
+        rows.append((i, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "deep", "arguments": args}]})))
+    schemas = spark.createDataFrame([("deep", json.dumps(DEEP))], "tool string, parameters string")
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()
+    assert {r.conv_id: r.n_valid == 1 for r in got} == expected
+    assert 10 < sum(expected.values()) < 400
+
+
+def test_random_call_graphs(spark):
+    draw = random.Random(6)
+    rows, expected = [], {}
+    for conv in range(25):
+        n = draw.randint(1, 7)
+        needs = {i: [j for j in range(n + 1) if j != i and draw.random() < 0.2] for i in range(n)}
+        level, changed = {}, True
+        while changed:  # n itself isn't there and is left out
+            changed = False
+            for i in range(n):
+                own = [j for j in needs[i] if j < n]
+                if i not in level and all(j in level for j in own):
+                    level[i], changed = 1 + max((level[j] for j in own), default=-1), True
+        expected[conv] = [(f"t{i}", level.get(i)) for i in sorted(range(n), key=lambda i: (level.get(i, 99), i))]
+        calls = [{"id": f"t{i}", "name": "x", "arguments": {}, "depends_on": [f"t{j}" for j in needs[i]]} for i in range(n)]
+        rows.append((conv, 0, "assistant", json.dumps({"tool_calls": calls})))
+    schemas = spark.createDataFrame(TOOLS, "tool string, parameters string")
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()
+    assert {r.conv_id: [(c["id"], c["level"]) for c in json.loads(r.message)["tool_calls"]] for r in got} == expected
+    assert any(level is None for calls in expected.values() for _, level in calls)

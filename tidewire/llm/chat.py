@@ -46,34 +46,70 @@ def tool_results(messages: DataFrame) -> DataFrame:
     return rows.where("id is not null and conv_id is not null").groupBy("conv_id", "id").agg(F.min("turn").alias("result_turn"))
 
 
+def _rules(schemas: DataFrame) -> tuple[DataFrame, int]:
+    """What a schema asks for at each path (tool, path, types, choices, required, closed), and how deep it goes.
+
+    Paths name an object's member by .key and an array's items by [].  A tool's schemas are
+    read level by level, as many rounds as they are deep.
+    """
+    level = schemas.groupBy("tool").agg(F.first("parameters", ignorenulls=True).alias("p")).select("tool", F.lit("").alias("path"), F.expr("try_parse_json(p)").alias("s"))
+    found, depth = None, 0
+    while True:
+        one = F.expr("case when schema_of_variant(variant_get(s, '$.type', 'variant')) = 'STRING' then array(try_variant_get(s, '$.type', 'string')) end")
+        rules = level.select(
+            "tool",
+            "path",
+            F.coalesce(one, F.expr("try_variant_get(s, '$.type', 'array<string>')")).alias("types"),
+            F.expr("transform(try_variant_get(s, '$.enum', 'array<variant>'), e -> to_json(e))").alias("choices"),
+            F.coalesce(F.expr("try_variant_get(s, '$.required', 'array<string>')"), F.array().cast("array<string>")).alias("required"),
+            F.coalesce(F.expr("not try_variant_get(s, '$.additionalProperties', 'boolean')"), F.col("path") == "").alias("closed"),
+        )
+        found = rules if found is None else found.unionByName(rules)
+        members = level.select("tool", "path", F.explode(F.expr("try_variant_get(s, '$.properties', 'map<string,variant>')")).alias("key", "s"))
+        items = level.select("tool", F.concat("path", F.lit("[]")).alias("path"), F.expr("variant_get(s, '$.items', 'variant')").alias("s")).where("s is not null")
+        level = members.select("tool", F.concat_ws(".", "path", "key").alias("path"), "s").unionByName(items)
+        depth += 1
+        if level.isEmpty():
+            return cut(found, "rules"), depth
+
+
 def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Adds valid: the tool is known, its required arguments are there, and every argument is one of its, of its type.
+    """Adds valid: the tool is known and its arguments fit its schema.
 
-    schemas: (tool, parameters), parameters being a JSON schema of an object.
+    schemas: (tool, parameters), parameters being a JSON schema.  Read are type (one or
+    several), enum, required, properties, items and additionalProperties, at every depth;
+    arguments that the schema doesn't name are wrong at the top, and below it only
+    where additionalProperties is false.  Every value meets the rule of its path by an
+    equal-key join, level by level.
     """
-    tools = schemas.select("tool", F.expr("try_parse_json(parameters)").alias("p"))
-    required = tools.groupBy("tool").agg(F.first(F.expr("try_variant_get(p, '$.required', 'array<string>')")).alias("required"))
-    properties = tools.selectExpr("tool", "try_variant_get(p, '$.properties', 'map<string,struct<type:string>>') as props")
-    properties = properties.select("tool", F.explode("props").alias("key", "prop")).select("tool", "key", F.col("prop.type").alias("type")).dropDuplicates(["tool", "key"])
-    fits = F.expr("false")
-    for kind, names in FITTING.items():
-        fits = fits | ((F.col("type") == kind) & F.col("own").isin(names))
-    fits = fits | F.col("type").isNull()
-    given = calls.select("conv_id", "turn", "place", "name", F.explode(F.expr("try_variant_get(arguments, '$', 'map<string,variant>')")).alias("key", "value"))
-    given = given.withColumn("own", F.regexp_extract(F.expr("schema_of_variant(value)"), "^[A-Z]+", 0))
-    known = properties.withColumn("there", F.lit(True))
-    judged = given.join(known, (given["name"] == known["tool"]) & (given["key"] == known["key"]), "left").select(
-        "conv_id", "turn", "place", given["key"], (F.coalesce("there", F.lit(False)) & fits).alias("good")
-    )
-    wrong = judged.groupBy("conv_id", "turn", "place").agg(F.count_if(~F.col("good")).alias("wrong"), F.collect_set("key").alias("keys"))
-    held = calls.join(required.withColumnRenamed("tool", "name").withColumn("has_tool", F.lit(True)), "name", "left")
-    held = held.join(wrong, ["conv_id", "turn", "place"], "left")
-    # an argument list that is no object has no keys and is told apart by its type
+    rules, depth = _rules(schemas)
+    known = F.broadcast(rules)  # bounded: the tools' schemas
+    at = ["conv_id", "turn", "place"]
+    level = calls.select(*at, F.col("name").alias("tool"), F.lit("").alias("path"), F.col("arguments").alias("v"))
+    kind = F.regexp_extract(F.expr("schema_of_variant(v)"), "^[A-Z]+", 0)
+    wrong = None
+    for _ in range(depth):
+        held = level.join(known, ["tool", "path"]).withColumns({"own": kind, "members": F.expr("try_variant_get(v, '$', 'map<string,variant>')")})
+        fits = F.col("types").isNull()
+        for name, fitting in FITTING.items():
+            fits = fits | (F.array_contains("types", name) & F.col("own").isin(fitting))
+        whole = F.size(F.array_except("required", F.coalesce(F.map_keys("members"), F.array().cast("array<string>")))) == 0
+        chosen = F.col("choices").isNull() | F.array_contains("choices", F.to_json("v"))
+        good = fits & chosen & ((F.col("own") != "OBJECT") | whole) & F.col("v").isNotNull()
+        bad = held.where(~F.coalesce(good, F.lit(False))).select(at)
+        members = held.select(*at, "tool", "closed", "path", F.explode("members").alias("key", "v"))
+        members = members.select(*at, "tool", "closed", F.concat_ws(".", "path", "key").alias("path"), "v")
+        strange = members.where("closed").join(known.select("tool", "path"), ["tool", "path"], "left_anti").select(at)
+        items = held.where("own = 'ARRAY'").select(*at, "tool", F.concat("path", F.lit("[]")).alias("path"), F.explode(F.expr("try_variant_get(v, '$', 'array<variant>')")).alias("v"))
+        here = bad.unionByName(strange)
+        wrong = here if wrong is None else wrong.unionByName(here)
+        level = members.drop("closed").unionByName(items)
+    wrong = wrong.distinct().withColumn("wrong", F.lit(True))
+    tools = F.broadcast(rules.where("path = ''").select(F.col("tool").alias("name"), F.lit(True).alias("has_tool")))
+    held = calls.join(tools, "name", "left").join(wrong, at, "left")
     is_object = F.coalesce(F.regexp_like(F.expr("schema_of_variant(arguments)"), F.lit("^OBJECT")), F.lit(False))
-    keys = F.coalesce("keys", F.array().cast("array<string>"))
-    complete = F.size(F.array_except(F.coalesce("required", F.array().cast("array<string>")), keys)) == 0
-    valid = F.coalesce("has_tool", F.lit(False)) & is_object & (F.coalesce("wrong", F.lit(0)) == 0) & complete
-    return held.withColumn("valid", valid).drop("required", "has_tool", "wrong", "keys")
+    valid = F.coalesce("has_tool", F.lit(False)) & is_object & ~F.coalesce("wrong", F.lit(False))
+    return held.withColumn("valid", valid).drop("has_tool", "wrong")
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -104,10 +140,10 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     messages needs conv_id, turn, role and text; other columns are ignored.  Returns
     conv_id, turn, role, n_calls, n_linked (calls with a result), n_valid, level
     (highest topological level of its calls, 0 without; null if one is on a cycle) and
-    message: canonical JSON of content and role and, for calls, tool_calls with id,
-    level, linked, name, valid and their arguments.
+    message: canonical JSON of content and role and, for calls, tool_calls with their
+    arguments, id, level, linked, name and valid, a call after those it needs.
 
-    A null text has a null content; empty and very long texts are kept whole.  Calls
+    A null text has a null content, and a null anywhere is written as one; empty and very long texts are kept whole.  Calls
     without an id link with nothing.  Where a conversation uses an id twice both
     calls link with its result.  Repeated rows give repeated rows.  No conversation is
     brought together in one place.
@@ -117,7 +153,8 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     linked = calls.hint("shuffle_hash").join(tool_results(messages), ["conv_id", "id"], "left")
     linked = linked.withColumn("linked", F.col("result_turn").isNotNull())
     judged = validated(linked, schemas).join(levels(calls), ["conv_id", "id"], "left")
-    told = F.struct("place", F.struct(F.expr("to_json(arguments)").alias("arguments"), "id", "level", "linked", "name", "valid").alias("call"))
+    # in the order of need: calls on a cycle come last, of one level the earlier in the message
+    told = F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("order"), "place", F.struct(F.expr("to_json(arguments)").alias("arguments"), "id", "level", "linked", "name", "valid").alias("call"))
     own = judged.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_calls"),
         F.count_if("linked").alias("n_linked"),
@@ -133,6 +170,8 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     plain = plain.withColumn("calls", F.lit(None).cast(own.schema["calls"].dataType))
     rows = calling.unionByName(plain)
     count = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
-    message = F.to_json(F.struct(F.col("text").alias("content"), "role", F.col("calls").alias("tool_calls")))
+    keep = {"ignoreNullFields": "false"}
+    plain = F.to_json(F.struct(F.col("text").alias("content"), "role"), keep)
+    message = F.when(F.col("calls").isNull(), plain).otherwise(F.to_json(F.struct(F.col("text").alias("content"), "role", F.col("calls").alias("tool_calls")), keep))
     level = F.when(F.col("has_calls"), F.col("level")).otherwise(F.lit(0))
     return rows.select("conv_id", "turn", "role", count("n_calls"), count("n_linked"), count("n_valid"), level.cast("int").alias("level"), message.alias("message"))

@@ -20,10 +20,34 @@ TOOLS = [
 ]
 
 
+#: Calls that op7 puts into each assistant's message, in the order they are written: each needs some that come later.
+CALLS = (
+    """{"id":"c', turn, '","name":"fetch","arguments":{"headers":{},"url":"u', turn, '"},"depends_on":["b', turn, '","a', turn - 2, '"]}""",
+    """{"id":"b', turn, '","name":"calculate","arguments":{"expression":"1+', turn, '"},"depends_on":["a', turn, '"]}""",
+    """{"id":"a', turn, '","name":"search","arguments":{"query":"q', conv_id, '","limit":', LIMIT, '}}""",
+)
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """All messages of conversations, the tables of which hold no calls, with CALLS in each assistant's and some answers.
+
+    A turn counts twice.  An assistant's text becomes the content of a JSON object with three
+    calls; in every fourth conversation one has a wrong argument.  Two of three
+    assistants' turns are followed by a tool's answer to their call a.
+    """
+    limit = "if(conv_id % 4 = 0, '\"many\"', cast(turn as string))"
+    calls = ",".join(CALLS).replace("LIMIT", limit)
+    quoted = "regexp_replace(to_json(array(coalesce(text, ''))), '^.|.$', '')"
+    own = conversations.selectExpr("conv_id", "turn * 2 as turn", "role", f"if(role = 'assistant', concat('{{\"content\":', {quoted}, ',\"tool_calls\":[{calls}]}}'), text) as text")
+    answers = conversations.where("role = 'assistant' and (conv_id + turn) % 3 <> 0")
+    answers = answers.selectExpr("conv_id", "turn * 2 + 1 as turn", "'tool' as role", "concat('{\"tool_call_id\":\"a', turn, '\",\"content\":\"done\"}') as text")
+    return own.unionByName(answers)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = ", ".join(f"('{name}', '{schema}')" for name, schema in TOOLS)
     schemas = spark.sql(f"select * from values {tools} as t(tool, parameters)")
-    found = chat.format_chats(_table(spark, sf_dir, "conversations"), schemas)
+    found = chat.format_chats(with_calls(_table(spark, sf_dir, "conversations")), schemas)
     return found.select("conv_id", "turn", "role", "n_calls", "n_linked", "n_valid", "level", F.sha2("message", 256).alias("message_sha256"))
 
 
@@ -124,11 +148,25 @@ with split as (
 select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(text, '')) as kept_sha256
 from split left join kept using (doc_id)
 """,
-    # the tables hold no tool calls; for a text with calls these would not be 0
     "op7_chat_formatting": """
-select conv_id, turn, role, cast(0 as bigint) as n_calls, cast(0 as bigint) as n_linked, cast(0 as bigint) as n_valid, cast(0 as integer) as level,
-  sha256(cast(to_json({'content': text, 'role': role}) as varchar)) as message_sha256
-from conversations
+with said as (
+  select conv_id, turn as t, turn * 2 as turn, role, (conv_id + turn) % 3 <> 0 as answered, conv_id % 4 <> 0 as fits,
+    case when conv_id % 4 = 0 then '"many"' else cast(turn as varchar) end as lim, text as plain from conversations
+), told as (
+  select *, case when role = 'assistant' then concat('{"content":', cast(to_json(coalesce(plain, '')) as varchar), ',"tool_calls":[{"id":"c', t, '","name":"fetch","arguments":{"headers":{},"url":"u', t,
+    '"},"depends_on":["b', t, '","a', t - 2, '"]},{"id":"b', t, '","name":"calculate","arguments":{"expression":"1+', t, '"},"depends_on":["a', t, '"]},{"id":"a', t,
+    '","name":"search","arguments":{"query":"q', conv_id, '","limit":', lim, '}}]}') else plain end as text from said
+)
+select conv_id, turn, role, cast(if(role = 'assistant', 3, 0) as bigint) as n_calls, cast(if(role = 'assistant' and answered, 1, 0) as bigint) as n_linked,
+  cast(case when role <> 'assistant' then 0 when fits then 3 else 2 end as bigint) as n_valid, cast(if(role = 'assistant', 2, 0) as integer) as level,
+  sha256(case when role = 'assistant' then cast(to_json({'content': text, 'role': role, 'tool_calls': [
+    {'arguments': concat('{"limit":', lim, ',"query":"q', conv_id, '"}'), 'id': concat('a', t), 'level': 0, 'linked': answered, 'name': 'search', 'valid': fits},
+    {'arguments': concat('{"expression":"1+', t, '"}'), 'id': concat('b', t), 'level': 1, 'linked': false, 'name': 'calculate', 'valid': true},
+    {'arguments': concat('{"headers":{},"url":"u', t, '"}'), 'id': concat('c', t), 'level': 2, 'linked': false, 'name': 'fetch', 'valid': true}]}) as varchar)
+    else cast(to_json({'content': text, 'role': role}) as varchar) end) as message_sha256
+from told
+union all
+select conv_id, turn + 1, 'tool', 0, 0, 0, 0, sha256(cast(to_json({'content': concat('{"tool_call_id":"a', t, '","content":"done"}'), 'role': 'tool'}) as varchar)) from said where role = 'assistant' and answered
 """,
     "op9_minhash_near_dedup": """
 with recursive split as (
