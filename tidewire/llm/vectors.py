@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shared import cut
@@ -35,16 +36,17 @@ def _matrix(rows, size: int, dtype) -> np.ndarray:
 
 
 class Lists:
-    """A block of integer vectors with its ids in the order of each dimension."""
+    """A block of integer vectors with their ids, and which of the id's rows each is, in the order of each dimension."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, turns: np.ndarray | None = None):
         self.ids = ids
+        self.turns = np.ones(len(ids), dtype=np.int64) if turns is None else turns
         self.matrix = matrix
         self.order = np.argsort(matrix, axis=0, kind="stable")
         self.sorted = np.take_along_axis(matrix, self.order, axis=0)
 
-    def search(self, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]], step: int = 64) -> list[tuple[int, int]]:
-        """The k best of ``best`` and the block, as (-score, id), for one query.
+    def search(self, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]], step: int = 64, turn: int = 1) -> list[tuple[int, int]]:
+        """The k best of ``best`` and the block, as (-score, id), for one query, without its own row.
 
         Sorted access goes down all lists together, from the end where the product
         with the query is largest.  Every vector met is scored in full.  No vector
@@ -70,7 +72,7 @@ class Lists:
                 bar = best[-1][0] if len(best) == k else None
                 good = new if bar is None else new[-score <= bar]
                 values = score if bar is None else score[-score <= bar]
-                more = [(-s, i) for s, i in zip(values.tolist(), self.ids[good].tolist()) if i != own]
+                more = [(-s, i) for s, i, t in zip(values.tolist(), self.ids[good].tolist(), self.turns[good].tolist()) if i != own or t != turn]
                 best = sorted(best + more)[:k]
             at = stop
             edge = np.where(up, self.sorted[n - at if at < n else 0], self.sorted[at - 1])
@@ -82,9 +84,10 @@ class Lists:
 
 def _packed(name: str, dims: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id", kind="stable")
+        rows = rows.sort_values(["vec_id", "turn"], kind="stable")
         matrix = _matrix(rows["v"], dims, np.int64)
-        return pd.DataFrame({name: [rows[name].iloc[0]], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]})
+        ids, turns = (rows[c].to_numpy(np.int64).tobytes() for c in ("vec_id", "turn"))
+        return pd.DataFrame({name: [rows[name].iloc[0]], "ids": [ids], "turns": [turns], "matrix": [matrix.tobytes()]})
 
     return run
 
@@ -94,19 +97,20 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
 
     vectors needs vec_id and embedding; other columns are ignored.  Components become
     floor(scale * x).  Queries are the rows whose vec_id is divisible by ``every``;
-    candidates are all rows of another vec_id.  Returns query_id, rank (from 1),
-    vec_id and score; equal scores go by smaller vec_id.  Vectors that are null, empty
+    candidates are all rows but the query's own, also those that share its vec_id or
+    repeat it.  Returns query_id, rank (from 1, for each query row), vec_id and score;
+    equal scores go by smaller vec_id.  Vectors that are null, empty
     or hold null or non-finite components take no part.  Shorter vectors count as
-    filled up with zeros.  Of rows that share a vec_id one with the smallest vector
-    is used.  Sums are exact as long as they fit 64 bits.
+    filled up with zeros.  Sums are exact as long as they fit 64 bits.  An empty table
+    gives an empty result.
 
     Candidates are packed into blocks with their sorted lists, queries into groups;
     each block meets each group once.  A task carries a group's best scores from one
     block to the next, so later blocks stop sooner.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = cut(rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v")), "integers")
+    rows = usable(vectors).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
+    rows = cut(rows.withColumn("turn", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")).cast("long")), "integers")
     schema = "query_id long, rank int, vec_id long, score long"
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
     if not size["queries"]:
@@ -114,29 +118,31 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
     dims = size["dims"]
     blocks, groups = -(-size["n"] // BLOCK), -(-size["queries"] // 512)
     pack = lambda rows, name, n: (
-        rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+        rows.withColumn(name, F.pmod(F.xxhash64("vec_id", "turn"), F.lit(n)).cast("int"))
         .groupBy(name)
-        .applyInPandas(_packed(name, dims), f"{name} int, ids binary, matrix binary")
+        .applyInPandas(_packed(name, dims), f"{name} int, ids binary, turns binary, matrix binary")
     )
     # a task takes some blocks for one group, so tasks grow with both
     shares = -(-blocks // 8)
     candidates = pack(rows, "block", blocks).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("share", F.col("block") % shares)
-    queries = pack(rows.where(F.col("vec_id") % every == 0), "group", groups).select("group", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+    queries = pack(rows.where(F.col("vec_id") % every == 0), "group", groups).select("group", F.col("ids").alias("query_ids"), F.col("turns").alias("query_turns"), F.col("matrix").alias("query_matrix"))
     queries = queries.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, list[tuple[int, int]]] = {}
+        best: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for batch in batches:
-            for ids, matrix, query_ids, query_matrix in zip(batch["ids"], batch["matrix"], batch["query_ids"], batch["query_matrix"]):
-                lists = Lists(np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.int64).reshape(-1, dims))
-                for own, query in zip(np.frombuffer(query_ids, np.int64).tolist(), np.frombuffer(query_matrix, np.int64).reshape(-1, dims)):
-                    best[own] = lists.search(query, own, k, best.get(own, []))
-        found = [(own, i, -s) for own, those in best.items() for s, i in those]
-        yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+            for ids, turns, matrix, query_ids, query_turns, query_matrix in batch[columns].itertuples(index=False):
+                lists = Lists(np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.int64).reshape(-1, dims), np.frombuffer(turns, np.int64))
+                own_rows = zip(np.frombuffer(query_ids, np.int64).tolist(), np.frombuffer(query_turns, np.int64).tolist())
+                for own, query in zip(own_rows, np.frombuffer(query_matrix, np.int64).reshape(-1, dims)):
+                    best[own] = lists.search(query, own[0], k, best.get(own, []), turn=own[1])
+        found = [(*own, i, -s) for own, those in best.items() for s, i in those]
+        yield pd.DataFrame(found, columns=["query_id", "turn", "vec_id", "score"])
 
-    met = candidates.join(queries, ["group", "share"]).select("ids", "matrix", "query_ids", "query_matrix")
-    found = met.mapInPandas(run, "query_id long, vec_id long, score long")
-    return found.selectExpr("query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score").where(F.col("rank") <= k)
+    columns = ["ids", "turns", "matrix", "query_ids", "query_turns", "query_matrix"]
+    met = candidates.join(queries, ["group", "share"]).select(columns)
+    found = met.mapInPandas(run, "query_id long, turn long, vec_id long, score long")
+    return found.selectExpr("query_id", "row_number() over (partition by query_id, turn order by score desc, vec_id) as rank", "vec_id", "score").where(F.col("rank") <= k)
 
 
 # ------------------------------------------------------------------ near-duplicates
@@ -227,7 +233,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.99
     component_id (smallest vec_id reachable by links) and kept (vec_id = component_id).
     Vectors that are null, zero or hold null or non-finite components link with
     nothing.  A row with a null vec_id has component_id null, kept false and no
-    links.  Of rows that share a vec_id the smallest vector counts.
+    links.  Rows that share a vec_id are vectors of their own, each with its links;
+    rows that repeat one are linked with it.
 
     Equal vectors are merged into one with a count.  Several tables hash a vector by
     the signs of its products with random hyperplanes; vectors of one bucket are
@@ -235,9 +242,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.99
     once.  A pair is counted in the first table that brings it together.  A piece
     returns counts and one row for each linked vector, not its pairs.
     """
-    rows = usable(vectors).where("exists(v, x -> x != 0)").groupBy("vec_id").agg(F.min("v").alias("v"))
-    same = rows.groupBy("v").agg(F.min("vec_id").alias("leader"), F.count("*").alias("n"))
-    same = cut(same, "distinct")
+    rows = usable(vectors).where("exists(v, x -> x != 0)")
+    same = rows.groupBy("v").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("n"))
+    # (a number for each distinct vector; written, so that it stays)
+    same = cut(same.withColumn("leader", F.monotonically_increasing_id()), "distinct")
     size = same.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()
     tables, bits = plan_tables(size["n"], least, recall)
     dims = size["dims"] or 1
@@ -254,13 +262,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.99
     )
     pieces = met.join(signed, "vec_id").groupBy("table", "mark", "p", "q")
     found = cut(pieces.applyInPandas(_pieces(dims, tables, least), "vec_id long, links long, low long"), "links")
-    whole = same.select("leader", "n").join(found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "leader"), "leader", "left")
+    whole = same.select("leader", "smallest", "n").join(found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "leader"), "leader", "left")
     components = connected_components(found, "vec_id", "low").withColumnRenamed("vertex", "leader")
-    whole = whole.join(components, "leader", "left").select(
-        "leader", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "leader").alias("component_id")
-    )
-    members = rows.join(same.select("v", "leader"), "v").select("vec_id", "leader").join(whole, "leader").drop("leader")
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(members, "vec_id", "left")
+    whole = whole.join(components, "leader", "left").withColumn("component", F.coalesce("component", "leader"))
+    low = whole.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    whole = whole.join(low, "component").select("leader", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    groups = same.select("v", "leader").join(whole, "leader").drop("leader")
+    # every row by its vector; one that takes no part has none
+    v = F.col("embedding").cast("array<double>")
+    good = F.expr("vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
+    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("v", F.when(good, F.col("v"))).join(groups, "v", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
