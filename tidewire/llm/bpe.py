@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .kernel import slices
+from .shared import in_small_batches, trimmed
 
 NEVER = 1 << 62
 CACHED_PIECES = 300_000
@@ -283,4 +284,4 @@ def encode(docs: DataFrame, raw: bytes, pattern: str, keep_ids: bool = True) ->
                     rows["ids"] = [i.astype(np.int64) for i in ids]
                 yield pd.DataFrame(rows)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(trimmed(run), schema)

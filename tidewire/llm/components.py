@@ -66,12 +66,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def merged_labels(labels: DataFrame, links: DataFrame, id: str = "doc_id") -> DataFrame:
     """Labels (id, component) after further links (a, b): the components that links join become one.
 
-    Only links between different components are followed.  The old labels' files are
-    deleted, so the old table can't be used afterwards.
+    Only links between different components are followed.  Where there are some, the old
+    labels' files are deleted, so the old table can't be used afterwards.
     """
     of = lambda end: labels.select(F.col(id).alias(end), F.col("component").alias(f"{end}_component"))
     between = links.join(of("a"), "a").join(of("b"), "b").where("a_component != b_component").select("a_component", "b_component")
     joined = connected_components(between, "a_component", "b_component")
+    if joined.isEmpty():
+        forget(joined)
+        return labels
     after = labels.join(joined.withColumnRenamed("component", "low").withColumnRenamed("vertex", "component"), "component", "left")
     after = cut(after.select(id, F.coalesce("low", "component").alias("component")), "labels")
     forget(joined, labels)

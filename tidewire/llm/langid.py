@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import slices
-from .shared import class_sample
+from .shared import class_sample, in_small_batches, release, trimmed
 
 BITS = 15
 SCALE = 100.0
 UNKNOWN = "und"
+#: Characters whose n-grams are held at once, about; a longer text is held whole.
+SLICE = 500_000
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -149,6 +151,12 @@ def fitted_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in two bytes each if they fit, else in four or eight."""
+    most = int(counts.max()) if len(counts) else 0
+    return counts.astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each feature occurs, and the number of texts, over all rows."""
 
@@ -156,7 +164,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(1 << BITS, dtype=np.int64), 0
         seen = np.zeros(1 << BITS, dtype=bool)
         for batch in batches:
-            for part in slices(batch["text"]):
+            for part in slices(batch["text"], SLICE):
                 texts = [t for t in batch["text"].iloc[part] if t is not None]
                 n += len(texts)
                 grams = [(f, np.searchsorted(d, np.arange(len(texts) + 1))) for f, d in ngrams(*letters(texts))]
@@ -168,7 +176,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"feature": np.append(at, -1), "n": np.append(total[at], n)})
 
-    rows = docs.select("text").mapInPandas(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = in_small_batches(docs.select("text")).mapInPandas(trimmed(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(1 << BITS, dtype=np.int64)
     n = 0
     for feature, count in rows:
@@ -179,20 +187,23 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return found, n
 
 
-def fit(labelled: DataFrame, sample: int = 6000) -> Model:
+def fit(labelled: DataFrame, sample: int = 6000, classes: int = 256) -> Model:
     """Learn from labelled rows (doc_id, text, lang).
 
     Document frequencies are counted over all of them.  The weights are learned from
     a sample of at most ``sample`` rows in all, about as many of each language, chosen
-    by a hash of doc_id; a fifth of it serves the temperature alone.  Rows with a null
-    text or lang are left out; without any the model knows no language.
+    by a hash of doc_id; a fifth of it serves the temperature alone.  The ``classes`` most
+    frequent languages are learned, equally frequent ones by code point, so that a column
+    of junk can't fill the driver.  Rows with a null text or lang are left out; without
+    any the model knows no language.
     """
     labelled = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     found, n = document_frequencies(labelled)
     idf = np.log((1.0 + n) / (1.0 + found)) + 1.0
-    kinds = labelled.select("lang").distinct().count()
-    each = max(1, sample // max(kinds, 1))
-    chosen = class_sample(labelled, "lang", each, 3).orderBy("h", "doc_id", "lang", "text").limit(sample)
+    kinds = labelled.groupBy("lang").agg(F.count("*").alias("class_rows")).orderBy(F.col("class_rows").desc(), "lang").limit(classes).collect()
+    each = max(1, sample // max(len(kinds), 1))
+    kinds = labelled.sparkSession.createDataFrame(kinds, "lang string, class_rows long")
+    chosen = class_sample(labelled, "lang", kinds, each, 3).orderBy("h", "doc_id", "lang", "text").limit(sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -201,21 +212,24 @@ def fit(labelled: DataFrame, sample: int = 6000) -> Model:
                 {
                     "h": batch["h"],
                     "lang": batch["lang"],
-                    "feature": [f.astype(np.int32).tobytes() for f, _ in made],
-                    "n": [c.astype(np.int32).tobytes() for _, c in made],
+                    "feature": [f.astype(np.uint16).tobytes() for f, _ in made],
+                    "n": [_narrow(c).tobytes() for _, c in made],
                 }
             )
 
-    rows = chosen.select("h", "lang", "text").mapInPandas(run, "h long, lang string, feature binary, n binary").collect()
+    rows = chosen.select("h", "lang", "text").mapInPandas(trimmed(run), "h long, lang string, feature binary, n binary").collect()
     names = sorted({r["lang"] for r in rows})
     if not names:
         return Model([], np.zeros((0, 1 << BITS), dtype=np.float32), np.zeros(0))
     place = {name: i for i, name in enumerate(names)}
     sparse, labels, apart = [], [], []
-    for r in rows:
-        feature, count = np.frombuffer(r["feature"], dtype=np.int32), np.frombuffer(r["n"], dtype=np.int32)
+    rows.reverse()
+    while rows:  # each row's bytes go as soon as they are read
+        r = rows.pop()
+        feature = np.frombuffer(r["feature"], dtype=np.uint16)
         if len(feature):
-            sparse.append((feature, SCALE * count / count.sum() * idf[feature]))
+            count = np.frombuffer(r["n"], dtype=f"u{len(r['n']) // len(feature)}").astype(np.float64)
+            sparse.append((feature, (SCALE * count / count.sum() * idf[feature]).astype(np.float32)))
             labels.append(place[r["lang"]])
             apart.append(r["h"] % 5 == 0)
     labels, apart = np.array(labels, dtype=int), np.array(apart, dtype=bool)
@@ -225,7 +239,10 @@ def fit(labelled: DataFrame, sample: int = 6000) -> Model:
     if len(held):
         scores = np.array([w[:, f] @ v + bias for f, v in (sparse[i] for i in held)])
         temperature = fitted_temperature(scores, labels[held])
-    return Model(names, (w * idf).astype(np.float32), bias, temperature)
+    made = Model(names, (w * idf).astype(np.float32), bias, temperature)
+    del sparse, w
+    release()
+    return made
 
 
 def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
@@ -233,8 +250,9 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
 
     docs needs text.  Returns all its columns with keep, else doc_id, and lang_pred
     (a learned language, or ``und`` where the text is null or has no letter) and score
-    (the calibrated probability; 0 for ``und``).  With keep, columns of docs of those
-    names are replaced.  Repeated rows are judged one by one.
+    (the calibrated probability; 0 for ``und``).  Of equally probable languages the
+    first by code point is told.  With keep, columns of docs of those names are
+    replaced.  Repeated rows are judged one by one; very long texts are judged whole.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded: features times languages
     docs = docs.drop("lang_pred", "score") if keep else docs.select("doc_id", "text")
@@ -242,10 +260,10 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in slices(batch["text"]):
+            for part in slices(batch["text"], SLICE):
                 some = batch.iloc[part]
                 names, p = shipped.value.predict(some["text"].tolist())
                 yield some[kept].assign(lang_pred=names, score=p)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return in_small_batches(docs).mapInPandas(trimmed(run), f"{schema}, lang_pred string, score double")

@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import merged_labels
-from .shared import cut, forget
+from .shared import cut, forget, in_small_batches, trimmed
 
 PROFILE = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
+#: Characters whose shingles are held at once, about; a longer text is held whole.
+SLICE = 500_000
 #: Members of a bucket that are compared with as many others in one piece of work, about.
 BLOCK = 512
 #: Members of the largest bucket that is compared whole without finer bands.
@@ -81,7 +83,7 @@ def band_keys(minima: np.ndarray, bands: int) -> np.ndarray:
 def _profiles(words: int, bins: int, bands: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in kernel.slices(batch["text"]):
+            for part in kernel.slices(batch["text"], SLICE):
                 some = batch.iloc[part]
                 sets, first = kernel.shingle_sets(some["text"].tolist(), words)
                 sizes = np.diff(first)
@@ -107,7 +109,7 @@ def _profiles(words: int, bins: int, bands: int):
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in kernel.slices(batch["text"]):
+            for part in kernel.slices(batch["text"], SLICE):
                 some = batch.iloc[part]
                 sets, first = kernel.shingle_sets(some["text"].tolist(), words)
                 yield pd.DataFrame(
@@ -153,7 +155,7 @@ def confirm_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     both = near.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return cut(both.select("a", "b", "left", "right").mapInPandas(_confirm(percent), "a long, b long").distinct(), "links")
+    return cut(both.select("a", "b", "left", "right").mapInPandas(trimmed(_confirm(percent)), "a long, b long").distinct(), "links")
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -304,7 +306,7 @@ def _whole(members: DataFrame, sets: DataFrame, percent: int, closest: bool) ->
         .select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "n", "component", "sketch")
     )
     work = work.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return work.mapInPandas(_compared(percent, closest), "a long, b long").distinct()
+    return work.mapInPandas(trimmed(_compared(percent, closest)), "a long, b long").distinct()
 
 
 def finer_tables(percent: int) -> int:
@@ -342,6 +344,11 @@ def _finished(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
                 now = now.join(fit.hint("merge"), "key")
             pairs = _whole(now, sets, percent, closest=k == stars)
         pairs = cut(pairs, "pairs")
+        if pairs.isEmpty():
+            forget(pairs)
+            if k < stars:
+                continue  # no bucket spans two components: the rounds that follow find the same
+            break
         links = confirm_links(pairs, sets, percent)
         labels = merged_labels(labels, links)
         forget(pairs, links)
@@ -372,7 +379,7 @@ def near_duplicates(
     components and may be similar.  Members of buckets of more than WHOLE members go through
     finer bands before that, of which a similar pair shares one but with a chance of MISSED.
     """
-    profile = cut(docs.select("doc_id", "text").mapInPandas(_profiles(words, bins, bands), PROFILE), "profiles")
+    profile = cut(in_small_batches(docs.select("doc_id", "text")).mapInPandas(trimmed(_profiles(words, bins, bands)), PROFILE), "profiles")
     some = profile.where("n_shingles > 0 and doc_id is not null")
     by_set = ["set_hi", "set_lo", "n_shingles"]
     groups = some.groupBy(*by_set).agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader != last").drop("last")
@@ -383,7 +390,7 @@ def near_duplicates(
     shared = every.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").select("key")
     members = cut(every.join(shared.hint("merge"), "key").select("key", "doc_id").distinct(), "members")
     named = members.select("doc_id").distinct()
-    sets = docs.select("doc_id", "text").join(named.hint("merge"), "doc_id", "left_semi").mapInPandas(_sets(words), SETS)
+    sets = docs.select("doc_id", "text").join(named.hint("merge"), "doc_id", "left_semi").mapInPandas(trimmed(_sets(words)), SETS)
     sets = cut(sets.where("n > 0"), "sets")
     labels = cut(named.withColumn("component", F.col("doc_id")), "labels")
     labels = _finished(members, sets, labels, percent, rounds, WHOLE)
@@ -391,7 +398,7 @@ def near_duplicates(
     large = _open_buckets(left).where(F.col("m") > WHOLE).select("key")
     large = cut(left.join(large.hint("merge"), "key").select("doc_id").distinct(), "large")
     if not large.isEmpty():
-        finer = sets.join(large.hint("merge"), "doc_id").mapInPandas(_finer(finer_tables(percent)), "doc_id long, bands array<long>")
+        finer = sets.join(large.hint("merge"), "doc_id").mapInPandas(trimmed(_finer(finer_tables(percent))), "doc_id long, bands array<long>")
         finer = finer.select(F.explode("bands").alias("key"), "doc_id").distinct()
         shared = finer.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").select("key")
         finer = cut(finer.join(shared.hint("merge"), "key").select("key", "doc_id"), "members")

@@ -20,6 +20,8 @@ from .shared import cut
 BUCKET_ROWS = 1000
 FEW_SOURCES = 10_000
 ROUNDS = 24
+#: Slots that one task permutes.
+SLOTS_OF_A_TASK = 1 << 16
 
 
 def word_count(text: str = "text") -> Column:
@@ -104,13 +106,12 @@ def _keyed(df: DataFrame, source: str = "source") -> DataFrame:
     return df.withColumn("key", F.concat(F.when(F.col(source).isNull(), "0").otherwise("1"), F.coalesce(source, F.lit(""))))
 
 
-def mix(laid: DataFrame, wanted: DataFrame, block: int = 64, shard: int = 4096, seed: int = 1) -> DataFrame:
-    """The mix as pieces of documents: shard, slot, key, block, and per piece bucket, turn, doc_id, first_word and words.
+def drawn_blocks(wanted: DataFrame, block: int = 64, shard: int = 4096, seed: int = 1) -> DataFrame:
+    """The mix as blocks: slot, shard, key and block.
 
-    laid: from packed(); wanted: (source, source_size, target).  ``block`` words make
-    a block, ``shard`` slots an output shard.  The last block of a source may be
-    shorter.  A source's slots beyond its number of blocks begin another pass over
-    its blocks in another order.
+    wanted: (source, source_size, target).  ``block`` words make a block, ``shard`` slots an
+    output shard.  The last block of a source may be shorter.  A source's slots beyond
+    its number of blocks begin another pass over its blocks in another order.
     """
     quota = _keyed(wanted).where("source_size > 0").select(
         "key",
@@ -119,9 +120,10 @@ def mix(laid: DataFrame, wanted: DataFrame, block: int = 64, shard: int = 4096,
     )
     quota = quota.withColumn("first", F.sum("slots").over(Window.orderBy("key")) - F.col("slots")).where("slots > 0")
     total = quota.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
-    spark = laid.sparkSession
+    spark = wanted.sparkSession
     # the dealt place of each slot says its source: the one whose range of places holds it
-    dealt = spark.range(total).select(
+    tasks = max(1, -(-total // SLOTS_OF_A_TASK))
+    dealt = spark.range(0, total, 1, tasks).select(
         F.col("id").alias("slot"), (F.col("id") / shard).cast("long").alias("shard"), permuted(F.col("id"), F.lit(max(total, 1)), F.lit(seed)).alias("dealt")
     )
     span = max(1, -(-total // 4096))
@@ -130,12 +132,36 @@ def mix(laid: DataFrame, wanted: DataFrame, block: int = 64, shard: int = 4096,
     index = F.col("dealt") - F.col("first")
     drawn = drawn.withColumn("pass", (index / F.col("blocks")).cast("long"))
     drawn = drawn.withColumn("block", permuted(index - F.col("pass") * F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "key", "pass")))
-    drawn = drawn.select("slot", "shard", "key", "block")
+    return drawn.select("slot", "shard", "key", "block")
+
+
+def mix(laid: DataFrame, wanted: DataFrame, block: int = 64, shard: int = 4096, seed: int = 1) -> DataFrame:
+    """The mix as pieces of documents: shard, slot, key, block, and per piece bucket, turn, doc_id, first_word and words.
+
+    laid: from packed(); wanted, block and shard as for ``drawn_blocks``.
+    """
     end = F.col("start") + F.col("size")
     pieces = laid.where("size > 0").withColumn("block", F.explode(F.sequence((F.col("start") / block).cast("long"), ((end - 1) / block).cast("long"))))
     low, high = F.greatest("start", F.col("block") * block), F.least(end, (F.col("block") + 1) * block)
     pieces = pieces.select("key", "block", "bucket", "turn", "doc_id", (low - F.col("start")).alias("first_word"), (high - low).alias("words"))
-    return drawn.join(pieces, ["key", "block"])
+    return drawn_blocks(wanted, block, shard, seed).join(pieces, ["key", "block"])
+
+
+def _cut_texts(block: int) -> Column:
+    """A laid document's pieces: an array of (block, first_word, text), its text cut into words once."""
+    word = "[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"
+    spaced = F.regexp_extract_all("text", F.lit(f"^[\\x20\\x09-\\x0D]*{word}|{word}"), F.lit(0))
+    end = F.col("start") + F.col("size")
+    blocks = F.sequence((F.col("start") / block).cast("long"), ((end - 1) / block).cast("long"))
+
+    def piece(words: Column, b: Column) -> Column:
+        low, high = F.greatest(F.col("start"), b * block), F.least(end, (b + 1) * block)
+        first = low - F.col("start")
+        text = F.array_join(F.slice(words, (first + 1).cast("int"), (high - low).cast("int")), "")
+        return F.struct(b.alias("block"), first.alias("first_word"), F.when(high - low == F.col("size"), F.col("text")).otherwise(text).alias("piece"))
+
+    # (the array of one binds the words, so that they are made once for a text)
+    return F.flatten(F.transform(F.array(spaced), lambda words: F.transform(blocks, lambda b: piece(words, b))))
 
 
 def mix_sizes(docs: DataFrame, block: int = 64, seed: int = 1, **weighing) -> DataFrame:
@@ -165,19 +191,15 @@ def mix_texts(docs: DataFrame, block: int = 512, seed: int = 1, **weighing) -> D
     docs needs doc_id, text and source.  Returns all columns of docs, text being the
     piece with the white space after its words (a document's leading white space goes
     with its first word), and shard, slot and first_word.  Other columns are carried
-    along; columns of docs with those names, or of the names key, bucket, turn and
-    size, are replaced.
+    along; columns of docs with those names, or of the names key, bucket, turn, size,
+    piece, block and start, are replaced.  Each text is cut once, where it is read.
     """
-    used = ["shard", "slot", "first_word", "key", "bucket", "turn", "size"]
-    docs = docs.drop(*used)
+    docs = docs.drop("shard", "slot", "first_word", "key", "bucket", "turn", "size", "piece", "block", "start")
     held = docs.withColumn("size", word_count())
     sizes = held.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = cut(targets(sizes, **weighing), "targets")
-    laid = cut(packed(held, seed).drop("source_size"), "laid")
-    mixed = mix(laid.select("key", "bucket", "turn", "doc_id", "size", "start"), wanted, block, seed=seed)
-    mixed = mixed.select("key", "bucket", "turn", "shard", "slot", "first_word", "words")
-    spaced = F.regexp_extract_all("text", F.lit("^[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*|[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0))
-    piece = F.when((F.col("first_word") == 0) & (F.col("words") == F.col("size")), F.col("text")).otherwise(
-        F.array_join(F.slice(spaced, (F.col("first_word") + 1).cast("int"), F.col("words").cast("int")), "")
-    )
-    return laid.join(mixed, ["key", "bucket", "turn"]).withColumn("text", piece).select(*docs.columns, "shard", "slot", "first_word")
+    laid = packed(held, seed).where("size > 0")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    pieces = laid.select("key", *rest, F.explode(_cut_texts(block)).alias("p")).select("key", *rest, "p.block", "p.first_word", F.col("p.piece").alias("text"))
+    mixed = drawn_blocks(wanted, block, seed=seed).join(pieces, ["key", "block"])
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot", "first_word")

@@ -1,62 +1,57 @@
-"""Places that every executor can reach, and cutting a plan's lineage there."""
+"""What the corpus operators share: written intermediates, small batches, samples by class."""
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, forget, remove, shared_dir  # noqa: F401 - for the operators
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+#: Bytes of the batches that go to Python workers, at most: texts are held there several times over.
+BATCH_BYTES = 2 << 20
 
-    Where that is unset, a folder of this machine is made and set, but only in local mode:
-    on a cluster each executor would write to its own disk, so there it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from here on its session sends batches of BATCH_BYTES or less to Python."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    What follows is planned from the files: a lost executor costs a re-read, not
-    a recomputation of everything before.  ``forget`` deletes the files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewire-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidewire_path = path.rsplit("/", 1)[0]
-    return out
+def release() -> None:
+    """Give memory that is free again back to the system, where the C library knows how."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
-def forget(*written: DataFrame) -> None:
-    """Delete the files of tables that ``cut`` made and that no plan reads any more."""
-    for df in written:
-        remove(df.sparkSession, df._tidewire_path)
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, after which the worker, which lives on, gives its memory back."""
 
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of the shared file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return wrapped
 
 
-def class_sample(rows: DataFrame, by: str, each: int, seed: int) -> DataFrame:
+def class_sample(rows: DataFrame, by: str, classes: DataFrame, each: int, seed: int) -> DataFrame:
     """About ``each`` rows of every class, or all of a smaller one, chosen by a hash ``h`` of doc_id.
 
-    Each row is judged alone against its class's share, so no class is gathered in one
-    task.  The counts of classes, one row each, go to every task.
+    classes: (by, class_rows) of the classes wanted, whose number the caller bounds; they go
+    to every task.  Each row is judged alone against its class's share, so no class is
+    gathered in one task.  Rows of other classes are left out.
     """
-    counts = rows.groupBy(by).agg(F.count("*").alias("class_rows"))
-    held = rows.join(F.broadcast(counts), by).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    held = rows.join(F.broadcast(classes), by).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     share = F.col("h").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
     return held.where(share * F.col("class_rows") < each).drop("class_rows")
