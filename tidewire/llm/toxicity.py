@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
 A token is a run of letters and digits.  Each has hashed features (the word, its
-first three to five bytes, its last four) whose weights give the score of the
+first three to eight bytes, its last four) whose weights give the score of the
 label *toxic*; *clean* scores 0.  Neighbouring labels have transition weights.
 Labels come with whole documents, so tokens are labelled first: in a toxic document
 those words are toxic that the sample's clean documents hardly ever use.
@@ -10,7 +10,6 @@ function of its marginals, fitted on the same rows.
 """
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .shared import class_sample, in_small_batches, release, trimmed
 
 BITS = 18
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 SUFFIX = 4
 FEATURES = 2 + len(PREFIXES)
 BLOCK = 64
+#: What marks a word as toxic: how many times its share of the clean texts its share of the toxic ones surely is, alone
+#: and for texts that no such word tells, how many standard deviations make sure, and the fewest texts.
+STRONG, FAIR, DEVIATIONS, LEAST_TEXTS = 10, 2, 1.0, 4
 #: Tokens of a batch in training, about; a text is never cut.
 BATCH = 100_000
 
@@ -149,10 +152,13 @@ class Model:
 
     def tag(self, texts: list[str | None]) -> tuple[Tokens, np.ndarray]:
         found = tokens(texts)
+        return found, self.marginals(found)
+
+    def marginals(self, found: Tokens) -> np.ndarray:
         score = self.weights[found.features].sum(axis=1) + self.weights[-1]
         first = np.ones(len(score), dtype=bool)
         first[1:] = found.doc[1:] != found.doc[:-1]
-        return found, marginals(score, first, self.transitions)
+        return marginals(score, first, self.transitions)
 
     def scores(self, found: Tokens, p: np.ndarray) -> np.ndarray:
         x = _aggregates(found.doc, p, found.n_docs)
@@ -205,63 +211,125 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-
     return w
 
 
-def _unlike(words: np.ndarray, at: np.ndarray, marks: int = 8) -> Iterator[int]:
-    """Texts of which no earlier one has about the same words, so that copies don't count as evidence."""
+def _unlike(words: np.ndarray, at: np.ndarray, marks: int = 8, run: int = 3) -> Iterator[int]:
+    """Texts that share few of their smallest hashes of ``run`` words with earlier ones, so that copies don't count as evidence."""
     seen: set[tuple[int, int]] = set()
     for i in range(len(at) - 1):
-        own = words[at[i] : at[i + 1]].astype(np.uint64)
+        own = words[at[i] : at[i + 1]]
         if not len(own):
             continue
+        if len(own) >= run:
+            runs = own[: len(own) - run + 1]
+            for k in range(1, run):
+                runs = kernel.mix64(runs * np.uint64(0x9E3779B97F4A7C15) + own[k : len(own) - run + 1 + k])
+            own = runs
         least = {(k, int(kernel.mix64(own ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).min())) for k in range(marks)}
         if len(least & seen) < marks // 2:
             yield i
         seen |= least
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, passes: int = 60) -> Model | None:
+def learn(texts: list[str], y: np.ndarray, share: float, passes: int = 30) -> Model | None:
+    """A model from texts with labels y (1: toxic), for tables where ``share`` of the rows is toxic."""
+    if len(set(y.tolist())) < 2:
+        return None
+    found = tokens(texts)
+    at = np.searchsorted(found.doc, np.arange(len(texts) + 1))
+    label = _marked(found, at, y).astype(np.int64) * y[found.doc]
+    first = np.zeros(len(label), dtype=bool)
+    first[at[:-1][np.diff(at) > 0]] = True
+    weights, transitions = _fit_chain(found.features, first, label, passes)
+    model = Model(weights, transitions, np.zeros(3))
+    p = model.marginals(found)
+    model.logistic = _fit_logistic(_aggregates(found.doc, p, len(texts)), y, share)
+    return model
+
+
+def _surely(n: np.ndarray) -> np.ndarray:
+    """A count less what chance may have added."""
+    return n - DEVIATIONS * np.sqrt(n)
+
+
+def _marked(found: Tokens, at: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Tokens whose word, or one of whose beginnings, tells toxic texts.
+
+    A stem that is STRONG times as frequent in toxic texts as in clean ones is marked.  Toxic
+    texts without such a stem are then covered: the stem that tells most of them, if it
+    is still FAIR times as frequent in them, is marked, until none is.  Copies of a text
+    count once.
+    """
+    words = found.features[:, 0].astype(np.uint64) << np.uint64(BITS) | found.features[:, 1].astype(np.uint64)
+    chosen = list(_unlike(words, at))
+    n = np.maximum(np.bincount(y[chosen], minlength=2), 1)
+    use = np.zeros(len(at) - 1, dtype=bool)
+    use[chosen] = True
+    out = np.zeros(len(found.doc), dtype=bool)
+    held, open_ = use[found.doc], use & (y == 1)
+    fair = []
+    for column in (0, *range(2, 1 + len(PREFIXES))):
+        # a stem is told by two hashes; each text counts once
+        stem = found.features[:, column].astype(np.int64) << BITS | found.features[:, 1]
+        names, of = np.unique(stem, return_inverse=True)
+        pairs = np.unique(of[held] * np.int64(len(at)) + found.doc[held])
+        name, doc = np.divmod(pairs, len(at))
+        toxic, clean = (np.bincount(name[y[doc] == k], minlength=len(names)) for k in (1, 0))
+        base = (clean + 1) / n[0]
+        strong = _surely(toxic) / n[1] > STRONG * base
+        out |= strong[of]
+        open_[doc[strong[name]]] = False
+        some = np.flatnonzero(~strong & (toxic >= LEAST_TEXTS) & (_surely(toxic) / n[1] > FAIR * base))
+        place = np.full(len(names), -1)
+        place[some] = np.arange(len(some))
+        own = (place[name] >= 0) & (y[doc] == 1)
+        fair.append((names[some], column, base[some], place[name[own]], doc[own]))
+    if not any(len(f[0]) for f in fair):
+        return out
+    start = np.cumsum([0] + [len(f[0]) for f in fair])
+    base = np.concatenate([f[2] for f in fair])
+    of, doc = (np.concatenate([f[k] + (start[i] if k == 3 else 0) for i, f in enumerate(fair)]) for k in (3, 4))
+    while True:
+        left = np.bincount(of[open_[doc]], minlength=len(base)).astype(float)
+        fits = (left >= LEAST_TEXTS) & (_surely(left) / n[1] > FAIR * base)
+        if not fits.any():
+            return out
+        best = int(np.argmax(np.where(fits, left * np.log(np.maximum(left, 1) / n[1] / base), -1.0)))
+        kind = int(np.searchsorted(start, best, side="right") - 1)
+        names, column = fair[kind][:2]
+        out |= (found.features[:, column].astype(np.int64) << BITS | found.features[:, 1]) == names[best - start[kind]]
+        open_[doc[of == best]] = False
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, passes: int = 30, characters: int = 8_000_000) -> Model | None:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic).
 
-    A sample of at most ``sample`` rows of each label, chosen by a hash of doc_id, is
-    brought to the driver.  Rows without a text or label are left out.  The
-    chain is trained on all tokens of their texts.  Where a label occurs in no row there
-    is nothing to learn, and the result is None.
+    About ``sample`` rows of each label, or all of a rarer one, are chosen by a hash of
+    doc_id, each row alone.  In the order of that hash their texts come to the driver as long as
+    those of a label have no more than half of ``characters`` together, which bounds the
+    driver's memory; a longer text is left out of the training, not of the scoring.  Rows
+    without a text or label are left out.  The chain is trained on all tokens of
+    the texts.  Where a label occurs in no row there is nothing to learn, and the result is None.
     """
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    classes = labels.groupBy("toxic").agg(F.count("*").alias("class_rows"))
+    counts = {r["toxic"]: r["class_rows"] for r in classes.collect()}
     if len(counts) < 2:
         return None
-    chosen = (
-        labels.withColumn("h", F.xxhash64(F.lit(8), "doc_id"))
-        .selectExpr("*", "row_number() over (partition by toxic order by h, doc_id) as place")
-        .where(F.col("place") <= sample)
-    )
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
-    y = np.array([r["toxic"] for r in rows])
-    if not rows or len(set(y.tolist())) < 2:
+    chosen = F.broadcast(class_sample(labels, "toxic", classes, sample, 8))  # bounded: about two samples
+    rows = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id")
+    sizes = rows.select("h", "doc_id", "toxic", F.length("text").alias("size")).collect()  # bounded: about two samples, without texts
+    wanted, held = set(), {0: 0, 1: 0}
+    for r in sorted(sizes):
+        if held[r["toxic"]] + r["size"] <= characters // 2:
+            held[r["toxic"]] += r["size"]
+            wanted.add((r["doc_id"], r["size"]))
+    if not wanted:
         return None
-    found = tokens([r["text"] for r in rows])
-    wide = found.features.astype(np.int64)
-    words = wide[:, 0] << BITS | wide[:, 1]
-    stems = [words, 1 << 40 | wide[:, 2] << BITS | wide[:, 1], 1 << 41 | wide[:, 3] << BITS | wide[:, 1]]
-    toxic_docs, clean_docs = Counter(), Counter()
-    at = np.searchsorted(found.doc, np.arange(len(rows) + 1))
-    n = [0, 0]
-    for i in _unlike(words, at):
-        (toxic_docs if y[i] else clean_docs).update(np.unique([w[at[i] : at[i + 1]] for w in stems]).tolist())
-        n[y[i]] += 1
-    often = max(3, 0.005 * n[1])
-    marked = {w for w, c in toxic_docs.items() if c >= often and c / max(n[1], 1) > 20 * (clean_docs[w] + 0.05) / max(n[0], 1)}
-    marks = np.array(sorted(marked), dtype=np.int64)
-    label = np.any([np.isin(w, marks) for w in stems], axis=0).astype(np.int64) * y[found.doc]
-    del wide, words, stems
-    first = np.zeros(len(label), dtype=bool)
-    first[at[:-1][np.diff(at) > 0]] = True
-    weights, transitions = _fit_chain(found.features, first, label, passes)
-    model = Model(weights, transitions, np.zeros(3))
-    _, p = model.tag([r["text"] for r in rows])
-    share = counts[1] / (counts[0] + counts[1])
-    model.logistic = _fit_logistic(_aggregates(found.doc, p, len(rows)), y, share)
+    keys = docs.sparkSession.createDataFrame(sorted({(i, n) for i, n in wanted}), "doc_id long, size int")
+    rows = rows.withColumn("size", F.length("text")).join(F.broadcast(keys), ["doc_id", "size"]).select("h", "doc_id", "toxic", "text").collect()
+    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
+    model = learn([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64), counts[1] / (counts[0] + counts[1]), passes)
+    del rows, sizes
+    release()
     return model
 
 
@@ -296,4 +364,4 @@ def score(docs: DataFrame, model: Model | None, spans: bool = True, threshold: f
                     rows["spans"] = found
                 yield pd.DataFrame(rows)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(trimmed(run), schema)
