@@ -25,19 +25,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .kernel import slices
+from .shared import in_small_batches, trimmed
 
 KINDS = ("assign", "access", "hex")
 #: Bytes of an inflated stream that are held and scanned at once; a longer one makes several layers.
 MOST_INFLATED = 64 << 20
 #: Bytes of the end of such a layer that the next one begins with, at most.
 OVERLAP = 1 << 20
+#: Streams inside streams that are inflated piece by piece; what the last of them holds is then gathered.
+NESTED = 100
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# a sign escaped many times becomes one escaped once, so that many layers of it cost one
+_PERCENT = re.compile(r"%(?:25){2,}(?=25)|(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -78,9 +82,11 @@ class Layer:
 
     def lift(self, start: int, end: int) -> tuple[int, int]:
         """The span of the first text that a span of this layer stands for."""
-        if self.above is None:
-            return start, end
-        return self.above.lift(*(self.whole or (self._above(start, 0), self._above(end, 1))))
+        layer = self
+        while layer.above is not None:
+            start, end = layer.whole or (layer._above(start, 0), layer._above(end, 1))
+            layer = layer.above
+        return start, end
 
     def _above(self, place: int, is_end: int) -> int:
         """Where a border of a span falls above; a border inside a replaced piece moves to its outer side."""
@@ -115,6 +121,8 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
 
 def _percent(run: str) -> str | None:
+    if run.startswith("%2525"):
+        return "%25"
     return binascii.unhexlify(run.replace("%", "")).decode("utf-8", "replace")
 
 
@@ -184,9 +192,15 @@ def _noted(lead: bytes, rest: Iterator[bytes], taken: list[bytes]) -> Iterator[b
 
 
 def _unwrapped(data: bytes) -> Iterator[bytes]:
-    """What the stream at the start of data holds, in pieces; streams inside a stream are unwrapped, too."""
-    pieces = iter([data])
-    for _ in range(64):
+    """What the stream at the start of data holds, in pieces; streams inside a stream are unwrapped, too.
+
+    What a stream holds that fits in one piece is unwrapped from memory, so only long
+    streams nest, and only NESTED of them before one is gathered.  Contents met before, as in a
+    stream that holds itself, end it.
+    """
+    pieces, nested = iter([data]), 0
+    seen: set[bytes] = set()
+    while True:
         lead = next(pieces, None)
         if lead is None:
             return
@@ -200,7 +214,17 @@ def _unwrapped(data: bytes) -> Iterator[bytes]:
             yield from taken
             break
         taken[:] = []
-        pieces = chain([plain], inner)
+        after = next(inner, None)
+        if after is not None and nested == NESTED:
+            plain, after, nested = b"".join(chain([plain, after], inner)), None, 0
+        if after is not None:
+            pieces, nested = chain([plain, after], inner), nested + 1
+            continue
+        mark = hashlib.blake2b(plain).digest()
+        if mark in seen:
+            return
+        seen.add(mark)
+        pieces, nested = iter([plain]), 0
     yield from pieces
 
 
@@ -282,7 +306,9 @@ def scan(docs: DataFrame) -> DataFrame:
     doc_id, base and spans: arrays of (kind, start, end) in code points, end
     exclusive.  base holds what the patterns find in the text itself; spans adds
     what they find in its layers.  A null text counts as empty; repeated rows are
-    scanned one by one.  A text is held and scanned whole, whatever its length.
+    scanned one by one.  A text is held and scanned whole, whatever its length, and an
+    empty table gives an empty result.  Layers are unwrapped until nothing new comes out;
+    streams are scanned to their end in parts of MOST_INFLATED bytes that overlap.
     """
     span = "array<struct<kind:string,start:long,end:long>>"
 
@@ -296,7 +322,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     rows[name] = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t)] for t in texts]
                 yield pd.DataFrame(rows)
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, base {span}, spans {span}")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(trimmed(run), f"doc_id long, base {span}, spans {span}")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -312,7 +338,7 @@ def redact(docs: DataFrame) -> DataFrame:
             batch["text"] = [t if t is None else redacted(t) for t in batch["text"]]
             yield batch
 
-    return docs.mapInPandas(run, docs.schema)
+    return in_small_batches(docs).mapInPandas(trimmed(run), docs.schema)
 
 
 def redacted(text: str) -> str:
