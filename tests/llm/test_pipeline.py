@@ -50,6 +50,19 @@ def test_stages(spark, folder, tmp_path):
     assert whole == sorted((r.doc_id, r.ids_sha256) for r in rows)
 
 
+def test_stages_of_an_empty_table_and_of_hard_rows(spark, folder, tmp_path):
+    """An empty table, then repeated rows, a null doc_id and a null source, through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    some = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    hard = [tuple(r) for r in some[:30]] + [tuple(some[1])] * 3 + [(None, some[2].text, "en", None, 1), (None, None, None, None, None)]
+    for name, rows in (("empty", []), ("hard", hard)):
+        path = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/documents.parquet")
+        out = corpus_pipeline.run(spark, path).collect()
+        assert bool(out) == bool(rows)
+    assert {r.doc_id for r in out} <= {r[0] for r in hard}
+
+
 def check_language_id(before, after):
     assert {r.doc_id for r in before} - {r.doc_id for r in after} == {90, 91, 92}
 

@@ -8,6 +8,7 @@ import lzma
 import random
 import re
 import urllib.parse
+import zlib
 
 import public_tokenizers
 import pytest
@@ -154,6 +155,46 @@ def test_repeats_match_brute_force(spark, sizes):
     assert sum(r.n_removed for r in got) > 100
 
 
+def test_hashes_that_collide_are_told_apart_by_words(monkeypatch):
+    texts = [" ".join(random.Random(k).choices("abc", k=60)) for k in range(4)] * 2
+    plain = passages._Block(range(8), texts, 13)
+    plain.distinct()
+    monkeypatch.setattr(kernel, "window_hashes", lambda hashes, n, seed=1: kernel.np.zeros(len(hashes) - n + 1, dtype=kernel.np.uint64))
+    block = passages._Block(range(8), texts, 13)
+    block.distinct()
+    assert len(block.values) == len(plain.values)
+    assert sorted(block.least) == sorted(plain.least)
+    assert (block.least[block.of] == plain.least[plain.of]).all()
+
+
+def test_common_prefixes_are_those_of_the_words():
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices("ab", k=40)) for _ in range(5)]
+    block = passages._Block(range(5), texts, 13)
+    keys = passages._symbols(block, block.starts, 13)
+    order = kernel.np.lexsort(keys[::-1])
+    words = [[chr(block.words.buf[block.words.starts[at + k]]) for k in range(13)] for at in block.starts[order]]
+    expected = [0] + [next((k for k in range(13) if a[k] != b[k]), 13) for a, b in zip(words, words[1:])]
+    assert passages._common([k[order] for k in keys], 13).tolist() == expected
+    # equal suffixes stand together: there are as many as there are nodes
+    assert len({tuple(w) for w in words}) == 1 + sum(c < 13 for c in expected[1:])
+
+
+def test_repeats_with_one_document_larger_than_a_block(spark):
+    draw = random.Random(5)
+    long = " ".join(f"w{draw.randrange(10**6)}" for _ in range(600_000))
+    assert len(long) > 4_000_000
+    part = " ".join(long.split()[300_000:300_050])
+    texts = [part, long, part + " end"]
+    got = {r.doc_id: r.n_removed for r in passages.remove_repeats(frame(spark, texts), texts=False).collect()}
+    assert got == {0: 0, 1: 50, 2: 50}
+
+
+def test_repeats_leave_no_table_behind(spark):
+    passages.remove_repeats(frame(spark, ["a b c"])).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidewire_blocks")]
+
+
 def test_repeats_of_an_empty_table(spark):
     assert passages.remove_repeats(frame(spark, ["x"]).limit(0)).count() == 0
 
@@ -238,6 +279,42 @@ def test_secrets_in_long_streams(monkeypatch, pack):
         assert secrets.all_spans(text) == [("assign", 6, len(text) - 7)]
 
 
+@pytest.mark.parametrize("layers", [1, 66, 300])
+def test_secrets_under_many_layers(layers):
+    packed = SECRET.encode()
+    for _ in range(layers):
+        packed = zlib.compress(packed)
+    text = f"vorne {base64.b64encode(packed).decode()} hinten"
+    assert secrets.all_spans(text) == [("assign", 6, len(text) - 7)]
+    quoted = "%" + "25" * layers + "3D"
+    text = f"a token{quoted}abcDEF123456"
+    assert ("assign", 2, len(text)) in secrets.all_spans(text)
+
+
+def test_secrets_behind_more_than_is_held_at_once():
+    plain = b"x " * (33 << 20) + SECRET.encode()
+    text = f"vorne {base64.b64encode(gzip.compress(gzip.compress(plain))).decode()} hinten"
+    assert secrets.all_spans(text) == [("assign", 6, len(text) - 7)]
+
+
+@pytest.mark.parametrize("held", [1, 3])
+def test_long_streams_inside_long_streams(monkeypatch, held):
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+    monkeypatch.setattr(secrets, "NESTED", held)
+    packed = random.Random(3).randbytes(5000) + SECRET.encode()
+    for _ in range(8):
+        packed = zlib.compress(packed)
+    text = f"vorne {base64.b64encode(packed).decode()} hinten"
+    assert ("assign", 6, len(text) - 7) in secrets.all_spans(text)
+
+
+def test_scan_of_an_empty_table_and_a_very_long_text(spark):
+    assert secrets.scan(frame(spark, ["x"]).limit(0)).count() == 0
+    text = "word " * 400_000 + "password=abcdef123"
+    (row,) = secrets.scan(frame(spark, [text])).collect()
+    assert [(s.kind, s.start, s.end) for s in row.spans] == plain_spans(text)
+
+
 def test_scan_keeps_rows(spark):
     texts = [None, "", "password=abcdef", "password=abcdef"]
     rows = secrets.scan(frame(spark, texts, [1, 2, 3, 3])).collect()
@@ -296,9 +373,46 @@ def test_encode_tables(spark, tokenizers):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_encode_of_an_empty_table_and_repeated_rows(spark, tokenizers):
+    raw = tokenizers[0]
+    assert bpe.encode(frame(spark, ["x"]).limit(0), raw, public_tokenizers.PATTERN).count() == 0
+    rows = bpe.encode(frame(spark, ["same text"] * 3 + [None], [5, 5, None, 6]), raw, public_tokenizers.PATTERN).collect()
+    assert [r.n_tokens for r in rows].count(0) == 1 and len({r.ids_sha256 for r in rows if r.n_tokens}) == 1 and len(rows) == 4
+
+
 # ------------------------------------------------------------------ classifiers
 
 
+def test_languages_of_hard_rows(spark):
+    """Repeated rows, a very long text, columns with the names of results, equal evidence, an empty table, junk classes."""
+    rows = [(i, ("the thing " if i % 2 else "eau mentier ") * 30, ["fr", "en"][i % 2], 0.5, "x") for i in range(40)]
+    rows += [(100 + i, f"zz{i}", f"junk{i}", 0.5, "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    model = langid.fit(docs, classes=2)
+    assert model.languages == ["en", "fr"]
+    hard = spark.createDataFrame([(1, "the thing " * 200_000, "en", 0.0, "y"), (1, "the thing", None, 0.0, "y"), (1, "the thing", None, 0.0, "y"), (None, "eau", None, 0.0, "y")], docs.schema)
+    got = langid.predict(hard, model, keep=True).collect()
+    assert sorted(r.lang_pred for r in got) == ["en", "en", "en", "fr"] and got[0].lang in ("en", None)
+    assert langid.predict(hard.limit(0), model).count() == 0
+    tie = langid.Model(["a", "b"], langid.np.zeros((2, 1 << langid.BITS), langid.np.float32), langid.np.zeros(2))
+    assert tie.predict(["word"])[0] == ["a"]
+
+
+def test_scores_of_hard_rows(spark):
+    draw = random.Random(10)
+    rows = [(i, " ".join(draw.choices("abcdefgh", k=20)) + (" vile" if i % 3 == 0 else ""), 9.9, "s") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, spans string")
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(1, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    hard = spark.createDataFrame([(1, "a b vile " + "c d " * 300_000, 0.0, ""), (1, "a b vile", 0.0, ""), (1, "a b vile", 0.0, ""), (2, "", 0.0, ""), (None, None, 0.0, "")], docs.schema)
+    got = toxicity.score(hard, model).collect()
+    scores = sorted(r.score for r in got if r.doc_id == 1)
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got) and len(set(scores)) <= 2 and scores[-1] >= 0.3
+    assert toxicity.score(hard.limit(0), model).count() == 0
+    # texts beyond the bound teach nothing, and without any there is no model
+    assert toxicity.fit(docs, known, characters=10) is None
+
+
 def test_language_on_rows_kept_apart(spark):
     draw = random.Random(8)
     parts = {"en": ["the", "ing", "tion", "wh", "ed"], "fr": ["eau", "é", "ou", "que", "ment"]}
@@ -432,6 +546,16 @@ def test_mixed_texts_are_pieces(spark):
     assert mixing.mix_sizes(docs.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows_and_null_ids(spark):
+    texts = ["a b c d"] * 6 + [None, "e f", "e f"]
+    docs = frame(spark, texts, [1, 1, 1, 2, 3, None, None, 4, 4])
+    rows = mixing.mix_sizes(docs, block=2).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r["size"]) for r in rows) == sorted((i is None, i or 0, len(WORD.findall(t or ""))) for i, t in zip([1, 1, 1, 2, 3, None, None, 4, 4], texts))
+    assert all(r.taken <= 2 * r["size"] for r in rows)
+    pieces = mixing.mix_texts(docs, block=2).collect()
+    assert sum(len(WORD.findall(r.text)) for r in pieces) == sum(r.taken for r in rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
 def test_permutations(spark, n):
     from pyspark.sql import functions as F

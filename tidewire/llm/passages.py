@@ -10,14 +10,18 @@ passage.  The tree is never built in one place:
    node there.  Blocks send short fingerprints of their distinct windows; those met
    once are pruned.  Fingerprints may collide, which only keeps a suffix too long.
 3. The suffixes that are left are split by their first words.  A prefix of one word
-   is made longer - 2, 4, 8 words - where too many suffixes share it, and short
-   groups are put together, so each group fits in memory.  A group's subtree is kept
-   as its leaves in the order of a 128-bit fingerprint of their first ``window``
-   words: each run of equal leaves is one deep internal node.  A block sends a
-   window once, with its smallest doc_id, so a passage that all documents share gives
-   one leaf a block.
-4. Blocks learn which of their windows have a smaller doc_id elsewhere and join the
-   covered words to maximal spans.
+   is made longer - 2, 4, 8 words, at last the window - where too many suffixes share
+   it; prefixes are dealt to groups that fit in memory.  A block sends a suffix once for
+   each distinct window, with its smallest doc_id, so a passage that all documents
+   share gives one leaf a block.
+4. A group orders its suffixes by their words (a symbol is 16 bits of a word's hash)
+   and takes the common prefix of each two neighbours.  From these the group's
+   subtree is read: the internal nodes of ``window`` words or more are the intervals
+   of leaves whose common prefixes are as long.  The tree is cut at that depth, as
+   what is below adds nothing to what is covered.  64 bits of a hash of all the words
+   confirm the leaves of a node.
+5. Blocks learn which of their suffixes begin below a node with a smaller doc_id
+   elsewhere; following suffixes chain to maximal repeats, the spans that go.
 """
 from __future__ import annotations
 
@@ -33,9 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import shared_dir
+from .shared import cut, in_small_batches, remove, shared_dir, trimmed
 
 LEVELS = (1, 2, 4, 8)  # words of a prefix; the last resort is the window itself
+MOST_BITS = 16  # of a prefix cell; what is known of cells is bounded by this, whatever the input
+SYMBOL = np.uint64(48)  # a word's symbol is what is left of its hash after this shift
 LAST = np.int64(2**63 - 1)  # stands for a null doc_id, which counts as the largest
 
 
@@ -71,6 +77,16 @@ class _Block:
     def distinct(self) -> None:
         every = kernel.window_hashes(self.hashes, self.window)[self.starts] if len(self.starts) else np.zeros(0, np.uint64)
         self.values, self.first, self.of = np.unique(every, return_index=True, return_inverse=True)
+        # the words confirm what equal hashes say; where they don't, windows are told apart by all their words
+        first = self.starts[self.first][self.of] if len(self.starts) else self.starts
+        if any((self.hashes[self.starts + k] != self.hashes[first + k]).any() for k in range(self.window if len(self.starts) else 0)):
+            keys = [self.hashes[self.starts + k] for k in range(self.window)]
+            order = np.lexsort((*keys, every))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+            self.first, self.of = order[new], np.empty(len(order), dtype=np.int64)
+            self.of[order] = np.cumsum(new) - 1
+            self.values = every[self.first]
         self.least = self.ids[self.words.doc[self.starts[self.first]]]
 
     def prefixes(self, at: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -135,20 +151,38 @@ def _summed(parts: list[np.ndarray]) -> np.ndarray:
     return np.stack([cell, n])
 
 
-def _bins(counts: dict[int, int], bits: int, levels: int, most: int) -> np.ndarray:
-    """The group of each prefix cell of each level; -1 where a longer prefix decides."""
-    groups = np.full((levels, 1 << bits), -1, dtype=np.int32)
-    group, held = 0, 0
-    for level in range(levels):
-        for cell in sorted(c - (level << bits) for c in counts if c >> bits == level):
-            n = counts[(level << bits) + cell]
-            if n > most and level < levels - 1:
-                continue
-            if held and held + n > most:
-                group, held = group + 1, 0
-            groups[level, cell] = group
-            held += n
-    return groups
+def _dealt(block: "_Block", at: np.ndarray, window: int, bits: int, open_: np.ndarray, parts: int) -> np.ndarray:
+    """The group of each suffix: by its shortest prefix that is not shared by too many."""
+    group = np.full(len(at), -1, dtype=np.int64)
+    sizes = [*(s for s in LEVELS if s < window), window]
+    for level, size in enumerate(sizes):
+        h = block.prefixes(at, size, 100 + level)
+        closed = (group < 0) if level == len(sizes) - 1 else (group < 0) & ~open_[level][(h >> np.uint64(64 - bits)).astype(np.int64)]
+        group[closed] = (kernel.mix64(h[closed]) % np.uint64(parts)).astype(np.int64)
+    return group
+
+
+def _symbols(block: "_Block", at: np.ndarray, window: int) -> list[np.ndarray]:
+    """The first ``window`` words of each suffix as symbols, four to an integer, so that integers in turn order the suffixes."""
+    out = []
+    for start in range(0, window, 4):
+        packed = np.zeros(len(at), dtype=np.uint64)
+        for k in range(start, min(start + 4, window)):
+            packed |= (block.hashes[at + k] >> SYMBOL) << np.uint64(48 - 16 * (k - start))
+        out.append(packed)
+    return out
+
+
+def _common(keys: list[np.ndarray], window: int) -> np.ndarray:
+    """How many words each of the ordered suffixes has in common with the one before; 0 for the first."""
+    n = len(keys[0])
+    common = np.zeros(n, dtype=np.int64)
+    same = np.ones(max(n - 1, 0), dtype=bool)
+    for k in range(window):
+        symbol = (keys[k // 4] >> np.uint64(48 - 16 * (k % 4))) & np.uint64(0xFFFF)
+        same &= symbol[1:] == symbol[:-1]
+        common[1:] += same
+    return common
 
 
 def _fingerprints(window: int, group_bits: int, kept_bits: int):
@@ -175,7 +209,7 @@ def _met_elsewhere(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"], "part": rows["part"], "n": [len(m) for m in marks], "mask": masks})
 
 
-def _leaves(window: int, bits: int, groups: np.ndarray):
+def _leaves(window: int, bits: int, open_: np.ndarray, parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, ids, texts, masks in zip(batch["block"], batch["ids"], batch["texts"], batch["masks"]):
@@ -185,35 +219,45 @@ def _leaves(window: int, bits: int, groups: np.ndarray):
                 keep = np.concatenate([np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]) for m in masks]) if len(masks) else np.zeros(0, np.uint8)
                 left = np.flatnonzero(keep)
                 at = block.starts[block.first[left]]
-                group = np.full(len(left), -1, dtype=np.int32)
-                for level, cell in enumerate(_cells(block, at, window, bits)):
-                    open_ = group < 0
-                    group[open_] = groups[level][cell[open_]]
-                second = block.prefixes(at, window, 2)
-                rows = []
-                for g in np.unique(group):
-                    of = left[group == g]
-                    rows.append((number, int(g), _rising(of.astype(np.uint64)), _rising(block.values[of]), _planes(second[group == g]), _planes(block.least[of])))
-                yield pd.DataFrame(rows, columns=["block", "part", "place", "first", "second", "least"])
+                group = _dealt(block, at, window, bits, open_, parts)
+                keys = _symbols(block, at, window)
+                order = np.lexsort((*keys[::-1], group))
+                left, group, keys = left[order], group[order], [k[order] for k in keys]
+                found, lead = np.unique(group, return_index=True)
+                for g, x, y in zip(found.tolist(), lead, np.append(lead[1:], len(group))):
+                    of = left[x:y]
+                    row = {"block": number, "part": g, "place": of.astype(np.uint32).tobytes(), "words": _rising(keys[0][x:y])}
+                    row["words"] += b"".join(_planes(k[x:y]) for k in keys[1:])
+                    yield pd.DataFrame([row | {"check": block.values[of].tobytes(), "least": _planes(block.least[of])}])
 
     return run
 
 
-def _deep_nodes(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each block the windows whose node has a smaller doc_id in another block."""
-    first = np.concatenate([_risen(x) for x in rows["first"]])
-    second = np.concatenate([_integers(x) for x in rows["second"]])
-    least = np.concatenate([_integers(x) for x in rows["least"]]).view(np.int64)
-    place = [_risen(x) for x in rows["place"]]
-    order = np.lexsort((second, first))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
-    heads = np.flatnonzero(new)
-    low = np.minimum.reduceat(least[order], heads) if len(heads) else least
-    behind = np.empty(len(order), dtype=bool)
-    behind[order] = least[order] > low[np.cumsum(new) - 1]
-    cuts = np.cumsum([len(p) for p in place])[:-1]
-    return pd.DataFrame({"block": rows["block"], "places": [_rising(p[b]) for p, b in zip(place, np.split(behind, cuts))]})
+def _deep_nodes(window: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """For each block the suffixes below a node of ``window`` words or more that has a smaller doc_id from another block."""
+        place = [np.frombuffer(x, np.uint32) for x in rows["place"]]
+        keys: list[list[np.ndarray]] = [[] for _ in range(0, window, 4)]
+        for own, words in zip(place, rows["words"]):
+            size = 8 * len(own)
+            for k, key in enumerate(keys):
+                part = words[k * size : (k + 1) * size]
+                key.append(_integers(part) if k else _risen(part))
+        flat = [np.concatenate(k) for k in keys]
+        check = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["check"]])
+        least = np.concatenate([_integers(x) for x in rows["least"]]).view(np.int64)
+        order = np.lexsort((check, *flat[::-1]))
+        deep = _common([k[order] for k in flat], window) >= window
+        deep[1:] &= check[order][1:] == check[order][:-1]
+        node = np.cumsum(~deep) - 1  # an interval of deep neighbours is one node
+        heads = np.flatnonzero(~deep)
+        low = np.minimum.reduceat(least[order], heads) if len(heads) else least
+        behind = np.empty(len(order), dtype=bool)
+        behind[order] = least[order] > low[node]
+        cuts = np.cumsum([len(p) for p in place])[:-1]
+        return pd.DataFrame({"block": rows["block"], "places": [_rising(np.sort(p[b]).astype(np.uint64)) for p, b in zip(place, np.split(behind, cuts))]})
+
+    return run
 
 
 def _results(window: int, texts_too: bool):
@@ -274,7 +318,7 @@ def _told(block: _Block, covered: np.ndarray, texts_too: bool) -> pd.DataFrame:
     return pd.DataFrame(rows)
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, block_chars: int = 4_000_000, group_windows: int = 4_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, block_chars: int = 4_000_000, group_windows: int = 2_000_000) -> DataFrame:
     """Remove words of passages that also occur in a document with a smaller doc_id.
 
     docs needs doc_id and text; other columns are ignored.  A word goes if it lies in a
@@ -286,19 +330,24 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, block_
 
     A null or empty text has no words.  A text shorter than the window keeps all.
     Rows that share a doc_id don't remove from each other.  A null doc_id counts as
-    larger than any other.
+    larger than any other.  An empty table gives an empty result.
+
+    Blocks hold about ``block_chars`` characters, or one longer document; a group's suffixes
+    are about ``group_windows`` at most, even if none could be pruned.  The result is written
+    to the shared folder; the blocks are deleted.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()["chars"]
     likely = max(1, size // 5)
-    bits = max(10, math.ceil(math.log2(likely / group_windows + 1)) + 5)
+    bits = min(MOST_BITS, max(10, math.ceil(math.log2(likely / group_windows + 1)) + 5))
     name = f"tidewire_blocks_{uuid.uuid4().hex}"
-    packed = docs.mapInArrow(_pack(window, block_chars, bits), "block long, ids array<long>, texts array<string>, prefixes binary, windows long")
+    packed = in_small_batches(docs).mapInArrow(trimmed(_pack(window, block_chars, bits)), "block long, ids array<long>, texts array<string>, prefixes binary, windows long")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / block_chars / 8))
+    folder = f"{shared_dir(spark)}/{name}"
     (
         packed.write.bucketBy(buckets, "block")
-        .option("path", f"{shared_dir(spark)}/{name}")
+        .option("path", folder)
         .option("compression", "zstd")
         .format("parquet")
         .saveAsTable(name)
@@ -321,20 +370,26 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, block_
 
     cells = blocks.select("prefixes").mapInPandas(added, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     levels = len([s for s in LEVELS if s < window]) + 1
-    counts = {r["cell"]: r["n"] for r in cells.collect()}  # bounded: levels times cells
     total = blocks.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("n")).first()["n"]
-    groups = _bins(counts, bits, levels, group_windows)
+    parts = max(1, -(-2 * total // group_windows))
+    open_ = np.zeros((levels, 1 << bits), dtype=bool)
+    for r in cells.where(F.col("n") > group_windows // 2).collect():  # bounded: levels times 2^MOST_BITS
+        open_[r["cell"] >> bits, r["cell"] & ((1 << bits) - 1)] = True
 
     group_bits = max(1, math.ceil(math.log2(max(total, 1) / group_windows + 1)))
     kept_bits = min(64, max(group_bits, math.ceil(math.log2(total + 1)) + 12))
     held = blocks.select("block", "ids", "texts")
-    marks = held.mapInPandas(_fingerprints(window, group_bits, kept_bits), "block long, part long, marks binary")
+    marks = held.mapInPandas(trimmed(_fingerprints(window, group_bits, kept_bits)), "block long, part long, marks binary")
     masks = marks.groupBy("part").applyInPandas(_met_elsewhere, "block long, part long, n long, mask binary")
     masks = masks.groupBy("block").agg(F.collect_list(F.struct("part", "n", "mask")).alias("masks"))
     leaves = held.join(masks, "block").mapInPandas(
-        _leaves(window, bits, groups), "block long, part long, place binary, first binary, second binary, least binary"
+        trimmed(_leaves(window, bits, open_, parts)), "block long, part long, place binary, words binary, check binary, least binary"
     )
-    places = leaves.groupBy("part").applyInPandas(_deep_nodes, "block long, places binary")
+    places = leaves.groupBy("part").applyInPandas(_deep_nodes(window), "block long, places binary")
     places = places.groupBy("block").agg(F.collect_list("places").alias("places"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>" + (", kept string" if texts else "")
-    return held.join(places, "block", "left").select("ids", "texts", "places").mapInPandas(_results(window, texts), schema)
+    found = held.join(places, "block", "left").select("ids", "texts", "places").mapInPandas(trimmed(_results(window, texts)), schema)
+    found = cut(found, "passages")
+    spark.sql(f"drop table {name}")
+    remove(spark, folder)
+    return found
