@@ -354,8 +354,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, block_
     )
     blocks = spark.table(name)
 
+    # a cell that a task holds so few suffixes of can't open it: all tasks together miss an eighth of the bound at most
+    tasks = blocks.select("prefixes").rdd.getNumPartitions()
+    least = group_windows // 2 // (8 * max(tasks, 1))
+
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sums of a task's blocks; the sums are brought together whenever a million entries have gathered."""
+        """Sums of a task's blocks, but for cells of few; they are brought together whenever a million entries have gathered."""
         parts, held = [], 0
         for batch in batches:
             for p in batch["prefixes"]:
@@ -366,7 +370,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, block_
                     held = parts[0].shape[1]
         if parts:
             cell, n = _summed(parts)
-            yield pd.DataFrame({"cell": cell, "n": n})
+            yield pd.DataFrame({"cell": cell[n > least], "n": n[n > least]})
 
     cells = blocks.select("prefixes").mapInPandas(added, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     levels = len([s for s in LEVELS if s < window]) + 1
