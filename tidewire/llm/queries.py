@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, minhash, mixing, passages, secrets, toxicity, vectors
+from . import bpe, centroids, chat, collocations, langid, media, minhash, mixing, passages, secrets, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,61 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), most=5, least=100, percent=100, top=2000)
+
+
+def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store(_table(spark, sf_dir, "documents"), keep=False)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, seed="1:")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _clustering_sql(rounds: int = 3) -> str:
+    """Centroids and assignments of op13, round by round."""
+    steps = [
+        """kept as materialized (
+  select vec_id, row_number() over () as id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as materialized (
+  select row_number() over (order by h nulls last, v) - 1 as cluster, v from (select sha256('1:' || vec_id) as h, v from kept order by h nulls last, v limit 16)
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} as materialized (
+  select id, any_value(vec_id) as vec_id, any_value(v) as v, min({{'d': d, 'cluster': cluster}}) as best from (
+    select id, vec_id, kept.v, cluster, cast(list_sum(list_transform(list_zip(kept.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from kept, c{r} c
+  ) group by id
+)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} as materialized (
+  select c.cluster, coalesce(m.v, c.v) as v from c{r} c left join (
+    select cluster, list((s - ((s % n) + n) % n) // n order by i) as v from (
+      select best.cluster as cluster, i, sum(v[i]) as s, count(*) as n from a{r}, range(1, 65) t(i) group by all
+    ) group by cluster
+  ) m using (cluster)
+)"""
+            )
+    return f"""with {", ".join(steps)}
+select vec_id, cast(best.cluster as integer) as cluster, best.d as distance, cast(sum(best.d) over (partition by best.cluster) as bigint) as cluster_inertia,
+  cast(sum(best.d) over () as bigint) as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a{rounds} join c{rounds} c on c.cluster = best.cluster
+"""
+
+
+def _phrases_sql(most: int = 5) -> str:
+    """Counts of all phrases by length for op11."""
+    return " union all ".join(
+        f"select lang, {k} as k, array_to_string(list_slice(w, i, i + {k - 1}), ' ') as phrase from (select lang, w, unnest(range(1, len(w) - {k - 2})) as i from pieces)" for k in range(1, most + 1)
+    )
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_exact_top_k": op2_exact_top_k,
@@ -115,6 +170,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_media_columns": op12_media_columns,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 SQL = {
@@ -201,4 +259,34 @@ with recursive units as (
 )
 select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links, component_id, e.vec_id = component_id as kept from embeddings e join found using (vec_id)
 """,
+    "op11_phrase_collocations": f"""
+with pieces as (
+  select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') as w from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents
+  )
+), totals as (
+  select lang, sum(len(w)) as n from pieces group by lang
+), f as materialized (
+  select lang, k, phrase, count(*) as c from ({_phrases_sql()}) group by lang, k, phrase having count(*) >= 100
+), split as (
+  select lang, k, phrase, c, string_split(phrase, ' ') as w from f where k > 1
+), cuts as (
+  select s.lang, s.k, s.phrase, s.w, s.c as a, t.i, l.c as l, r.c as r, n, cast((1000::hugeint * s.c * n) // (l.c::hugeint * r.c) as bigint) as score
+  from split s cross join range(1, 5) t(i) join totals using (lang)
+  join f l on l.lang = s.lang and l.phrase = array_to_string(list_slice(s.w, 1, t.i), ' ')
+  join f r on r.lang = s.lang and r.phrase = array_to_string(list_slice(s.w, t.i + 1, s.k), ' ')
+  where t.i < s.k
+), scored as (
+  select lang, k, phrase, a, n, arg_min({{'l': l, 'r': r, 'score': score}}, score * 10::hugeint + i) as s from cuts group by lang, k, phrase, a, n
+), inside as (
+  select distinct p.lang, p.phrase from split p join (
+    select lang, c, array_to_string(list_slice(w, i, i + j - 1), ' ') as phrase from split, range(1, 5) t(i), range(2, 5) u(j) where j < k and i + j - 1 <= k
+  ) q on q.lang = p.lang and q.phrase = p.phrase and 100 * q.c >= 100 * p.c
+), ranked as (
+  select lang, row_number() over (partition by lang order by s.score desc, a desc, phrase) as rank, phrase, a, s.l as l, s.r as r, n, s.score as score
+  from scored anti join inside using (lang, phrase)
+)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked where rank <= 2000
+""",
+    "op13_centroid_clustering": _clustering_sql(),
 }
