@@ -130,6 +130,6 @@ def test_ticks_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     run = stream.writeStream.foreachBatch(tick.merge_batch(target)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
-    got = {(r.entity_id, r.bucket): r.mentions for r in spark.read.parquet(f"{target}/1").collect()}
+    got = {(r.entity_id, r.bucket): r.mentions for r in tick.hourly_table(spark, target).collect()}
     expected = {(r.entity_id, r.bucket): r.mentions for r in panels.hourly_rollup(frame).collect()}
     assert got == expected

@@ -67,16 +67,17 @@ def merge_candidates(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return rollups.merged_candidates(stored, batch)
 
 
-def upsert_entities(entities: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_entities(entities: DataFrame, batch: DataFrame, last: int | None = None) -> DataFrame:
     """Entities after a batch (canonical_name, type, first_seen_at, last_seen_at).
 
     A known name keeps its row but for a later last_seen_at.  New ones are tracked, of
-    unknown fame, and get the next ids in the order of their names.
+    unknown fame, and get the next ids in the order of their names.  last: the largest id
+    so far, where ``entities`` are only those that the batch can touch.
     """
     b = batch.select("canonical_name", F.col("type").alias("new_type"), F.col("first_seen_at").alias("new_first"), F.col("last_seen_at").alias("new_last"))
     kept = entities.join(b.select("canonical_name", "new_last"), "canonical_name", "left")
     kept = kept.withColumn("last_seen_at", F.greatest("last_seen_at", "new_last")).select(entities.columns)
-    top = entities.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    top = entities.agg((F.coalesce(F.max("id"), F.lit(0)) if last is None else F.lit(last)).alias("top"))
     fresh = b.join(entities.select("canonical_name"), "canonical_name", "left_anti")
     # ids: names are ranked inside ranges of their hash, and the ranges' sizes give each range its start
     fresh = fresh.withColumn("part", F.pmod(F.xxhash64("canonical_name"), F.lit(64)))
@@ -101,9 +102,15 @@ def insert_links(article_entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return article_entities.select("article_id", "entity_id").unionByName(fresh)
 
 
-def unprocessed_heads(articles: DataFrame, as_of: str, held: DataFrame | None = None, hours: int = 6) -> DataFrame:
-    """Heads that arrived in the last hours and are not marked processed, but for those that a batch holds (id)."""
-    rows = articles.where(f"dup_group_id is null and entities_processed_at is null and first_seen_at >= {as_of} - interval {hours} hours")
+def insert_dated_links(links: DataFrame, batch: DataFrame) -> DataFrame:
+    """Links (article_id, entity_id, arrival_at) with those of a batch that aren't there yet."""
+    return links.unionByName(batch.dropDuplicates(["article_id", "entity_id"]).join(links, ["article_id", "entity_id"], "left_anti"))
+
+
+def unprocessed_heads(articles: DataFrame, as_of: str, held: DataFrame | None = None, hours: int | None = 6) -> DataFrame:
+    """Heads that arrived in the last hours (None: ever) and are not marked processed, but for those that a batch holds (id)."""
+    rows = articles.where("dup_group_id is null and entities_processed_at is null")
+    rows = rows if hours is None else rows.where(f"first_seen_at >= {as_of} - interval {hours} hours")
     return rows if held is None else rows.join(held.select("id"), "id", "left_anti")
 
 
