@@ -9,7 +9,8 @@ all phrases are the counts of the suffixes' prefixes:
 2. Tasks cut suffixes at infrequent words, as no frequent phrase holds one (a bit set for
    another word only leaves a suffix longer), add up equal ones of a chunk and deal them
    to the ranges: by language and first word, and where one word begins very many
-   suffixes, by the words after it.
+   suffixes, by the words after it.  Suffixes that go to a range travel as compressed
+   blocks, in which neighbours' common words cost next to nothing.
 3. Each range sorts its suffixes in descending order.  Those that share a prefix follow each
    other, so one stack of the open prefixes' counts, one entry for each length, counts all of
    them in one pass.  Prefixes that a range's border may cut are given out whatever their
@@ -21,6 +22,7 @@ order of bytes keeps equal prefixes together.
 """
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -37,6 +39,7 @@ from .shared import cut, forget, in_small_batches, trimmed
 CHUNK = 4 << 20  # bytes of text counted together
 THIN = 500  # one suffix of so many is in the sample
 FILTER_BITS = 1 << 26
+BLOCK = 1 << 14  # suffixes in a block, at most
 LONG = 256  # bytes; what two suffixes share beyond is compared pair by pair
 
 _BREAK = np.zeros(256, dtype=bool)
@@ -99,7 +102,27 @@ def gathered(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Arra
     offsets = np.zeros(len(sizes) + 1, dtype=np.int64)
     np.cumsum(sizes, out=offsets[1:])
     at = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])]).cast(pa.binary())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+
+
+def packed(suffixes: pa.Array, counts: np.ndarray) -> bytes:
+    """Suffixes (large binaries) and their counts as a compressed block."""
+    n, columns = len(suffixes), []
+    offsets = np.frombuffer(suffixes.buffers()[1], np.int64)[suffixes.offset : suffixes.offset + n + 1]
+    for values in (np.diff(offsets), counts):
+        # all first bytes, then all second ones: the high ones are zeros
+        columns.append(np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(n, 4).T.tobytes())
+    raw = b"".join([*columns, np.frombuffer(suffixes.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].tobytes()])
+    return struct.pack("<IQ", n, len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(block: bytes) -> tuple[pa.Array, np.ndarray]:
+    """Suffixes and counts of a block."""
+    n, size = struct.unpack_from("<IQ", block)
+    raw = np.frombuffer(pa.decompress(block[12:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    sizes, counts = (np.ascontiguousarray(raw[4 * n * k : 4 * n * (k + 1)].reshape(4, n).T).view("<u4").ravel().astype(np.int64) for k in (0, 1))
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw[8 * n :])]).cast(pa.binary()), counts
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -140,7 +163,7 @@ def _counted(most: int):
             starts = np.arange(zlib.crc32(chunk.bytes_of(0, 4096)) % min(THIN, chunk.n), chunk.n, THIN)
             sample = gathered(chunk.joined, *chunk.suffixes(starts, np.minimum(most, chunk.stop[starts] - starts)))
             counts = np.concatenate([np.bincount(chunk.ids, minlength=len(chunk.words)), np.zeros(len(sample), np.int64)])
-            rows = [pa.array([lang] * len(counts)), pa.concat_arrays([chunk.words.cast(pa.binary()), sample]), pa.array(counts), pa.array(counts == 0)]
+            rows = [pa.repeat(lang, len(counts)), pa.concat_arrays([chunk.words, sample]).cast(pa.binary()), pa.array(counts), pa.array(counts == 0)]
             yield pa.RecordBatch.from_arrays(rows, ["lang", "suffix", "n", "sampled"])
 
     return run
@@ -188,7 +211,7 @@ def truncated(chunk: Chunk, frequent: np.ndarray, most: int) -> tuple[np.ndarray
 
 def _dealt(most: int, filter_: np.ndarray, bits: int, borders: list[tuple[bytes, bytes]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes of chunks with their counts and the range each lies in."""
+        """Blocks of the suffixes of chunks with their counts, and the range they lie in."""
         for lang, chunk in _chunks(batches):
             cell = _cell(lang, bits)
             cells = np.fromiter((cell(w) for w in chunk.words.to_pylist()), np.int64, len(chunk.words))
@@ -199,15 +222,37 @@ def _dealt(most: int, filter_: np.ndarray, bits: int, borders: list[tuple[bytes,
             name, every = lang.encode(), range(len(starts))
             low, high = bisect_left(borders, (name,)), bisect_left(borders, (name + b"\0",))
             places = [bisect_left(every, border, key=lambda i: chunk.bytes_of(begin[i], end[i])) for _, border in borders[low:high]]
-            part = low + np.searchsorted(np.array(places, dtype=np.int64), np.arange(len(starts)), side="right")
-            for i in range(0, len(starts), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                rows = [pa.array([lang] * len(starts[s])), gathered(chunk.joined, begin[s], end[s]), pa.array(counts[s]), pa.array(part[s].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(rows, ["lang", "suffix", "n", "part"])
+            edges = [0, *places, len(starts)]
+            rows = []
+            for part, (first, last) in enumerate(zip(edges, edges[1:]), low):
+                for i in range(first, last, BLOCK):
+                    at = slice(i, min(last, i + BLOCK))
+                    rows.append((part, packed(gathered(chunk.joined, begin[at], end[at]), counts[at])))
+            parts, blocks = pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([parts, pa.repeat(lang, len(rows)), blocks], ["part", "lang", "block"])
 
     return run
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes of blocks, some thousands in a batch."""
+
+    def batch() -> pa.RecordBatch:
+        langs = pa.concat_arrays([pa.repeat(lang, len(n)) for lang, _, n in held])
+        return pa.RecordBatch.from_arrays([langs, pa.concat_arrays([x for _, x, _ in held]), pa.array(np.concatenate([n for _, _, n in held]))], ["lang", "suffix", "n"])
+
+    held, rows = [], 0
+    for got in batches:
+        for lang, block in zip(got.column("lang").to_pylist(), got.column("block").to_pylist()):
+            held.append((lang, *unpacked(block)))
+            rows += len(held[-1][2])
+            if rows >= BLOCK:
+                yield batch()
+                held, rows = [], 0
+    if held:
+        yield batch()
+
+
 def shared_words(data: np.ndarray, offsets: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of each suffix, and how many of its first words are also those of the one before it.
 
@@ -327,8 +372,8 @@ def phrase_counts(docs: DataFrame, most: int = 5, least: int = 100, filter_bits:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _dealt(most, shipped.value[0], filter_bits, shipped.value[1])(batches)
 
-    dealt = rows.mapInArrow(trimmed(deal), schema + ", part int").repartitionById(len(borders) + 1, "part").drop("part")
-    dealt = dealt.sortWithinPartitions(F.col("lang").desc(), F.col("suffix").desc())
+    dealt = rows.mapInArrow(trimmed(deal), "part int, lang string, block binary").repartitionById(len(borders) + 1, "part")
+    dealt = dealt.mapInArrow(_opened, schema).sortWithinPartitions(F.col("lang").desc(), F.col("suffix").desc())
     found = dealt.mapInArrow(trimmed(_stacked(most, least)), "lang string, phrase string, n long")
     found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return cut(found, "phrases"), words
