@@ -1,7 +1,7 @@
 """Articles to stories: identity, duplicate groups, clusters and their ranking."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,21 +36,34 @@ def honest_time(published: str, estimated: str) -> F.Column:
     return F.when(~F.coalesce(F.col(estimated), F.lit(False)), F.col(published))
 
 
-def _first_after(points: DataFrame, asked: DataFrame, strict: bool) -> DataFrame:
-    """For each question (key, bucket, at, asker) the first point (key, bucket, at, id) of its bucket that is not earlier.
+def _sliced(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (key, at, ...) written once in contiguous slices of (key, at), numbered in order.
 
-    strict: that is later.  One ordered pass backwards in time carries the last point
-    met, so no pairs are made.  Returns (asker, first: struct(at, id)), null where
-    there is none.
+    Slices are of like size whatever one key holds, and rows of one key and time share one.
     """
-    rows = points.select("key", "bucket", "at", F.col("id"), F.lit(None).cast("long").alias("asker")).unionByName(
-        asked.select("key", "bucket", "at", F.lit(None).cast("long").alias("id"), "asker")
-    )
-    question_first = F.col("asker").isNull() if strict else F.col("asker").isNotNull()
-    order = Window.partitionBy("key", "bucket").orderBy(F.col("at").desc(), question_first, F.col("id").desc())
-    point = F.when(F.col("id").isNotNull(), F.struct("at", "id"))
-    met = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("first", met).where("asker is not null").select("asker", "first")
+    return cut(rows.repartitionByRange("key", "at").withColumn("slice", F.spark_partition_id()), name)
+
+
+def _nearest(rows: DataFrame, backward: bool, tie: Column) -> DataFrame:
+    """``rows`` (key, slice, at, mark: a struct that begins with at, or null) with the mark ``near``est in time.
+
+    That is the last mark at or before a row, or backward the first at or after it, of the
+    same key; tie orders rows of one time, those that come later see the marks of those before.
+    One ordered pass through each slice carries the last mark met.  A key reaches over the
+    border of two slices at most once for each border, so what slices hand on is a table
+    of fewer than twice as many rows as there are slices.
+    """
+    at = F.col("at").desc() if backward else F.col("at")
+    order = Window.partitionBy("key", "slice").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.withColumn("near", F.last("mark", ignorenulls=True).over(order))
+    ends = rows.groupBy("slice").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    ends = ends.select("slice", F.explode(F.array("low", "high")).alias("key")).distinct()
+    edge = F.min("mark") if backward else F.max("mark")
+    handed = rows.join(F.broadcast(ends), ["key", "slice"]).groupBy("key", "slice").agg(edge.alias("edge"))
+    place = F.col("slice").desc() if backward else F.col("slice")
+    before = Window.partitionBy("key").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    handed = handed.withColumn("handed", F.last("edge", ignorenulls=True).over(before)).where("handed is not null").drop("edge")
+    return met.join(F.broadcast(handed), ["key", "slice"], "left").withColumn("near", F.coalesce("near", "handed")).drop("handed")
 
 
 def duplicate_groups(articles: DataFrame, as_of: str | None = None, hours: int = 48) -> DataFrame:
@@ -62,22 +75,22 @@ def duplicate_groups(articles: DataFrame, as_of: str | None = None, hours: int =
     grouped.  An article that is its own earliest head has no row.  Blank signatures
     are a signature like any other.
 
-    Time is cut into buckets as long as the window, so the earliest head lies in an
-    article's own bucket or the one before, and a headline that recurs for ever is
-    spread over many tasks.
+    Articles of one signature and time have one answer, and are asked for once.  Times are
+    searched in slices of like size, so a headline that comes very often is spread over many tasks.
     """
     span = hours * HOUR
     held = articles if "dup_group_id" in articles.columns else articles.withColumn("dup_group_id", F.lit(None).cast("long"))
     rows = held.where("dup_group_id is null").select(
         "id", F.col("title_signature").alias("key"), F.unix_micros(F.col("first_seen_at").cast("timestamp")).alias("at"), "first_seen_at"
     )
-    rows = rows.where("key is not null and at is not null").withColumn("bucket", F.floor(F.col("at") / span))
+    rows = rows.where("key is not null and at is not null")
     asked = rows if as_of is None else rows.where(f"first_seen_at >= {as_of} - interval {hours} hours")
-    before = _first_after(rows, asked.select("key", (F.col("bucket") - 1).alias("bucket"), (F.col("at") - span).alias("at"), F.col("id").alias("asker")), strict=False)
-    own = rows.groupBy("key", "bucket").agg(F.min(F.struct("at", "id")).alias("own"))
-    found = asked.join(before.withColumnRenamed("asker", "id"), "id").join(own, ["key", "bucket"])
-    head = F.coalesce("first", "own")["id"]
-    return found.select("id", head.alias("dup_group_id")).where("id <> dup_group_id")
+    points = rows.groupBy("key", "at").agg(F.struct("at", F.min("id").alias("id")).alias("mark")).withColumn("asked", F.lit(None).cast("long"))
+    questions = asked.select("key", (F.col("at") - span).alias("at"), F.lit(None).cast("struct<at:long,id:long>").alias("mark"), F.col("at").alias("asked")).distinct()
+    # the earliest head of the window is the first one from its beginning on; a point is met before a question of its time
+    found = _nearest(_sliced(points.unionByName(questions), "moments"), True, F.col("asked").isNotNull())
+    found = found.where("asked is not null").select("key", F.col("asked").alias("at"), F.col("near")["id"].alias("dup_group_id"))
+    return asked.select("id", "key", "at").join(found, ["key", "at"]).select("id", "dup_group_id").where("id <> dup_group_id")
 
 
 def grouped(articles: DataFrame, groups: DataFrame) -> DataFrame:
@@ -93,27 +106,30 @@ def clusters(articles: DataFrame, hours: int = 48) -> DataFrame:
     began too long ago - so the window hangs on the head, not on the gap.  An article
     without a time or a signature stands alone.
 
-    An article after a gap is a head.  From each article the next head would be the
-    first one beyond its window; following that from the heads after gaps, twice as far in
-    every round, gives all heads in a number of rounds that grows with the logarithm
-    of the longest run.  Time is cut into buckets as long as the window, so each
-    search looks into one or two buckets and no signature is gathered in one task.
+    Articles of one signature and time are one moment, of which the smallest id stands for all.
+    A moment after a gap is a head.  From each moment the next head would be the first one beyond
+    its window; following that from the heads after gaps, twice as far in every round, gives
+    all heads in a number of rounds that grows with the logarithm of the longest run.  Times
+    are searched in slices of like size, so no signature is gathered in one task.
     """
     span = hours * HOUR
-    seconds = F.unix_micros(news_time("published_at", "first_seen_at").cast("timestamp"))
-    rows = articles.select("id", F.col("title_signature").alias("key"), seconds.alias("at"))
+    micros = F.unix_micros(news_time("published_at", "first_seen_at").cast("timestamp"))
+    rows = articles.select("id", F.col("title_signature").alias("key"), micros.alias("at"))
     alone = rows.where("coalesce(key, '') = '' or at is null").select("id", F.col("id").alias("head_id"))
-    rows = cut(rows.where("coalesce(key, '') <> '' and at is not null").withColumn("bucket", F.floor(F.col("at") / span)), "timed")
-    held = rows.groupBy("key", "bucket").agg(F.min(F.struct("at", "id")).alias("first"), F.max("at").alias("last"))
-    shifted = lambda by, *names: held.select("key", (F.col("bucket") + by).alias("bucket"), *[F.col(n).alias(f"{n}_there") for n in names])
-    starts = held.join(shifted(1, "last"), ["key", "bucket"], "left").where(f"last_there is null or first.at - last_there > {span}").select("first.id")
-    asked = rows.select("key", (F.col("bucket") + 1).alias("bucket"), (F.col("at") + span).alias("at"), F.col("id").alias("asker"))
-    later = _first_after(rows, asked, strict=True)
-    beyond = rows.join(shifted(-2, "first"), ["key", "bucket"], "left").select(F.col("id").alias("asker"), "first_there")
-    jump = later.join(beyond, "asker").select(F.col("asker").alias("id"), F.coalesce("first", "first_there")["id"].alias("next")).where("next is not null")
+    rows = rows.where("coalesce(key, '') <> '' and at is not null")
+    moments = rows.groupBy("key", "at").agg(F.min("id").alias("id"))
+    # beside the points two questions of each moment: the first one beyond its window (asked before points of that time
+    # are met), and the first one of the window before it (asked after): a moment that is its own answer begins anew
+    kinds = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(shift).cast("long").alias("shift")) for kind, shift in ((0, span), (1, 0), (2, -span))])).alias("q")
+    asked = moments.select("key", "id", F.col("at").alias("own"), kinds)
+    asked = asked.select("key", "id", "own", (F.col("own") + F.col("q.shift")).alias("at"), F.col("q.kind").alias("kind"))
+    sliced = _sliced(asked.withColumn("mark", F.when(F.col("kind") == 1, F.struct("at", "id"))), "moments")
+    found = cut(_nearest(sliced, True, F.col("kind")).where("kind <> 1").select("id", "kind", F.col("near")["id"].alias("next")), "jumps")
+    starts = found.where("kind = 2 and next = id").select("id")
     # a head after a gap is known as one and is not jumped to
-    jump = cut(jump.join(starts.withColumnRenamed("id", "next"), "next", "left_anti").select("id", "next"), "jumps")
+    jump = cut(found.where("kind = 0 and next is not null").select("id", "next").join(starts.withColumnRenamed("id", "next"), "next", "left_anti").select("id", "next"), "jumps")
     heads = cut(starts, "heads")
+    forget(found)
     while True:
         more = cut(jump.join(heads, "id").select(F.col("next").alias("id")).join(heads, "id", "left_anti").distinct(), "heads")
         if more.isEmpty():
@@ -123,12 +139,11 @@ def clusters(articles: DataFrame, hours: int = 48) -> DataFrame:
         forget(heads, more, jump)
         heads, jump = both, far
     forget(more, jump)
-    marked = rows.join(heads.withColumn("is_head", F.lit(True)), "id", "left")
-    order = Window.partitionBy("key", "bucket").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = marked.withColumn("own", F.last(F.when(F.col("is_head"), F.col("id")), ignorenulls=True).over(order))
-    latest = marked.where("is_head").groupBy("key", (F.col("bucket") + 1).alias("bucket")).agg(F.max(F.struct("at", "id"))["id"].alias("before"))
-    found = marked.join(latest, ["key", "bucket"], "left").select("id", F.coalesce("own", "before").alias("head_id"))
-    return found.unionByName(alone)
+    # the last head at or before each moment
+    points = sliced.where("kind = 1").select("key", "slice", "at", "id").join(heads.withColumn("is_head", F.lit(True)), "id", "left")
+    points = points.withColumn("mark", F.when(F.col("is_head"), F.struct("at", "id")))
+    found = _nearest(points, False, F.col("id")).select("key", "at", F.col("near")["id"].alias("head_id"))
+    return rows.join(found, ["key", "at"]).select("id", "head_id").unionByName(alone)
 
 
 def cluster_heads(articles: DataFrame, heads: DataFrame) -> DataFrame:
