@@ -236,7 +236,7 @@ _BEGIN, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: White space of every kind.
 SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
-#: The most terms whose key words go to every task in one row.
+#: The most terms that go to every task; more meet the texts by a join.
 FEW_TERMS = 50_000
 
 
@@ -360,50 +360,63 @@ def products(text, known=None) -> Column:
     return F.array_sort(found)
 
 
+def _tokens(text: Column, pairs: bool) -> Column:
+    """Distinct words of letters a-z of a lower-cased text; with pairs also every two signs that follow each other and are no such letters."""
+    words = F.regexp_extract_all(text, F.lit("[a-z]+"), F.lit(0))
+    if not pairs:
+        return F.array_distinct(words)
+    runs = F.regexp_extract_all(text, F.lit("[^a-z]{2,}"), F.lit(0))
+    two = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))))
+    return F.array_distinct(F.concat(words, two))
+
+
 def dictionary(terms: DataFrame) -> DataFrame:
-    """A dictionary's terms by key, ready to be looked for: (term, canonical, type, acronym, key).
+    """A dictionary's terms, ready to be looked for: (term, canonical, type, acronym, tokens, worded).
 
     terms: (term, canonical, type, place).  Of terms that differ in case only the one with
     the largest place counts.  A term is an acronym if any of its forms is two to five
     signs in capitals.  Terms of less than three signs that are no acronyms are left out.
-    key is the longest run of letters a-z in the term, null where it has none.
+    tokens are the term's words, all of which a text that holds it has; of a term without a
+    letter a-z (worded is false) its pairs of signs.
     """
     form = F.col("term")
     capitals = F.length(form).between(2, 5) & (form == F.upper(form)) & (form != F.lower(form))
     rows = terms.groupBy(F.lower("term").alias("term")).agg(F.max(F.struct("place", "canonical", "type")).alias("last"), F.bool_or(capitals).alias("acronym"))
-    runs = F.regexp_extract_all("term", F.lit("[a-z]+"), F.lit(0))
-    key = F.array_max(F.transform(runs, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     rows = rows.where((F.length("term") >= 3) | F.col("acronym"))
-    return rows.select("term", "last.canonical", "last.type", "acronym", key.alias("key"))
+    worded = F.regexp_like("term", F.lit("[a-z]"))
+    tokens = F.when(worded, _tokens(F.col("term"), False)).otherwise(_tokens(F.col("term"), True))
+    return rows.select("term", "last.canonical", "last.type", "acronym", tokens.alias("tokens"), worded.alias("worded"))
 
 
 def dictionary_matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Entries (id, canonical, type) whose term stands in a text (id, text) between signs that aren't a-z.
 
     terms: as for ``dictionary``; of any number of words, with any signs.  An acronym must
-    stand in capitals.  Each term is met through its key word: a text's words meet the
-    terms' keys, and only the texts that have one are searched for the term itself.
-    Keys of up to FEW_TERMS terms go to every task as one row; of more, words meet them
-    by an equal-key join.  Terms without a letter a-z are looked for in every text.
+    stand in capitals.  Each term has one key among its tokens; a text's tokens meet the keys
+    by an equal-key join, and only texts that have one are searched for the term itself.
+
+    Up to FEW_TERMS terms go to every task, keyed by their longest word, and no text moves.
+    Of more, the key is the token that the fewest texts have, so a word that a third of
+    all texts hold is a key only of terms that have no other; terms with a token that no text
+    has are out.  Then ids and tokens are joined, and texts come back to what they have met.
     """
     known = dictionary(terms)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     held = texts.select("id", "text").where("text is not null")
-    keyed, unkeyed = known.where("key is not null"), known.where("key is null")
+    tokens = _tokens(F.lower("text"), not known.where("not worded").isEmpty())
     if known.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
-        keys = keyed.agg(F.collect_set("key").alias("keys"))
-        met = held.join(F.broadcast(keys)).withColumn("met", F.array_intersect(words, "keys")).where("size(met) > 0")
-        met = met.select("id", "text", F.explode("met").alias("key")).join(F.broadcast(keyed), "key")
-        bare = held.join(F.broadcast(unkeyed)).withColumn("key", F.lit(None).cast("string"))
+        key = F.array_max(F.transform("tokens", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+        met = held.select("id", "text", F.explode(tokens).alias("key")).join(F.broadcast(known.withColumn("key", key)), "key")
     else:
-        met = held.select("id", "text", F.explode(words).alias("key")).join(keyed, "key")
-        bare = held.join(unkeyed).withColumn("key", F.lit(None).cast("string"))
+        parts = known.select("term", F.explode("tokens").alias("key"))
+        hits = held.select("id", F.explode(tokens).alias("key")).join(parts.select("key").distinct(), "key", "left_semi")
+        rarest = parts.join(hits.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("term")
+        rarest = rarest.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("rarest")).where("rarest.n > 0").select("term", "rarest.key")
+        found = hits.join(known.join(rarest, "term"), "key").withColumnRenamed("id", "met_id")
+        met = held.join(found, F.col("id").eqNullSafe(F.col("met_id")))
     quoted = lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     plain = F.regexp_like(F.lower("text"), F.concat(F.lit("(?<![a-z])"), quoted(F.col("term")), F.lit("(?![a-z])")))
     shouted = F.regexp_like("text", F.concat(F.lit("(?<![A-Za-z])"), quoted(F.upper("term")), F.lit("(?![A-Za-z])")))
-    columns = ["id", "text", "term", "canonical", "type", "acronym"]
-    found = met.select(columns).unionByName(bare.select(columns)).where(F.when(F.col("acronym"), shouted).otherwise(plain))
-    return found.select("id", "canonical", "type").distinct()
+    return met.where(F.when(F.col("acronym"), shouted).otherwise(plain)).select("id", "canonical", "type").distinct()
 
 
 def is_dictionary_term(names: DataFrame, terms: DataFrame) -> DataFrame:
