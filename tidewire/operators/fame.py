@@ -11,6 +11,8 @@ from . import reports, scoring
 #: Languages whose labels and aliases are kept, in this order; aliases of an entity at most.
 ALIAS_LANGUAGES = ("en", "de", "fr", "es", "it", "pl", "pt", "nl", "tr")
 MOST_ALIASES = 24
+#: Entities looked up together, milliseconds of a sweep, and how a refusal's reason ends.
+CHUNK, BUDGET_MS, REFUSED = 3, 12_000, "_http_(429|403)\\z"
 
 
 def _value(json, path: str, kind: str = "string") -> Column:
@@ -126,9 +128,36 @@ def written(entities: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:
     return rows.select(entities.columns)
 
 
+def swept(attempts: DataFrame, chunk: int = CHUNK, budget_ms: int = BUDGET_MS) -> DataFrame:
+    """The attempts (sweep, place, outcome, reason, took_ms, ...) that a sweep really makes.
+
+    A sweep takes its entities by place, from 0, ``chunk`` at a time and those together, so a
+    chunk takes as long as its slowest.  Before each chunk the time so far is compared with
+    the budget; a chunk under way is never broken off.  After a chunk in which the other
+    side refused (429 or 403) none follows.  Entities beyond have no row, so nothing is
+    written of them and they are due again.  A missing time counts as none.
+
+    Chunks are summed up first, so of a sweep only one row for each meets the others.
+    """
+    rows = attempts.withColumn("chunk", F.floor(F.col("place") / chunk))
+    refused = F.bool_or((F.col("outcome") == "failure") & F.coalesce(F.col("reason").rlike(REFUSED), F.lit(False)))
+    chunks = rows.groupBy("sweep", "chunk").agg(F.max(F.coalesce("took_ms", F.lit(0))).alias("took"), F.coalesce(refused, F.lit(False)).alias("refused"))
+    before = Window.partitionBy("sweep").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumns({"begun": F.coalesce(F.sum("took").over(before), F.lit(0)), "stopped": F.coalesce(F.bool_or("refused").over(before), F.lit(False))})
+    made = chunks.where(f"begun < {budget_ms} and not stopped").select("sweep", "chunk")
+    return rows.join(made, ["sweep", "chunk"], "left_semi").drop("chunk").select(attempts.columns)
+
+
+def sweep_tallies(made: DataFrame) -> DataFrame:
+    """``sweep_tally`` of each sweep (sweep, outcome, reason)."""
+    refused = F.coalesce(F.col("reason").rlike(REFUSED), F.lit(False))
+    success = F.coalesce(F.col("outcome") == "success", F.lit(False))
+    return made.groupBy("sweep").agg(F.count("*").alias("checked"), F.count_if(success).alias("succeeded"), F.count_if(~success).alias("failed"), F.bool_or(refused).alias("rate_limited"))
+
+
 def sweep_tally(outcomes: DataFrame) -> DataFrame:
     """One row: outcomes checked, succeeded and failed, and whether the sweep must stop because the other side refuses."""
-    refused = F.coalesce(F.col("reason").rlike("_http_(429|403)\\z"), F.lit(False))
+    refused = F.coalesce(F.col("reason").rlike(REFUSED), F.lit(False))
     return outcomes.agg(
         F.count("*").alias("checked"), F.count_if(F.col("outcome") == "success").alias("succeeded"), F.count_if(F.col("outcome") != "success").alias("failed"), F.coalesce(F.bool_or(refused), F.lit(False)).alias("rate_limited")
     )
