@@ -61,8 +61,8 @@ def _tables(spark, d) -> Newsroom:
         "last_seen_at",
     )
     relation = F.element_at(F.array(*map(F.lit, RELATIONS)), (F.col("event_id") % 13 + 1).cast("int"))
-    stated = pairs.where("event_id % 9 = 1").select(F.col("user_id").alias("source_id"), F.col("second_id").alias("target_id"), relation.alias("relation"), F.col("event_id").alias("article_id"), F.col("arrival").alias("arrival_at"))
-    sightings = pairs.where("event_id % 10 = 3").join(articles.selectExpr("id as event_id", "title", "source_name", "coalesce(published_at, first_seen_at) as effective_at"), "event_id")
+    stated = pairs.select(F.col("user_id").alias("source_id"), F.col("second_id").alias("target_id"), relation.alias("relation"), F.col("event_id").alias("article_id"), F.col("arrival").alias("arrival_at"))
+    sightings = pairs.join(articles.selectExpr("id as event_id", "title", "source_name", "coalesce(published_at, first_seen_at) as effective_at"), "event_id")
     name = "concat('Name ', {0}, if({0} % 3 = 0, ' Inc.', ''))"
     sightings = sightings.selectExpr(
         "concat('cand ', event_id % 60) as norm",
@@ -95,10 +95,10 @@ tracked as (select * from entities where status = 'tracked'),
 hourly as (select entity_id, date_trunc('hour', effective_at) as bucket, count(*) as mentions, count(distinct source_name) as source_count, sum(sentiment) as sentiment_sum from mentions group by all),
 edges as (select a.entity_id as entity_a, b.entity_id as entity_b, min(a.arrival_at) as first_seen_at, max(a.arrival_at) as last_seen_at, count(*) as article_count from mentions a join mentions b on a.article_id = b.article_id and a.entity_id < b.entity_id group by all),
 relations as (select user_id as source_id, second_id as target_id, [{', '.join(f"'{r}'" for r in RELATIONS)}][event_id % 13 + 1] as relation, min(arrival) as first_seen_at, max(arrival) as last_seen_at, count(*) as article_count,
-  arg_max(event_id, {{'a': arrival, 'i': event_id}}) as evidence_article_id from held where event_id % 9 = 1 group by all),
+  arg_max(event_id, {{'a': arrival, 'i': event_id}}) as evidence_article_id from held group by all),
 sightings as (select concat('cand ', event_id % 60) as norm, concat('Cand ', repeat('x', event_id % 3), event_id % 60) as display, ['region', 'person', 'company', 'person', 'product'][event_id % 60 % 5 + 1] as type_hint, source_name, title,
   coalesce(published_at, first_seen_at) as effective_at, event_id as seq, case when event_id % 7 = 3 then concat('role ', event_id % 4) end as role_context, {_NAME.format('user_id')} as co1, {_NAME.format('second_id')} as co2
-  from held join articles on id = event_id where event_id % 10 = 3),
+  from held join articles on id = event_id),
 picks as (select norm, 's' as kind, source_name as value, min({{'a': effective_at, 'b': seq, 'c': 0}}) as t from sightings group by all union all select norm, 't', title, min({{'a': effective_at, 'b': seq, 'c': 0}}) from sightings group by all
   union all select norm, 'r', role_context, min({{'a': effective_at, 'b': seq, 'c': 0}}) from sightings where role_context is not null group by all
   union all select norm, 'c', co, min({{'a': effective_at, 'b': seq, 'c': k}}) from (select norm, effective_at, seq, 0 as k, co1 as co from sightings union all select norm, effective_at, seq, 1, co2 from sightings) group by norm, co),
@@ -300,19 +300,19 @@ def candidate_upsert(spark, d):
 
 
 def _sightings(spark, d):
-    held = room(spark, d).articles.where("id % 10 = 3")
+    held = room(spark, d).articles
     return held.selectExpr("concat('cand ', id % 60) as norm", "concat('Cand ', repeat('x', cast(id % 3 as int)), id % 60) as display", "source_name", "title", "coalesce(published_at, first_seen_at) as effective_at", "id as seq")
 
 
 @query(
-    f"""{ROOM}, stored as (select * from entities where id % 2 = 0), batch as (select canonical_name, type, first_seen_at - interval 1 day as first_seen_at, last_seen_at + interval 1 day as last_seen_at from entities where id % 3 = 0)
+    f"""{ROOM}, stored as (select * from entities where type in ('country', 'person')), batch as (select canonical_name, type, first_seen_at - interval 1 day as first_seen_at, last_seen_at + interval 1 day as last_seen_at from entities where type <> 'country')
 select canonical_name, status, fame, s.first_seen_at, greatest(s.last_seen_at, coalesce(b.last_seen_at, s.last_seen_at)) as last_seen_at from stored s left join batch b using (canonical_name)
 union all select canonical_name, 'tracked', 'unknown', first_seen_at, last_seen_at from batch where canonical_name not in (select canonical_name from stored)"""
 )
 def entity_upsert(spark, d):
     entities = room(spark, d).entities
-    batch = entities.where("id % 3 = 0").selectExpr("canonical_name", "type", "first_seen_at - interval 1 day as first_seen_at", "last_seen_at + interval 1 day as last_seen_at")
-    return state.upsert_entities(entities.where("id % 2 = 0"), batch).select("canonical_name", "status", "fame", "first_seen_at", "last_seen_at")
+    batch = entities.where("type <> 'country'").selectExpr("canonical_name", "type", "first_seen_at - interval 1 day as first_seen_at", "last_seen_at + interval 1 day as last_seen_at")
+    return state.upsert_entities(entities.where("type in ('country', 'person')"), batch).select("canonical_name", "status", "fame", "first_seen_at", "last_seen_at")
 
 
 @query(f"{ROOM} select id from heads where first_seen_at >= {D_NOW} - interval 6 hours and id % 5 <> 0 and id % 4 <> 1")
