@@ -403,3 +403,15 @@ def test_streams(spark, tmp_path):
         made.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.entity_id, r.mentions, r.sentiment_sum) for r in spark.table("tidewire_hours").collect()) == [(7, 2, 1.5), (8, 1, 0.0)]
     assert sorted(r.content_hash for r in spark.table("tidewire_unique").collect()) == ["x", "y"]
+
+
+def test_answers_stand_beside_the_dictionary_only(spark):
+    from tidewire.operators import extraction
+
+    articles = spark.createDataFrame([(1, "NATO meets Angela Merkel", ""), (2, "NATO meets Angela Merkel", ""), (3, "Nothing", None)], "id long, title string, summary string")
+    terms = spark.createDataFrame([("NATO", "NATO", "organization", 1)], "term string, canonical string, type string, place int")
+    answered = spark.createDataFrame([(1,), (3,)], "article_id long")
+    answers = spark.createDataFrame([(1, "llm", 1, "nato", "person", "ally", "famous"), (2, "llm", 1, "Never", "person", None, None)], "article_id long, layer string, seq int, display string, type_hint string, role_context string, prominence string")
+    got = extraction.merged_names(extraction.answered_names(articles, terms, answered, answers)).collect()
+    # the stronger layer gives type and role; article 2 has no answer, so its names come from all layers
+    assert {(r.article_id, r.display, r.type_hint, r.layer, r.role_context) for r in got} == {(1, "NATO", "organization", "dictionary", None), (2, "NATO", "organization", "dictionary", None), (2, "Angela Merkel", "person", "person-regex", None)}

@@ -39,6 +39,19 @@ def found_names(articles: DataFrame, terms: DataFrame, dictionary_only: bool = F
     return reduce(DataFrame.unionByName, layers).select(FOUND)
 
 
+def answered_names(articles: DataFrame, terms: DataFrame, answered: DataFrame, answers: DataFrame) -> DataFrame:
+    """Found names of articles of which some have a model's answer.
+
+    answered: (article_id) of those that have one, empty or not; answers: its names, with the
+    columns of FOUND.  They are joined by what the dictionary finds in the article, and by
+    nothing else; an article without an answer is searched by all layers.
+    """
+    ids = answered.select(F.col("article_id").alias("id")).distinct()
+    held = answers.join(ids.withColumnRenamed("id", "article_id"), "article_id", "left_semi").select(FOUND)
+    beside = found_names(articles.join(ids, "id", "left_semi"), terms, dictionary_only=True)
+    return held.unionByName(beside).unionByName(found_names(articles.join(ids, "id", "left_anti"), terms))
+
+
 def merged_names(found: DataFrame) -> DataFrame:
     """One candidate for each article and normalised name: (article_id, norm, display, type_hint, layer, role_context, prominence).
 

@@ -34,8 +34,51 @@ ACRONYM_STOPLIST = (
     "'IPO', 'IT', 'JR', 'ML', 'NEW', 'OK', 'PDF', 'PM', 'PR', 'Q1', 'Q2', 'Q3', 'Q4', 'SR', 'TV', 'URL', 'USD', 'VIP', 'VP', 'VPN'"
 )
 
-#: Those of the capitalised phrases without a person that the test texts can hold, and the first of each line of the list.
-PERSON_STOPLIST = "'new york', 'prime minister', 'white house', 'breaking news', 'red sea', 'world bank', 'new year', 'supreme court', 'united nations'"
+#: Capitalised phrases that are no persons.
+PERSON_STOPLIST = (
+    "'new year', 'good friday', 'black friday', 'cyber monday', 'prime minister', 'president trump', "
+    "'president biden', 'president putin', 'vice president', 'secretary general', 'secretary state', 'chief justice', "
+    "'attorney general', 'joint chiefs', 'king charles', 'pope francis', 'al jazeera', 'fox news', "
+    "'sky news', 'wall street', 'new york', 'los angeles', 'san francisco', 'las vegas', "
+    "'hong kong', 'sri lanka', 'south korea', 'north korea', 'south africa', 'new zealand', "
+    "'el salvador', 'costa rica', 'sierra leone', 'burkina faso', 'ivory coast', 'white house', "
+    "'capitol hill', 'downing street', 'world cup', 'olympic games', 'nobel prize', 'supreme court', "
+    "'world bank', 'red cross', 'red sea', 'black sea', 'south china', 'east china', "
+    "'breaking news', 'live updates', 'just in', 'read more', 'click here', 'sign up', "
+    "'photo credit', 'getty images', 'associated press', 'bangkok post', 'the hill', 'the times', "
+    "'the intercept', 'the guardian', 'the telegraph', 'hacker news', 'war zone', 'military times', "
+    "'task purpose', 'chosun ilbo', 'el pais', 'air force', 'coast guard', 'national guard', "
+    "'samsung electronics', 'atlantic council', 'world food', 'food programme', 'homeland security', 'ben gurion', "
+    "'united nations', 'european union', 'read full', 'full article', 'morning briefing', 'evening briefing', "
+    "'world war', 'cold war', 'civil war', 'black hawk', 'golden fleet', 'epic fury', "
+    "'power plants', 'fort bragg'"
+)
+
+#: Words that no person's name holds, and those that only fill a headline.
+NO_NAME_WORDS = (
+    "'post', 'times', 'news', 'zone', 'journal', 'monitor', 'tribune', 'herald', 'gazette', "
+    "'observer', 'telegraph', 'intercept', 'briefing', 'digest', 'report', 'review', 'service', 'english', "
+    "'force', 'forces', 'security', 'organization', 'organisation', 'programme', 'program', 'affairs', 'council', "
+    "'committee', 'ministry', 'bureau', 'agency', 'command', 'corps', 'division', 'department', 'commission', "
+    "'authority', 'institute', 'association', 'foundation', 'federation', 'airport', 'material', 'materials', 'plants', "
+    "'plant', 'nuclear', 'vulnerability', 'vulnerabilities', 'exploited', 'fleet', 'awards', 'network', 'operating', "
+    "'innovation', 'revolution', 'operations', 'war', 'article', 'full', 'read', 'says', 'adds', "
+    "'known', 'linked', 'uses', 'stealthy', 'morning', 'afternoon', 'evening', 'update', 'special', "
+    "'general', 'fury', 'hawk', 'leaving', 'international', 'humanitarian', 'population', 'world'"
+)
+FILLERS = (
+    "'the', 'on', 'in', 'at', 'of', 'for', 'and', 'or', 'but', 'why', 'how', 'who', "
+    "'what', 'when', 'where', 'its', 'his', 'her', 'our', 'their', 'this', 'that', 'one', 'two', "
+    "'most', 'some', 'all', 'any', 'new', 'old', 'big', 'very', 'just', 'also', 'than', 'each'"
+)
+
+#: Titles before a person's name, in the order they are tried.
+NAME_TITLES = (
+    "president", "vice president", "director", "secretary", "minister", "prime minister",
+    "senator", "governor", "ambassador", "chairman", "general", "admiral",
+    "colonel", "major", "captain", "commander", "chief", "state",
+    "deputy", "former",
+)
 
 AD_LINKS = "'/cnn-underscored', '/deals/', '/shopping/', '/ad/', '/sponsored/', '/partner-content/', '/brandcontent/', '/paid-partner/', '/commerce/', '/coupons/', '/product-reviews/', 'affiliate', '/buy/', '/shop/'"
 
