@@ -43,11 +43,11 @@ def _found(spark, d) -> DataFrame:
 
 
 def _answered(spark, d) -> DataFrame:
-    """Names of a model's answers for the articles of two of three sources, and of the dictionary; all layers for the others."""
+    """Names of a model's answers for the articles of some sources, and of the dictionary; all layers for the others."""
     rows = V.headlines(spark, d)
     answers = rows.where("source_name is not null").selectExpr("id as article_id", "'llm' as layer", "1 as seq", "concat('Desk ', source_name) as display", "'organization' as type_hint", "concat('role ', id % 4) as role_context", "if(id % 2 = 0, 'famous', 'known') as prominence")
     answers = answers.unionByName(rows.selectExpr("id as article_id", "'llm' as layer", "2 as seq", "'nato' as display", "'person' as type_hint", "'ally' as role_context", "'known' as prominence"))
-    answered = rows.where("source_name <> 'web'").selectExpr("id as article_id")
+    answered = rows.where("source_name not like 'src1%'").selectExpr("id as article_id")
     return extraction.answered_names(rows, V.terms(spark), answered, answers)
 
 
@@ -67,8 +67,8 @@ def merged_names(spark, d):
     return _plain(extraction.merged_names(_found(spark, d)))
 
 
-MIXED_SQL = f"""{FOUND_SQL}, {ANSWERS_SQL}, mixed as (select a.* from answers a join headlines on id = article_id where source_name <> 'web' union all
-  select f.* from found f join headlines on id = article_id where source_name <> 'web' and layer = 'dictionary' union all select f.* from found f join headlines on id = article_id where coalesce(source_name, 'web') = 'web'), {merged_sql('mixed')}"""
+MIXED_SQL = f"""{FOUND_SQL}, {ANSWERS_SQL}, mixed as (select a.* from answers a join headlines on id = article_id where source_name not like 'src1%' union all
+  select f.* from found f join headlines on id = article_id where source_name not like 'src1%' and layer = 'dictionary' union all select f.* from found f join headlines on id = article_id where (source_name like 'src1%' or source_name is null)), {merged_sql('mixed')}"""
 
 
 @query(f"{MIXED_SQL} select * from merged")
@@ -78,7 +78,7 @@ def model_and_dictionary_names(spark, d):
 
 
 @query(
-    f"""{MIXED_SQL}, registry as (select canonical, min(place) as id from terms where type = 'country' or canonical = 'NATO' group by canonical union all select concat('Desk ', source_name), 100 + dense_rank() over (order by source_name) from (select distinct source_name from headlines where source_name like '%e%')),
+    f"""{MIXED_SQL}, registry as (select canonical, min(place) as id from terms where type = 'country' or canonical = 'NATO' group by canonical union all select concat('Desk ', source_name), 100 + dense_rank() over (order by source_name) from (select distinct source_name from headlines where source_name like '%5')),
 known as (select {_NORM.replace('display', 'canonical')} as norm, min(id) as entity_id, arg_min(canonical, id) as canonical from registry group by all)
 select article_id, m.norm, coalesce(canonical, display) as name, case when entity_id is not null then 'resolved' when layer = 'dictionary' or (layer = 'llm' and prominence = 'famous') then 'new' else 'candidate' end as kind,
   entity_id is null and layer = 'llm' and prominence = 'famous' as auto_accepted, coalesce(entity_id, -1) as entity_id from merged m left join known k on k.norm = m.norm"""
@@ -86,7 +86,7 @@ select article_id, m.norm, coalesce(canonical, display) as name, case when entit
 def classified_names(spark, d):
     """What each candidate is, against a registry of some terms and of some sources' desks."""
     terms = V.terms(spark).where("type = 'country' or canonical = 'NATO'").groupBy("canonical").agg(F.min("place").cast("long").alias("id"))
-    desks = V.headlines(spark, d).where("source_name like '%e%'").select("source_name").distinct().selectExpr("concat('Desk ', source_name) as canonical", "100 + dense_rank() over (order by source_name) as id")
+    desks = V.headlines(spark, d).where("source_name like '%5'").select("source_name").distinct().selectExpr("concat('Desk ', source_name) as canonical", "100 + dense_rank() over (order by source_name) as id")
     registry = terms.unionByName(desks).selectExpr("cast(id as long) as id", "canonical as canonical_name", "cast(array() as array<string>) as aliases")
     rows = extraction.classified(extraction.merged_names(_answered(spark, d)), registry)
     return rows.select("article_id", "norm", "name", "kind", "auto_accepted", F.coalesce("entity_id", F.lit(-1)).alias("entity_id"))
