@@ -561,3 +561,23 @@ def test_permutations(spark, n):
     from pyspark.sql import functions as F
 
     assert sorted(r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5))).collect()) == list(range(n))
+
+
+def test_repeated_rows_stay_under_the_bound_of_characters(spark, monkeypatch):
+    seen, learn = [], toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda texts, *rest: seen.append(texts) or learn(texts, *rest))
+    rows = [(i % 3, f"plain words here {'vile' if i % 3 == 0 else 'kind'}") for i in range(3000)] + [(7, f"other text {i} of one id") for i in range(500)]
+    known = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (7, 0)], "doc_id long, toxic int")
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), known, characters=400)
+    assert sum(map(len, seen[0])) <= 400 and len(set(seen[0])) == len(seen[0]) > 2
+
+
+def test_spans_are_places_in_the_text(spark):
+    draw = random.Random(13)
+    rows = [(i, " ".join(draw.choices("abcdefgh", k=20)) + (" vile" if i % 3 == 0 else "")) for i in range(90)]
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), known)
+    for lead in ("", "İİİ ", "ẞÄÖ İ "):
+        text = f"{lead}a b VILE c İ vile"
+        spans = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().spans
+        assert [text[s.start : s.end] for s in spans] == ["VILE", "vile"], lead
