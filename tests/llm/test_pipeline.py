@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewire.llm import bpe, secrets
@@ -102,3 +103,32 @@ def check_bpe(before, after):
     expected = sorted((r.doc_id, library.encode_ordinary(r.text)) for r in before)
     assert sorted((r.doc_id, list(r.ids)) for r in after) == expected
     assert sorted(r.decoded_sha256 for r in after) == sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in before)
+
+CLASHING = ("h", "buckets", "within", "bucket_start", "source_size", "p", "a.b", "key", "bucket", "turn", "size", "piece", "block", "start", "kept", "component_id", "score", "lang_pred", "carried_0_", "a b", "`q`")
+
+
+def test_stages_carry_columns_of_any_name(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{i}:"), "doc_id").alias(c) for i, c in enumerate(CLASHING)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = [tuple(r) for r in stage(spark, wide, folder).select([F.col("`" + c.replace("`", "``") + "`") for c in wide.columns]).collect()]
+        plain = [tuple(r) for r in stage(spark, docs, folder).collect()]
+        assert sorted(map(str, (r[:5] for r in rows))) == sorted(map(str, plain)) and rows
+        assert all(r[5 + i] == f"{i}:{r[0]}" for r in rows for i in range(len(CLASHING))), name
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert stage(spark, wide, folder).count() == docs.count()
+
+
+def test_a_run_leaves_the_last_rows_only_and_nothing_when_it_fails(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, folder).count()
+    (left,) = tmp_path.iterdir()
+    assert [p.name for p in left.iterdir()] == [corpus_pipeline.STAGES[-1][0]]
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], ("broken", broken)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, folder)
+    assert list(tmp_path.iterdir()) == [left]

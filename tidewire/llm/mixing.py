@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kernel import WORD
-from .shared import cut
+from .shared import carried, cut
 
 BUCKET_ROWS = 1000
 FEW_SOURCES = 10_000
@@ -190,16 +190,18 @@ def mix_texts(docs: DataFrame, block: int = 512, seed: int = 1, **weighing) -> D
 
     docs needs doc_id, text and source.  Returns all columns of docs, text being the
     piece with the white space after its words (a document's leading white space goes
-    with its first word), and shard, slot and first_word.  Other columns are carried
-    along; columns of docs with those names, or of the names key, bucket, turn, size,
-    piece, block and start, are replaced.  Each text is cut once, where it is read.
+    with its first word), and shard, slot and first_word, which replace columns of docs of
+    those names; other columns are carried along, whatever their names.  Null and empty
+    texts and texts without words give no piece; a null source is a source of its own;
+    repeated rows and null doc_ids are rows like others; an empty table gives an empty
+    result.  Each text is cut once, where it is read.
     """
-    docs = docs.drop("shard", "slot", "first_word", "key", "bucket", "turn", "size", "piece", "block", "start")
+    docs, named = carried(docs.drop("shard", "slot", "first_word"), ("doc_id", "text", "source"))
     held = docs.withColumn("size", word_count())
     sizes = held.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = cut(targets(sizes, **weighing), "targets")
     laid = packed(held, seed).where("size > 0")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c != "text"]
     pieces = laid.select("key", *rest, F.explode(_cut_texts(block)).alias("p")).select("key", *rest, "p.block", "p.first_word", F.col("p.piece").alias("text"))
     mixed = drawn_blocks(wanted, block, seed=seed).join(pieces, ["key", "block"])
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot", "first_word")
+    return named(mixed.select(*docs.columns, "shard", "slot", "first_word"))

@@ -30,8 +30,11 @@ from .shared import in_small_batches, trimmed
 KINDS = ("assign", "access", "hex")
 #: Bytes of an inflated stream that are held and scanned at once; a longer one makes several layers.
 MOST_INFLATED = 64 << 20
-#: Bytes of the end of such a layer that the next one begins with, at most.
+#: Bytes of the end of such a layer that the next one begins with, at least: more where a run of signs
+#: of which encoded text and secrets are made goes on over its end.
 OVERLAP = 1 << 20
+_ENCODED = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-%\\&#;{}\r\n\0")
+_BREAKS = bytes(b in _ENCODED for b in range(256))
 #: Streams inside streams that are inflated piece by piece; what the last of them holds is then gathered.
 NESTED = 100
 
@@ -237,19 +240,27 @@ def _views(data: bytes) -> Iterator[str]:
         yield data.replace(b"\0", b"").decode("utf-8", "replace")
 
 
+def _carried(held: bytearray) -> int:
+    """From where on a part is scanned again with the next: OVERLAP from the end, or earlier, where the run of
+    encoded signs begins that holds that place, so that no run is cut, however long."""
+    at = max(len(held) - min(OVERLAP, MOST_INFLATED // 2), 0)
+    return held[:at].translate(_BREAKS).rfind(b"\0") + 1
+
+
 def _texts(data: bytes) -> Iterator[str]:
     """The bytes and every compressed stream in them as texts, long streams in parts that overlap."""
     yield from _views(data)
     at = 0
     while m := _STREAM.search(data, at):
-        held, fresh = bytearray(), 0
+        held, fresh, full = bytearray(), 0, MOST_INFLATED
         for piece in _unwrapped(data[m.start() :]):
             held += piece
             fresh += len(piece)
-            if len(held) >= MOST_INFLATED:
+            if len(held) >= full:
                 yield from _views(bytes(held))
-                del held[: max(len(held) - min(OVERLAP, MOST_INFLATED // 2), 0)]
-                fresh = 0
+                del held[: _carried(held)]
+                # (a run that fills a part is scanned again only when it has doubled)
+                fresh, full = 0, max(MOST_INFLATED, 2 * len(held))
         if fresh:
             yield from _views(bytes(held))
         at = m.start() + 1

@@ -24,6 +24,13 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def carried(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but its ``own`` under names that no operator uses, and what gives those back their names."""
+    names = {f"carried_{i}_": c for i, c in enumerate(docs.columns) if c not in own}
+    plain = docs.toDF(*[c if c in own else f"carried_{i}_" for i, c in enumerate(docs.columns)])
+    return plain, lambda df: df.toDF(*[names.get(c, c) for c in df.columns])
+
+
 def release() -> None:
     """Give memory that is free again back to the system, where the C library knows how."""
     gc.collect()
