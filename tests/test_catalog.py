@@ -2,7 +2,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from tidewire.plans import catalog, extraction_catalog, newsroom_catalog, report_catalog, service_catalog, stream_catalog, tick_catalog  # noqa: F401
+from tidewire.plans import catalog, desk_catalog, extraction_catalog, newsroom_catalog, report_catalog, service_catalog, stream_catalog, tick_catalog  # noqa: F401
 
 from .compare import connect, differences
 

@@ -45,9 +45,9 @@ def is_anchor(kind: Column, rate: Column, bar: Column) -> Column:
 
 
 def _top_anchors(pairs: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
-    """(card, anchors): of pairs (card, entity_id) the anchors with the highest rates, equal ones by name."""
+    """(card, anchors): of pairs (card, entity_id) the anchors with the highest rates, equal ones by name in the order of letters, whatever their case."""
     rows = pairs.distinct().join(known.where("anchor").select("entity_id", "name", "rate"), "entity_id")
-    rank = F.row_number().over(Window.partitionBy("card").orderBy(F.col("rate").desc(), "name", "entity_id"))
+    rank = F.row_number().over(Window.partitionBy("card").orderBy(F.col("rate").desc(), F.collate("name", "UNICODE"), "entity_id"))
     rows = rows.withColumn("n", rank).where(F.col("n") <= most)
     return rows.groupBy("card").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]).alias("anchors"))
 

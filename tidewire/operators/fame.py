@@ -36,7 +36,8 @@ def entity_details(answers: DataFrame) -> DataFrame:
     label = [F.expr(f"array(try_variant_get(e, '$.labels.{x}.value', 'string'))") for x in ALIAS_LANGUAGES]
     other = [F.expr(f"transform(coalesce(try_variant_get(e, '$.aliases.{x}', 'array<variant>'), array()), a -> try_variant_get(a, '$.value', 'string'))") for x in ALIAS_LANGUAGES]
     names = F.concat(*[c for pair in zip(label, other) for c in pair])
-    names = F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: n.isNotNull() & (n != "")))
+    trimmed = F.transform(names, lambda n: F.regexp_replace(n, f"^[{T.SPACES}]+|[{T.SPACES}]+\\z", ""))
+    names = F.array_distinct(F.filter(trimmed, lambda n: n.isNotNull() & (n != "")))
     links = F.expr("size(coalesce(try_variant_get(e, '$.sitelinks', 'map<string,variant>'), map()))")
     return rows.select("id", F.expr("try_variant_get(e, '$.sitelinks.enwiki.title', 'string')").alias("wiki_title"), links.alias("sitelinks"), names.alias("aliases"))
 

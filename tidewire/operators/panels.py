@@ -100,6 +100,27 @@ def entity_stats(entities: DataFrame) -> DataFrame:
     )
 
 
+def fame_stats(entities: DataFrame) -> DataFrame:
+    """One row on tracked entities' fame, also for an empty table: how many are of each, parked, never checked and locked, and the first and last check.
+
+    Parked is one that was looked up without a verdict, which is not the same as never.
+    """
+    tracked, fame = F.col("status") == "tracked", F.col("fame")
+    count = lambda test: F.count_if(tracked & F.coalesce(test, F.lit(False)))
+    at = F.when(tracked, F.col("checked_at"))
+    return entities.agg(
+        F.count_if(tracked).alias("total_tracked"),
+        count(fame == "famous").alias("famous"),
+        count(fame == "not_famous").alias("not_famous"),
+        count(fame == "unknown").alias("unknown"),
+        count((fame == "unknown") & F.col("checked_at").isNotNull()).alias("parked"),
+        count(F.col("checked_at").isNull()).alias("never_checked"),
+        count(F.col("fame_locked")).alias("locked"),
+        F.min(at).alias("oldest_checked_at"),
+        F.max(at).alias("newest_checked_at"),
+    )
+
+
 def new_entities(mentions: DataFrame, as_of: str, hours: int = 48, top: int = 5) -> DataFrame:
     """Entities first met lately, the latest first, but not those of the first three days of all."""
     firsts = mentions.groupBy("entity_id").agg(F.min("arrival_at").alias("first_seen_at"), F.countDistinct("source_name").alias("sources"))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stories import honest_time
 from . import feeds
 
 SCHEMA = "value string, source string"
@@ -65,7 +66,7 @@ def articles(items: DataFrame, as_of: Column) -> DataFrame:
         "source_name",
         F.col("category").alias("source_category"),
         "summary",
-        F.when(~F.col("estimated"), F.col("published")).cast("timestamp_ntz").alias("published_at"),
+        honest_time("published", "estimated").cast("timestamp_ntz").alias("published_at"),
         as_of.cast("timestamp_ntz").alias("first_seen_at"),
     )
 
