@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dates import LOCK_MINUTES, is_recent
+from ..storage import tasks_for
 from . import rollups
 from .detectors import MOMENT_TYPES
 
@@ -24,9 +25,11 @@ ACTIVE = ("new", "seen", "promoted")
 def merged(stored: DataFrame, batch: DataFrame, keys: list[str], how: dict[str, str]) -> DataFrame:
     """Upsert by keys.  how says for each other column what to do where both have a row:
 
-    "sum", "least", "greatest", "new" (the batch's) or "old" (the stored one).
+    "sum", "least", "greatest", "new" (the batch's) or "old" (the stored one).  Keys are
+    dealt to tasks whose number grows with the rows.
     """
-    both = stored.alias("s").join(batch.alias("b"), keys, "full_outer")
+    tasks = tasks_for(stored, batch)
+    both = stored.repartition(tasks, *keys).alias("s").join(batch.repartition(tasks, *keys).alias("b"), keys, "full_outer")
     made = []
     for column, rule in how.items():
         s, b = F.col(f"s.{column}"), F.col(f"b.{column}")
