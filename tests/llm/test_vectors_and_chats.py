@@ -206,3 +206,23 @@ def test_random_call_graphs(spark):
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()
     assert {r.conv_id: [(c["id"], c["level"]) for c in json.loads(r.message)["tool_calls"]] for r in got} == expected
     assert any(level is None for calls in expected.values() for _, level in calls)
+
+
+def test_top_k_gathers_no_queries_in_the_driver_and_meets_all_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "SHARE", 64 * 8 * 2)
+    monkeypatch.setattr(vectors, "QUERIES", 8)
+    monkeypatch.setattr(vectors, "TASKS", 16)
+    draw = np.random.default_rng(5)
+    for scale in (1.0, 1000.0, 1e7):
+        m = draw.standard_normal((700, 8)) * scale
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "vec_id long, embedding array<double>")
+        found = vectors.top_k(df, every=10)
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        whole = np.floor(m * 256).astype(np.int64)
+        expected = set()
+        for q in range(0, 700, 10):
+            scores = whole @ whole[q]
+            order = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:5]
+            expected |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(order)}
+        assert {tuple(r) for r in found.collect()} == expected

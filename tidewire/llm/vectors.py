@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import cut
+from .shared import cut, in_small_batches
 
 BLOCK = 2048  # vectors packed into one row
+QUERIES = 512  # queries packed into one row
+SHARE = 1 << 22  # components of the blocks that one task holds
+TASKS = 64  # pieces of a small search, at least, if there are groups of queries for them
 GROUP = 1024  # vectors of one bucket compared in one piece
 
 
@@ -82,10 +85,10 @@ class Lists:
         return best
 
 
-def _packed(name: str, dims: int):
+def _packed(name: str, dims: int, kind: type):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["vec_id", "turn"], kind="stable")
-        matrix = _matrix(rows["v"], dims, np.int64)
+        matrix = _matrix(rows["v"], dims, kind)
         ids, turns = (rows[c].to_numpy(np.int64).tobytes() for c in ("vec_id", "turn"))
         return pd.DataFrame({name: [rows[name].iloc[0]], "ids": [ids], "turns": [turns], "matrix": [matrix.tobytes()]})
 
@@ -104,44 +107,65 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
     filled up with zeros.  Sums are exact as long as they fit 64 bits.  An empty table
     gives an empty result.
 
-    Candidates are packed into blocks with their sorted lists, queries into groups;
-    each block meets each group once.  A task carries a group's best scores from one
-    block to the next, so later blocks stop sooner.
+    Candidates are packed into blocks, queries into groups, both in the narrowest integers that hold
+    the components.  A task holds the blocks of one share, of bounded size, with their sorted lists;
+    groups of queries pass it one after the other and meet each of its blocks.  A group's
+    best scores go from one block to the next, so later blocks stop sooner.  Groups are
+    copied once for each share; nothing is gathered in the driver, whatever its number.
     """
     spark = vectors.sparkSession
     rows = usable(vectors).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
     rows = cut(rows.withColumn("turn", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")).cast("long")), "integers")
     schema = "query_id long, rank int, vec_id long, score long"
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
+    low, high = F.min(F.array_min("v")).alias("low"), F.max(F.array_max("v")).alias("high")
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count_if(F.col("vec_id") % every == 0).alias("queries"), low, high).first()
     if not size["queries"]:
         return spark.createDataFrame([], schema)
     dims = size["dims"]
-    blocks, groups = -(-size["n"] // BLOCK), -(-size["queries"] // 512)
+    kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= size["low"] and size["high"] <= np.iinfo(t).max)
+    blocks, groups = -(-size["n"] // BLOCK), -(-size["queries"] // QUERIES)
     pack = lambda rows, name, n: (
         rows.withColumn(name, F.pmod(F.xxhash64("vec_id", "turn"), F.lit(n)).cast("int"))
         .groupBy(name)
-        .applyInPandas(_packed(name, dims), f"{name} int, ids binary, turns binary, matrix binary")
+        .applyInPandas(_packed(name, dims, kind), f"{name} int, ids binary, turns binary, matrix binary")
     )
-    # a task takes some blocks for one group, so tasks grow with both
-    shares = -(-blocks // 8)
-    candidates = pack(rows, "block", blocks).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("share", F.col("block") % shares)
-    queries = pack(rows.where(F.col("vec_id") % every == 0), "group", groups).select("group", F.col("ids").alias("query_ids"), F.col("turns").alias("query_turns"), F.col("matrix").alias("query_matrix"))
-    queries = queries.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    shares = -(-blocks // max(1, SHARE // (BLOCK * dims)))
+    # few shares are held by several tasks each, between which the groups are dealt
+    slices = max(1, min(groups, -(-TASKS // shares)))
+    candidates = pack(rows, "block", blocks).withColumn("share", F.col("block") % shares).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    queries = pack(rows.where(F.col("vec_id") % every == 0), "group", groups).toDF("group", "query_ids", "query_turns", "query_matrix")
+    queries = queries.withColumn("slice", F.col("group") % slices).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, Lists] = {}
         best: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        at = None
+
+        def found() -> pd.DataFrame:
+            return pd.DataFrame([(*own, i, -s) for own, those in best.items() for s, i in those], columns=["query_id", "turn", "vec_id", "score"])
+
         for batch in batches:
-            for ids, turns, matrix, query_ids, query_turns, query_matrix in batch[columns].itertuples(index=False):
-                lists = Lists(np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.int64).reshape(-1, dims), np.frombuffer(turns, np.int64))
-                own_rows = zip(np.frombuffer(query_ids, np.int64).tolist(), np.frombuffer(query_turns, np.int64).tolist())
-                for own, query in zip(own_rows, np.frombuffer(query_matrix, np.int64).reshape(-1, dims)):
-                    best[own] = lists.search(query, own[0], k, best.get(own, []), turn=own[1])
-        found = [(*own, i, -s) for own, those in best.items() for s, i in those]
-        yield pd.DataFrame(found, columns=["query_id", "turn", "vec_id", "score"])
-
-    columns = ["ids", "turns", "matrix", "query_ids", "query_turns", "query_matrix"]
-    met = candidates.join(queries, ["group", "share"]).select(columns)
-    found = met.mapInPandas(run, "query_id long, turn long, vec_id long, score long")
+            for share, group, query_ids, query_turns, query_matrix, block, ids, turns, matrix in batch[columns].itertuples(index=False):
+                if at != (share, group):
+                    if best:
+                        yield found()
+                    if at is None or at[0] != share:
+                        held = {}
+                    at, best = (share, group), {}
+                    own_rows = list(zip(np.frombuffer(query_ids, np.int64).tolist(), np.frombuffer(query_turns, np.int64).tolist()))
+                    wanted = np.frombuffer(query_matrix, kind).reshape(-1, dims).astype(np.int64)
+                if block not in held:
+                    held[block] = Lists(np.frombuffer(ids, np.int64), np.frombuffer(matrix, kind).reshape(-1, dims).astype(np.int64), np.frombuffer(turns, np.int64))
+                for own, query in zip(own_rows, wanted):
+                    best[own] = held[block].search(query, own[0], k, best.get(own, []), turn=own[1])
+        if best:
+            yield found()
+
+    columns = ["share", "group", "query_ids", "query_turns", "query_matrix", "block", "ids", "turns", "matrix"]
+    # the packed rows are far larger than their files, so sizes must not choose the join: a share's blocks are the side that is kept
+    keys, tasks = ["share", "slice"], shares * slices
+    met = queries.repartition(tasks, *keys).hint("merge").join(candidates.repartition(tasks, *keys), keys).select(columns)
+    found = in_small_batches(met).mapInPandas(run, "query_id long, turn long, vec_id long, score long")
     return found.selectExpr("query_id", "row_number() over (partition by query_id, turn order by score desc, vec_id) as rank", "vec_id", "score").where(F.col("rank") <= k)
 
 
