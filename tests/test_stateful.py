@@ -102,3 +102,21 @@ def test_state_is_dropped_when_its_time_is_over(spark, tmp_path):
         left.append([p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1])
     # two hours after "old" the watermark of a later batch drops it; what stays is bounded by the window
     assert left[-1] <= left[0] * 3
+
+
+def test_keys_share_the_state_of_their_bucket(spark, tmp_path):
+    schema = "a string, b string, seen_at timestamp_ntz, n long"
+    rows = [[(f"x{i}", "y", START + dt.timedelta(days=40 * batch, hours=i % 3), 1) for i in range(300) if batch < 2 or i < 5] for batch in range(3)]
+    source, sink, checkpoint = (str(tmp_path / name) for name in ("in", "out", "cp"))
+    for batch in rows:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = stateful.link_history(spark.readStream.schema(schema).parquet(source), buckets=4)
+        query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        # a bucket's entries are one row, and so is its timer, but for the index over timers
+        assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1] <= 3 * 4
+    got = spark.read.parquet(sink).collect()
+    assert len(got) == 605 and not any(r["known"] for r in got)
+    # links that are over leave the bucket, the newest stay in it
+    held = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint).selectExpr("explode(value.key) as key")
+    assert {r["key"] for r in held.collect()} == {f"x{i}|y" for i in range(5)}
