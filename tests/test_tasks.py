@@ -2,9 +2,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire import storage
-from tidewire.operators import graph, reports, rollups, state
+from tidewire.functions import text as T
+from tidewire.operators import graph, reports, rollups, state, stories
 
 DAY = dt.datetime(1995, 1, 1)
 
@@ -36,3 +38,25 @@ def test_links_are_dealt_to_as_many_tasks(linked):
     counts = edges.selectExpr("concat(entity_a, '|', entity_b) as pair", "article_count as count")
     history = counts.selectExpr("pair", "count", "timestamp_ntz'1995-01-01' as last_seen")
     assert reports.merged_history(history, counts, "timestamp_ntz'1995-01-02'").rdd.getNumPartitions() == 32
+
+
+def test_signatures_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def signature(title):
+        made.add(1)
+        return title
+
+    rows = spark.range(120).selectExpr("id", "concat('t', id % 9) as title", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int)) as first_seen_at", "cast(null as timestamp_ntz) as published_at")
+    rows = rows.withColumn("title_signature", signature("title"))
+    assert len({r["head_id"] for r in stories.clusters(rows).collect()}) == 27
+    assert made.value == 120
+    assert stories.duplicate_groups(rows).count() == 120 - 9
+    assert made.value == 240
+
+
+def test_a_title_is_normalised_once_for_its_signature(spark):
+    rows = spark.createDataFrame([("The of",), ("War &amp; Peace",), ("",), (None,)], "title string").select(T.title_signature("title").alias("s"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("&(?:amp") <= 1
+    assert [r["s"] for r in rows.collect()] == ["the of", "peace|war", "", None]
