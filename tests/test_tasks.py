@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire import storage
+from tidewire.functions import language as L
 from tidewire.functions import text as T
 from tidewire.operators import graph, reports, rollups, state, stories
 
@@ -60,3 +61,9 @@ def test_a_title_is_normalised_once_for_its_signature(spark):
     rows = spark.createDataFrame([("The of",), ("War &amp; Peace",), ("",), (None,)], "title string").select(T.title_signature("title").alias("s"))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("&(?:amp") <= 1
     assert [r["s"] for r in rows.collect()] == ["the of", "peace|war", "", None]
+
+
+def test_a_text_is_split_once_for_its_sentiment(spark):
+    rows = spark.createDataFrame([("great attack",), ("",), (None,)], "t string").select(L.sentiment("t").alias("s"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
+    assert [r["s"] for r in rows.collect()][1:] == [0.0, 0.0]

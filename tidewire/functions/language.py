@@ -280,16 +280,24 @@ def sentiment(text, positive=POSITIVE, negative=NEGATIVE) -> Column:
     """
     words = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), "[^a-zA-Z0-9_]+")
 
+    firsts = sorted({w[:STEM] for w in (*positive, *negative) if len(w) >= STEM})
+
     def begins(listed) -> str:
         stems = [w for w in listed if len(w) >= STEM]
         return f"^(?:{'|'.join(stems)})" if stems else "^(?!)"
 
     def worth(w: Column) -> Column:
         stems = w.rlike(begins(positive)).cast("int") - w.rlike(begins(negative)).cast("int")
-        return F.when(w.isin(*negative), -1).when(w.isin(*positive), 1).when(F.length(w) >= STEM, stems).otherwise(0)
+        # a look at the first letters spares most words the search for what they begin with
+        may_begin = F.substring(w, 1, STEM).isin(*firsts) if firsts else F.lit(False)
+        return F.when(w.isin(*negative), -1).when(w.isin(*positive), 1).when(may_begin, stems).otherwise(0)
+
+    def balance(words: Column) -> Column:
+        score = F.aggregate(words, F.lit(0), lambda total, w: total + worth(w))
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score / F.greatest(F.lit(1.0), F.sqrt(F.size(words).cast("double")))))
 
-    score = F.aggregate(words, F.lit(0), lambda total, w: total + worth(w))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score / F.greatest(F.lit(1.0), F.sqrt(F.size(words).cast("double")))))
+    # words are bound to a name, or the text would be split for each use of them
+    return F.transform(F.array(words), balance)[0]
 
 
 def _distinct_matches(text, pattern: str) -> Column:
