@@ -82,7 +82,10 @@ class Ledger:
         schema = StructType.fromDDL(self.tables[name].schema)
         wanted = held if parts is None else {str(p) for p in parts} & held.keys()
         paths = [f"{self.folder}/{name}/{held[p]}/{PART}={p}" for p in sorted(wanted, key=int)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if paths:
+            return self.spark.read.schema(schema).parquet(*paths)
+        # no rows, and no tasks of Python that would find none
+        return self.spark.range(0, 0, 1, 1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
     # -------------------------------------------------------------- writing
 

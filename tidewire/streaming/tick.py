@@ -86,7 +86,7 @@ def ingest(
     commit.merge("links", mentions.select("article_id", "entity_id", "arrival_at"), state.insert_dated_links)
     commit.merge("hourly", panels.hourly_rollup(mentions), state.merge_hourly)
     commit.merge("edges", rollups.edge_rollup(mentions), state.merge_edges)
-    sightings = extraction.sightings(found, heads)
+    sightings = commit.held(extraction.sightings(found, heads), "sightings")  # read for every list of a candidate
     commit.merge("candidates", rollups.candidates(sightings), state.merge_candidates)
     if stated is not None:
         commit.merge("relations", rollups.relation_rollup(extraction.resolved_relations(stated(heads), commit.table("entities"), heads)), state.merge_relations)
